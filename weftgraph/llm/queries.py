@@ -6,13 +6,25 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import curriculum, exact_dedup, langid, minhash, packing
+from . import curriculum, exact_dedup, html_text, langid, license_scan, minhash, mpeg, packing, pii, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(_table(spark, sf_dir, "documents"))[0].drop("row")
+
+
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_pii(_table(spark, sf_dir, "documents"))
+
+
+def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(_table(spark, sf_dir, "pages"))
+
+
 def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curriculum.mix(_table(spark, sf_dir, "documents"))
 
@@ -25,6 +37,14 @@ def op6_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
+def op7_mpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mpeg.digests(_table(spark, sf_dir, "documents"))
+
+
+def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge_urls(_table(spark, sf_dir, "pages"))
+
+
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_dedup(_table(spark, sf_dir, "documents"))
 
@@ -34,7 +54,8 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op4_mix, op5_language, op6_pack, op9_near_dedup, op10_exact_dedup)
+    f.__name__: f
+    for f in (op1_licenses, op2_pii, op3_main_text, op4_mix, op5_language, op6_pack, op7_mpeg, op8_urls, op9_near_dedup, op10_exact_dedup)
 }
 
 ORACLES: dict[str, str] = {"op4_mix": curriculum.ORACLE, "op9_near_dedup": minhash.ORACLE, "op10_exact_dedup": exact_dedup.ORACLE}

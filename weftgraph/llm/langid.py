@@ -24,7 +24,7 @@ from ._common import STEP_BYTES
 DIMS = 1 << 15
 ORDERS = (1, 2, 3)
 #: Bound of the labelled sample: about so many rows of each language, chosen by a hash of the id.
-SAMPLE = 1500
+SAMPLE = 1000
 UNDEFINED = "und"
 
 _U = np.uint64
@@ -100,15 +100,15 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct columns and their shares, at most DIMS of each, for sample rows."""
+    """Distinct columns and their shares, at most DIMS of each, for sample rows; packed, as the driver holds all of them."""
     for batch in batches:
         rows = []
         for at, texts in _text_steps(batch.column(2)):
             cols, starts = grams(texts)
             for i, (a, b) in enumerate(zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)):
                 u, c = np.unique(cols[a:b], return_counts=True)
-                rows.append((batch.column(0)[at + i].as_py(), batch.column(1)[at + i].as_py(), u.tolist(), (c / max(1, b - a)).astype(np.float32).tolist()))
-        types = [pa.int64(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.float32())]
+                rows.append((batch.column(0)[at + i].as_py(), batch.column(1)[at + i].as_py(), u.astype(np.uint16).tobytes(), (c / max(1, b - a)).astype(np.float32).tobytes()))
+        types = [pa.int64(), pa.string(), pa.binary(), pa.binary()]
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["r", "lang", "cols", "shares"])
 
@@ -185,13 +185,13 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     for lang, size in sizes.items():
         share = F.when(F.col("lang") == lang, F.lit(min(1.0, sample / size))).otherwise(share)
     draw = F.pmod(F.xxhash64("r"), F.lit(1 << 31)) / float(1 << 31)
-    chosen = rows.filter(draw < share).mapInArrow(_features, "r long, lang string, cols array<int>, shares array<float>")
+    chosen = rows.filter(draw < share).mapInArrow(_features, "r long, lang string, cols binary, shares binary")
     number = {lang: i for i, lang in enumerate(languages)}
     found = sorted(chosen.collect(), key=lambda r: (r[0], r[1], len(r[2])))  # bounded by sample rows a language
     data = []
     for _, lang, cols, shares in found:
-        cols = np.array(cols, np.int64)
-        data.append((number[lang], cols, np.array(shares) * idf[cols] * 10.0))
+        cols = np.frombuffer(cols, np.uint16).astype(np.int32)
+        data.append((number[lang], cols, (np.frombuffer(shares, np.float32) * idf[cols] * 10.0).astype(np.float32)))
     kept = [d for i, d in enumerate(data) if i % 5] or data
     seen = [d for i, d in enumerate(data) if i % 5 == 0] or data
     w, bias = fit_ftrl(kept, len(languages))

@@ -486,7 +486,7 @@ def struct_scores(edges: DataFrame, nodes: DataFrame, model: Linear2, node: int,
     sums = rows.groupBy("v").agg(*[F.sum(weight * F.col("h")[c]).alias(f"z{c}") for c in range(classes)])
     label = nodes.filter(F.col("id") == node).first().label
     others = [F.col(f"z{c}") for c in range(classes) if c != label]
-    return sums.select(u.cast("long").alias("src"), F.col("v").alias("dst"), (F.col(f"z{label}") - F.greatest(*others)).alias("score"))
+    return sums.select(u.cast("long").alias("src"), F.col("v").alias("dst"), (F.col(f"z{label}") - F.array_max(F.array(*others))).alias("score"))
 
 
 def nettack(edges: DataFrame, nodes: DataFrame, model: Linear2, node: int, budget: int, cutoff: float = 0.004) -> Result:

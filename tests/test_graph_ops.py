@@ -338,3 +338,18 @@ def test_spgemm_and_jaccard(spark):
     b = x > 0
     want = {(i, j) for i, j in zip(*np.nonzero(a), strict=True) if (b[i] | b[j]).sum() == 0 or (b[i] & b[j]).sum() / (b[i] | b[j]).sum() > 0.4}
     assert kept == want
+
+
+def test_rank_one_margins_equal_brute_force(spark):
+    a, x, labels, edges, nodes = random_graph(spark, 10, 0.5, 17)
+    z = np.random.default_rng(5).normal(size=(10, 3))
+    logits = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(z)], "id long, z array<double>")
+    alpha, i = 0.4, 3
+    for r in attacks.rank_one_margins(edges, nodes, logits, i, alpha, 24).collect():
+        m = a.copy()
+        m[i, r.dst] = 1 - m[i, r.dst]
+        out = (alpha * np.linalg.inv(np.eye(10) - (1 - alpha) * m / m.sum(1, keepdims=True)) @ z)[i]
+        assert r.present == bool(a[i, r.dst])
+        assert r.margin == pytest.approx(out[labels[i]] - max(out[c] for c in range(3) if c != labels[i]), abs=1e-4)
+    run = attacks.local_batched_prbcd(edges, nodes, logits, i, 1, alpha, 6)
+    assert run.pairs.count() == 1

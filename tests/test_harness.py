@@ -115,6 +115,17 @@ def test_runs(spark, tmp_path):
     assert local.n_perturbations == len(local.perturbed_edges) == int(0.3 * local.degree) and local.margin <= local.initial_margin + 1e-9
 
 
+def test_cached_scores_results_and_config_files(spark, tmp_path):
+    edges = spark.createDataFrame([(0, 1, 1.0), (1, 0, 1.0), (1, 2, 1.0), (2, 1, 1.0)], "src long, dst long, weight double")
+    split = spark.createDataFrame([(0, "train"), (2, "val")], "id long, part string")
+    experiments.cache_ppr(edges, split, f"{tmp_path}/ppr", topk=2, rounds=4)
+    assert {r.src for r in shards.read_ppr(spark, f"{tmp_path}/ppr", split="val").collect()} == {2}
+    path = experiments.write_results(split, f"{tmp_path}/results")
+    assert spark.read.json(path).count() == 2
+    (tmp_path / "c.yaml").write_text("fixed: {a: 1}\ngrid: {b: {type: choice, options: [1, 2, 1]}}\n")
+    assert experiments.run_configs([f"{tmp_path}/c.yaml"], lambda a, b: a + b) == [2, 3]
+
+
 def test_delta_stream(spark, tmp_path):
     spark.createDataFrame([(0, 1, 1.0), (1, 0, 1.0)], "src long, dst long, weight double").write.parquet(f"{tmp_path}/edges/v0")
     spark.createDataFrame([(2, 3, "add"), (0, 1, "del")], streaming.DELTA).coalesce(1).write.parquet(f"{tmp_path}/deltas")

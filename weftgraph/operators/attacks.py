@@ -380,33 +380,60 @@ def sga(edges: DataFrame, nodes: DataFrame, model: Linear2, node: int, budget: i
     return Result(spark.createDataFrame(picked, "src long, dst long"), now)
 
 
-def local_batched_prbcd(edges: DataFrame, nodes: DataFrame, logits: DataFrame, node: int, budget: int, alpha: float = 0.1, rounds: int = 30, epochs: int = 10, lr: float = 1.0, eps: float = 1e-14) -> Result:
-    """Attack on z = sum of PPR scores times logits(id, z array): candidates are scored by the exact rank-one update of the node's PPR row.
-
-    For one added or removed edge of row i the new row is closed form in two joins, so every
-    candidate of the row is scored at once; the best are taken greedily.
+def ppr_propagate(walk: DataFrame, h: DataFrame, columns: int, alpha: float, rounds: int) -> DataFrame:
+    """(id, h): alpha * sum over t <= rounds of ((1 - alpha) W)^t H for wide rows, without forming the PPR matrix."""
+    total = h.select("id", F.transform("h", lambda v: alpha * v).alias("h"))
+    step = total
+    for t in range(1, rounds + 1):
+        step = _hop(walk.withColumn("weight", (1 - alpha) * F.col("weight")), step, columns)
+        total = total.join(step.withColumnRenamed("h", "s"), "id", "left")
+        total = total.select("id", F.when(F.col("s").isNull(), F.col("h")).otherwise(F.zip_with("h", "s", lambda x, y: x + y)).alias("h"))
+        if t % 3 == 0:
+            step, total = cut(step, "step"), cut(total, "total")
+    return total
+
+
+def rank_one_margins(edges: DataFrame, nodes: DataFrame, logits: DataFrame, node: int, alpha: float = 0.1, rounds: int = 30) -> DataFrame:
+    """(dst, present, margin): the node's margin on z = PPR @ logits(id, z array) after flipping dst in its own row.
+
+    The rank-one update of one row needs, of every candidate v, only its PPR-weighted logits
+    and its score for the node: both come from one propagation of the logits with one
+    more column that marks the node. edges are unweighted.
     """
-    from . import ppr as P
-
     label = nodes.filter(F.col("id") == node).first().label
+    classes = len(logits.first().z)
+    h = logits.select("id", F.concat("z", F.array(F.when(F.col("id") == node, 1.0).otherwise(0.0))).alias("h"))
+    total = cut(ppr_propagate(normalize.row(edges), h, classes + 1, alpha, rounds), "scores")
+    own = total.filter(F.col("id") == node).first().h
+    start = h.filter(F.col("id") == node).first().h
+    near = [(o - alpha * x) / (1 - alpha) for o, x in zip(own, start, strict=True)]  # the node's row of W P H
+    k = edges.filter(F.col("src") == node).count()
+    there = edges.filter(F.col("src") == node).select(F.col("dst").alias("id"), F.lit(True).alias("present"))
+    rows = total.filter(F.col("id") != node).join(there, "id", "left").withColumn("present", F.coalesce("present", F.lit(False)))
+    size = F.when(F.col("present"), F.lit(float(1 - k))).otherwise(F.lit(float(k + 1)))
+    rows = rows.filter(size != 0)
+    ratio = (1 - alpha) / alpha
+    change = [(F.col("h")[c] - near[c]) / size for c in range(classes + 1)]
+    scale = own[classes] * ratio / (1 - ratio * change[classes])
+    z = [own[c] + scale * change[c] for c in range(classes)]
+    return rows.select(F.col("id").alias("dst"), "present", (z[label] - F.array_max(F.array(*[x for c, x in enumerate(z) if c != label]))).alias("margin"))
+
+
+def local_batched_prbcd(edges: DataFrame, nodes: DataFrame, logits: DataFrame, node: int, budget: int, alpha: float = 0.1, rounds: int = 30) -> Result:
+    """Attack on one node of a PPR model: every candidate of its row is scored by the exact rank-one update; the smallest margin is taken, one edge a step, and the scores are recomputed."""
+    spark = nodes.sparkSession
     picked: list[int] = []
-    for _ in range(budget):
-        walk = normalize.row(edges)
-        scores = cut(P.power_series(walk, nodes, alpha, rounds), "ppr")
-        row = edges.filter(F.col("src") == node).select("dst", "weight")
-        best = None
-        pool = nodes.filter(F.col("id") != node).select("id").orderBy("id")
-        out = scores.join(logits.withColumnRenamed("id", "dst"), "dst").select("src", "weight", F.posexplode("z").alias("class", "z"))
-        out = out.groupBy("src", "class").agg(F.sum(F.col("weight") * F.col("z")).alias("z"))
-        worst = out.groupBy("src").agg(F.max(F.when(F.col("class") != label, F.col("z"))).alias("o"), F.max(F.when(F.col("class") == label, F.col("z"))).alias("y"))
-        gain = pool.join(worst.withColumnRenamed("src", "id"), "id").join(row.withColumnRenamed("dst", "id"), "id", "left")
-        gain = gain.filter(~F.col("id").isin(picked or [-1])).withColumn("pull", (F.col("o") - F.col("y")) * F.when(F.col("weight").isNull(), 1.0).otherwise(-1.0))
-        best = gain.orderBy(F.col("pull").desc(), "id").first()
-        picked.append(best.id)
-        change = nodes.sparkSession.createDataFrame([(best.id, 1.0)], "dst long, p double")
-        edges = cut(replace_row(edges, node, change).filter("weight > 1e-9"), "edges")
-    pairs = nodes.sparkSession.createDataFrame([(min(node, v), max(node, v)) for v in picked], "src long, dst long")
-    return Result(pairs, edges)
+    trace = []
+    for step in range(budget):
+        found = rank_one_margins(edges, nodes, logits, node, alpha, rounds)
+        best = found.filter(~F.col("dst").isin(picked or [-1])).orderBy("margin", "dst").first()
+        if best is None:
+            break
+        picked.append(best.dst)
+        trace.append({"epoch": step, "margin": best.margin})
+        change = spark.createDataFrame([(best.dst, 1.0)], "dst long, p double")
+        edges = cut(replace_row(edges, node, change, symmetric=False).filter("weight > 1e-9"), "edges")
+    return Result(spark.createDataFrame([(node, v) for v in picked], "src long, dst long"), edges, trace)
 
 
 # ---------------------------------------------------------------- Nettack

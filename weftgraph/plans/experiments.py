@@ -222,3 +222,31 @@ def run_local(graph, model, nodes: list[int], attack, epsilons: list[float], lab
     return spark.createDataFrame(rows, schema)
 
 
+
+
+def cache_ppr(edges: DataFrame, split: DataFrame, path: str, alpha: float = 0.1, topk: int = 64, rounds: int = 12, norm: str = "row", dataset: str = "graph") -> None:
+    """Writes the top-k PPR rows of each part of split(id, part) under its own partition."""
+    from ..operators import normalize, ppr
+    from ..sources.shards import write_ppr
+
+    degrees = normalize.degree(edges)
+    for (part,) in split.select("part").distinct().orderBy("part").collect():
+        seeds = split.filter(F.col("part") == part)
+        scores = ppr.top_k_rows(ppr.power_series(normalize.row(edges), seeds, alpha, rounds), topk)
+        write_ppr(ppr.normalized(scores, degrees, norm), path, dataset=dataset, split=part, alpha=alpha, topk=topk, norm=norm)
+
+
+def write_results(results: DataFrame, folder: str) -> str:
+    """JSON lines in a folder of its own under `folder`."""
+    import uuid
+
+    path = f"{folder}/{uuid.uuid4().hex}"
+    results.write.json(path)
+    return path
+
+
+def run_configs(files: list[str], run) -> list:
+    """Calls run(**config) for every distinct configuration of the files."""
+    configs = [c for f in files for c in generate_configs(read_config(f))]
+    unique = {json.dumps(c, sort_keys=True, default=str): c for c in configs}
+    return [run(**c) for c in unique.values()]

@@ -42,6 +42,7 @@ SIDE_WORDS = frozenset(
     "navigation newsletter notice notices pagination popup promo promoted related recommended reply replies search share sharing sidebar signup social sponsor sponsored "
     "subscribe tags toolbar widget disqus discussion".split()
 )
+SIDE_STEMS = ("comment", "advert", "cookie", "sidebar", "newsletter", "breadcrumb", "footer", "promo", "sponsor", "banner", "navbar", "consent")
 MAIN_WORDS = frozenset("article content entry main post story body text".split())
 
 PLAIN, IN_MAIN, IN_SIDE = 0, 1, 2
@@ -76,7 +77,7 @@ def _container(name: str, attributes: str, now: int) -> int:
         return IN_SIDE
     if attributes and name not in INLINE and name not in ("body", "html"):
         marks = _marks(attributes)
-        if marks & SIDE_WORDS or _HIDDEN.search(attributes):
+        if marks & SIDE_WORDS or any(m.startswith(SIDE_STEMS) for m in marks) or _HIDDEN.search(attributes):
             return IN_SIDE
         if marks & MAIN_WORDS:
             return IN_MAIN
@@ -165,6 +166,8 @@ LABELLED = (
     "<p>{{It goes on with a second paragraph that has many words as well, more than any menu would have.}}</p><p><a>Next page</a></p><div>All rights reserved</div>",
     "<article><h1>{{Head}}</h1>{{Loose text in the article without paragraph}}<table><tr><td>{{A cell}}</td></tr></table><blockquote>{{A quote of some words}}</blockquote></article>"
     "<div>Page 1</div><section class=related><p>Another story about something else that is long enough to look like running text on this page</p></section>",
+    "<article><h1><a>{{Linked head}}</a></h1><p>{{Words of a text.}}</p><ul><li><a>{{A linked item}}</a></li><li><a>{{Another one}}</a></li></ul><p><a>{{A whole linked paragraph of words}}</a></p>"
+    "<div>{{Loose words}}</div></article><div><a>Foot link</a></div><div>Made by us in the year of the site</div>",
     "<nav>Menu of the site</nav><p>{{One paragraph of more than a dozen words stands on a page that has no main container at all.}}</p><footer>Imprint and a long legal notice that goes on for a "
     "number of words so that it looks like text but is not</footer>",
 )

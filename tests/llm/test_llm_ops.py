@@ -429,14 +429,66 @@ def test_url_models_tell_classes_apart():
     assert total == pytest.approx(1.0, abs=1e-6)
 
 
-def test_pipeline_runs_all_stages(spark, docs, tmp_path):
+def test_pipeline_stages_match_brute_force(spark, tmp_path):
+    """Every stage on what its predecessor kept, against plain Python; ids are unique here."""
     import corpus_pipeline
 
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language", "exact", "near", "mixing", "packing"]
-    now = docs
-    for _, stage in corpus_pipeline.STAGES[:-1]:
-        now = stage(spark, now, SF)
-        assert now.columns == docs.columns
+    real = spark.read.parquet(f"{SF}/documents.parquet").filter("doc_id < 120").collect()
+    rows = [(r.doc_id, r.text, r.lang, r.source, r.n_chars) for r in real]
+    rows += [(900 + i, t, None, ["src1", None][i % 2], None) for i, t in enumerate(TEXTS[:14])] + [(990, rows[3][1] + " ", "fr", "src1", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     docs.write.parquet(f"{tmp_path}/documents.parquet")
-    out = corpus_pipeline.run(spark, str(tmp_path))
-    assert out.count() > 0
+
+    kept = [r for r in rows if any(map(str.isalpha, r[1] or ""))]
+    now = corpus_pipeline.language(spark, docs, str(tmp_path))
+    got = {r.doc_id: r for r in now.collect()}
+    assert set(got) == {r[0] for r in kept} and all(got[r[0]].lang == (r[2] or got[r[0]].lang) is not None for r in kept)
+
+    groups = {}
+    for r in kept:
+        groups.setdefault(bare(r[1]), []).append((-len(r[1]), r[0], r))
+    kept = [min(g)[2] for g in groups.values()]
+    now = corpus_pipeline.exact(spark, now, str(tmp_path)).cache()
+    assert {r.doc_id for r in now.collect()} == {r[0] for r in kept} and now.count() == len(kept)
+
+    sets = {r[0]: shingles(r[1]) for r in kept}
+    links = [(a, b) for a, b in itertools.combinations(sets, 2) if sets[a] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    where = components(sets, links)
+    kept = [r for r in kept if where[r[0]] == r[0]]
+    now = corpus_pipeline.near(spark, now, str(tmp_path)).cache()
+    assert sorted(r.doc_id for r in now.collect()) == sorted(r[0] for r in kept)
+
+    size = {r[0]: len(re.findall(r"[^\x20\x09-\x0D]+", r[1])) for r in kept}
+    sums = {}
+    for r in kept:
+        sums[r[3]] = sums.get(r[3], 0) + size[r[0]]
+    names = sorted(sums, key=lambda s: (s is None, s or ""))
+    weight, fixed = {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}, {}
+    while True:
+        free = [s for s in names if s not in fixed]
+        level = (sum(sums.values()) - sum(fixed.values())) / sum(weight[s] for s in free)
+        over = [s for s in free if level * weight[s] >= 3 * sums[s]]
+        if not over:
+            break
+        fixed |= {s: 3 * sums[s] for s in over}
+    copies = {}
+    for s in names:
+        target, at = fixed.get(s, level * weight[s]), 0
+        for r in sorted((r for r in kept if r[3] == s), key=lambda r: hashlib.md5(str(r[0]).encode()).hexdigest()):
+            copies[r[0]] = sum(n * sums[s] + at + size[r[0]] / 2 <= target for n in range(3))
+            at += size[r[0]]
+    now = corpus_pipeline.mixing(spark, now, str(tmp_path)).cache()
+    times = {}
+    for r in now.collect():
+        times[r.doc_id] = times.get(r.doc_id, 0) + 1
+    assert times == {i: c for i, c in copies.items() if c} and now.columns == docs.columns
+
+    lengths = [min(4096, size[i] - at) for i, c in copies.items() for _ in range(c) for at in range(0, max(1, size[i]), 4096)]
+    packed = corpus_pipeline.packing(spark, now, str(tmp_path)).collect()
+    assert sorted(r.n_tokens for r in packed) == sorted(lengths)
+    bounds = packing.optimal_buckets({x: lengths.count(x) for x in lengths}, 16)
+    assert all(r.bucket == min(b for b in bounds if b >= r.n_tokens) for r in packed)
+
+    whole = corpus_pipeline.run(spark, str(tmp_path))
+    assert rows_of(whole) == sorted((tuple(r) for r in packed), key=repr)

@@ -353,3 +353,13 @@ def test_rank_one_margins_equal_brute_force(spark):
         assert r.margin == pytest.approx(out[labels[i]] - max(out[c] for c in range(3) if c != labels[i]), abs=1e-4)
     run = attacks.local_batched_prbcd(edges, nodes, logits, i, 1, alpha, 6)
     assert run.pairs.count() == 1
+
+
+def test_gcn_training_finds_labels(spark):
+    a, x, _, edges, _ = random_graph(spark, 24, 0.15, 41)
+    hop = dense_norm(a) @ x
+    nodes = nodes_of(spark, {i: v.tolist() for i, v in enumerate(x)}, {i: int(hop[i, 0] > 0) for i in range(24)})
+    split = spark.createDataFrame([(i, ["train", "train", "val"][i % 3]) for i in range(24)], "id long, part string")
+    weights, trace = models.train_gcn(edges, nodes, split, 4, 5, 0.1)
+    assert trace[-1]["train"] < trace[0]["train"] and weights["w1"].shape == (5, 4)
+    assert models.batch_ids(split, 4).groupBy("part").agg(F.max("batch").alias("m")).filter("m > 3").isEmpty()

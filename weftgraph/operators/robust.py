@@ -115,12 +115,6 @@ def soft_median(edges: DataFrame, nodes: DataFrame, x: DataFrame, temperature: f
     return joined.groupBy(F.col("src").alias("id"), "k").agg(F.sum(F.col("s") * F.col("w") * F.col("v")).alias("v"))
 
 
-def mean(edges: DataFrame, x: DataFrame) -> DataFrame:
-    from .propagate import spmm
-
-    return spmm(edges, x)
-
-
 #: Robust aggregations by name; each takes (edges, nodes, long form, parameters).
 ROBUST_MEANS = {
     "dimmedian": lambda edges, nodes, x, **_: dimwise_median(edges, x),

@@ -7,8 +7,9 @@ Both are bijections of 32-bit values, so two permutations give all 128 coordinat
 
 Documents with equal sets are one class, and one of them stands for it. Bands of 4
 coordinates put representatives into buckets. A bucket is compared with its leader, never
-all with all; verified links join components, and only members of a bucket that are still
-in different components are compared further. Every link rests on the full sets.
+all with all, and verified links join components. Documents of buckets that still hold
+several components go through an exact prefix filter, whose pairs grow with real
+similarity and not with the size of a bucket. Every link rests on the full sets.
 """
 
 from __future__ import annotations
@@ -18,10 +19,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import LOWER, NOT_SPACE, STEP_BYTES, Scratch, gram_hashes, mix64, signed, steps, word_hashes, word_spans
+from ._common import LOWER, NOT_SPACE, STEP_BYTES, Scratch, free_name, gram_hashes, mix64, signed, steps, word_hashes, word_spans
 
 SHINGLE, BANDS, ROWS = 5, 32, 4
 _U, _V = np.uint64, np.uint32
@@ -149,6 +150,46 @@ def _verified(pairs: DataFrame, sketch: DataFrame, percent: int) -> DataFrame:
     return joined.mapInArrow(lambda x: _confirm(x, percent), "a long, b long")
 
 
+def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, c, n, token): every shingle of the documents, one row each."""
+    unpack = zstandard.ZstdDecompressor()
+    for batch in batches:
+        ids, c = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        for at in range(0, len(batch), 64):
+            raw = [unpack.decompress(x.as_py()) for x in batch.column(2).slice(at, 64)]
+            sets = shingle_sets(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in raw])]))
+            n = np.array([len(x) for x in sets])
+            columns = [np.repeat(x, n) for x in (ids[at : at + 64], c[at : at + 64], n)] + [signed(np.concatenate(sets))]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["doc_id", "c", "n", "token"])
+
+
+def _prefix_pairs(open_: DataFrame, sketch: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
+    """Candidate pairs (a, b) of open_(doc_id, c) in different components c, losing no link.
+
+    Two sets of similarity t share a shingle among the n - ceil(t n) + 1 first of each in
+    any common order, and the first that they share stands so early in both that what
+    follows can still make up the overlap t (n_a + n_b) / (1 + t). In the order of document
+    frequency, rarest first, a document whose own text fills its prefix has no candidates,
+    whatever passages it shares. Of a shared shingle only documents outside its most
+    frequent component look for partners.
+    """
+    rows = open_.join(sketch.select("doc_id", "body"), "doc_id").select("doc_id", "c", "body")
+    tokens = rows.mapInArrow(_tokens, "doc_id long, c long, n long, token long")
+    repeated = scratch.write(tokens.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1"), "repeated")
+    known = tokens.join(repeated, "token")
+    doc = Window.partitionBy("doc_id")
+    known = known.withColumn("rank", F.row_number().over(doc.orderBy("df", "token"))).withColumn("others", F.col("n") - F.count("*").over(doc))
+    known = known.withColumn("i", F.col("others") + F.col("rank"))
+    prefix = scratch.write(known.filter(f"i <= n - ceil({percent} * n / 100) + 1").select("doc_id", "c", "n", "i", "token"), "prefix")
+    sizes = prefix.groupBy("token", "c").agg(F.count("*").alias("m"))
+    most = sizes.groupBy("token").agg(F.max(F.struct("m", "c")).alias("top"), F.count("*").alias("parts")).filter("parts > 1")
+    shared = prefix.join(most.select("token", F.col("top.c").alias("top")), "token")
+    other = shared.select("token", F.col("doc_id").alias("d"), F.col("n").alias("n_d"), F.col("i").alias("i_d"), F.col("c").alias("c_d"))
+    near = f"100 * least(n, n_d) >= {percent} * greatest(n, n_d) and {100 + percent} * (1 + least(n - i, n_d - i_d)) >= {percent} * (n + n_d)"
+    met = shared.filter("c <> top").join(other, "token").filter(f"c <> c_d and {near}")
+    return met.select(F.least("doc_id", "d").alias("a"), F.greatest("doc_id", "d").alias("b")).distinct()
+
+
 def components(edges: DataFrame, scratch: Scratch, tag: str) -> DataFrame:
     """(node, component): the smallest node reachable over edges (a, b), by alternating large and small stars.
 
@@ -205,13 +246,12 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     links = scratch.write(_verified(pairs, sketch, percent), "links")
     first = scratch.write(components(links, scratch, "first"), "first")
 
-    # Second round: members of one bucket that are still in different components.
+    # Second round: documents of buckets that still hold several components, by an exact prefix filter.
     split = bands.join(leaders.select("key"), "key").join(first, bands.doc_id == first.node, "left")
     split = scratch.write(split.select("key", "doc_id", "n", F.coalesce("component", "doc_id").alias("c")), "split")
-    mixed = split.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("key")
-    open_ = scratch.write(split.join(mixed, "key"), "open")
-    other = open_.select("key", F.col("doc_id").alias("a"), F.col("n").alias("n_a"), F.col("c").alias("c_a"))
-    rest = open_.join(other, "key").filter("a < doc_id and c <> c_a").filter(near).select("a", F.col("doc_id").alias("b")).distinct()
+    mixed = scratch.write(split.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("key"), "mixed")
+    open_ = scratch.write(split.join(mixed, "key").groupBy("doc_id").agg(F.min("c").alias("c")), "open")
+    rest = _prefix_pairs(open_, sketch, scratch, percent)
     rest = scratch.write(rest.join(pairs, ["a", "b"], "left_anti"), "rest")
     more = scratch.write(_verified(rest, sketch, percent), "more")
     joined = components(links.unionByName(more), scratch, "last") if not more.isEmpty() else first
@@ -225,14 +265,15 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
     )
     out = scratch.write(out, "out")
-    scratch.drop("sketch", "classes", "bands", "leaders", "pairs", "links", "first", "split", "open", "rest", "more")
+    scratch.drop("sketch", "classes", "bands", "leaders", "pairs", "links", "first", "split", "mixed", "open", "repeated", "prefix", "rest", "more")
     return out
 
 
 def keep_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs whose document stays, one document of each component, with all their columns."""
-    stay = near_dedup(docs, id_col, text_col).filter("kept").select(F.col("doc_id").alias("__stay__")).distinct()
-    return docs.join(stay, F.col(id_col).eqNullSafe(F.col("__stay__")), "left_semi")
+    key = free_name(docs, "stay")
+    stay = near_dedup(docs, id_col, text_col).filter("kept").select(F.col("doc_id").alias(key)).distinct()
+    return docs.join(stay, F.col(id_col).eqNullSafe(F.col(key)), "left_semi")
 
 
 #: Shingles, links and reachability in plain SQL; for small tables.

@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that one vectorised step handles at once; a longer text is a step of its own.
-STEP_BYTES = 1 << 20
+STEP_BYTES = 1 << 19
 
 #: `[\x20\x09-\x0D]`: the white space of the word and size definitions.
 SPACE = bytes([0x20, *range(0x09, 0x0E)])

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from ._common import SPACE, Scratch, free_name
 
 #: Bytes of distinct text that a task pre-aggregates before it flushes its entries.
-FLUSH_BYTES = 16 << 20
+FLUSH_BYTES = 8 << 20
 
 _PAGE = "doc_id long, chars long, entry long, hash long, size long, text binary, text_sha256 string"
 
@@ -55,8 +55,8 @@ def _pages(batches: Iterator[pa.RecordBatch], hash_bits: int) -> Iterator[pa.Rec
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
     for batch in batches:
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            text = text or ""
+        for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
+            doc_id, text = doc_id.as_py(), text.as_py() or ""
             bare = text.encode().translate(None, SPACE)
             e = entries.get(bare)
             if e is None:

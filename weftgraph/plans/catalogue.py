@@ -146,11 +146,11 @@ def logits_view(s: SparkSession, d: str) -> DataFrame:
 
 
 def ppr_view(s: SparkSession, d: str) -> DataFrame:
-    return ppr.power_series(norm_view(s, d), nodes_view(s, d).filter("id % 25 = 0"), 0.15, 4)
+    return ppr.power_rows(norm_view(s, d), nodes_view(s, d), 0.15)
 
 
 def ppr_top(s: SparkSession, d: str) -> DataFrame:
-    return ppr.top_k_rows(ppr_view(s, d), 16, 9)
+    return ppr.power_rows(norm_view(s, d), nodes_view(s, d), 0.15, k=16, digits=9)
 
 
 # ------------------------------------------------------------ reshaping
@@ -501,22 +501,22 @@ def _ppr_norm(up: str, down: str) -> str:
 
 @query(_ppr_norm("sqrt(a.d)", "sqrt(b.d)"))
 def ppr_norm_sym(s, d):
-    return edge_rows(ppr.normalized(ppr_view(s, d), normalize.degree(edges_view(s, d)), "sym").filter("weight > 0"))
+    return edge_rows(ppr.normalized(ppr_view(s, d), F.broadcast(normalize.degree(edges_view(s, d))), "sym").filter("weight > 0"))
 
 
 @query(_ppr_norm("a.d", "b.d"))
 def ppr_norm_col(s, d):
-    return edge_rows(ppr.normalized(ppr_view(s, d), normalize.degree(edges_view(s, d)), "col").filter("weight > 0"))
+    return edge_rows(ppr.normalized(ppr_view(s, d), F.broadcast(normalize.degree(edges_view(s, d))), "col").filter("weight > 0"))
 
 
 @query("SELECT src, dst, round(weight / sum(weight) OVER (PARTITION BY src), 6) AS weight FROM pprk")
 def gdc_edges(s, d):
-    return edge_rows(ppr.renormalize_rows(ppr_top(s, d)))
+    return edge_rows(ppr.gdc(norm_view(s, d), nodes_view(s, d), 0.15, 16, digits=9))
 
 
 @query("SELECT n.id FROM nodes n WHERE id NOT IN (SELECT src FROM ppr)")
 def ppr_missing_rows(s, d):
-    return ppr.missing_rows(nodes_view(s, d), ppr_view(s, d))
+    return ppr.missing_rows(nodes_view(s, d), ppr_top(s, d))
 
 
 PARTS = [(i, i * 40, i * 40 + 70 + 10 * (i % 2)) for i in range(5)]

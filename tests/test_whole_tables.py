@@ -71,3 +71,27 @@ def test_power_rows_equal_the_joins(spark):
         for limit in (5_000_000, 2):
             got = ppr.power_rows(edges, seeds, 0.2, 5, k, max_edges=limit)
             assert np.allclose(dense(got.toPandas(), 100), dense(want.toPandas(), 100), atol=1e-12)
+
+
+def neighbour_weights(spark, n):
+    return dense(catalogue.weighted_view(spark, SF).toPandas(), n)
+
+
+def medoids(weights, x, temperature=None):
+    out = {}
+    for i, row in enumerate(weights):
+        near = np.flatnonzero(row)
+        if len(near):
+            cost = np.linalg.norm(x[near][:, None] - x[near][None], axis=2) @ row[near]
+            w = np.eye(len(near))[cost.round(9).argmin()] if temperature is None else np.exp((cost.min() - cost) / temperature)
+            out[i] = row.sum() * (w / w.sum()) @ x[near]
+    return out
+
+
+@pytest.mark.parametrize(("name", "temperature"), [("medoid", None), ("soft_medoid", 1.0)])
+def test_medoids_see_all_neighbours(spark, graph, name, temperature):
+    got = run(spark, name)
+    x = graph[1][:, : got.k.max() + 1]
+    want = medoids(neighbour_weights(spark, len(x)), x, temperature)
+    found = dense(got, len(x), "id", "k", "v", x.shape[1])
+    assert set(got.id) == set(want) and all(np.allclose(found[i], v, atol=2e-6) for i, v in want.items())

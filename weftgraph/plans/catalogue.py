@@ -24,7 +24,7 @@ ORACLES: dict[str, str] = {}
 
 #: Attribute columns that the medians and medoids use.
 DIMS = 8
-#: Heaviest neighbours that the quadratic aggregates see in these queries.
+#: Heaviest neighbours of the k-neighbourhood and top-k queries.
 NEAR = 8
 DRAW = "(('0x' || substr(md5({}), 1, 8))::BIGINT / 4294967296.0)"
 
@@ -451,7 +451,7 @@ SOFT = "sw AS (SELECT src, j, exp(-cost / {t}) / sum(exp(-cost / {t})) OVER (PAR
 
 @query(MEDOID.format("nearsum"))
 def medoid(s, d):
-    return x_rows(robust.medoid(near_view(s, d), small_nodes(s, d)))
+    return x_rows(robust.medoid(weighted_view(s, d), small_nodes(s, d)))
 
 
 @query(MEDOID.format("rowsum"))
@@ -461,7 +461,7 @@ def k_medoid(s, d):
 
 @query(f"WITH {SOFT.format(t=1.0)} SELECT sw.src AS id, x.k, round(sum(s * w * x.v), 6) AS v FROM sw JOIN nearsum r ON r.src = sw.src JOIN x ON x.id = sw.j GROUP BY 1, 2")
 def soft_medoid(s, d):
-    return x_rows(robust.soft_medoid(near_view(s, d), small_nodes(s, d)))
+    return x_rows(robust.soft_medoid(weighted_view(s, d), small_nodes(s, d)))
 
 
 @query(

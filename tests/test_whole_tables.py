@@ -95,3 +95,25 @@ def test_medoids_see_all_neighbours(spark, graph, name, temperature):
     want = medoids(neighbour_weights(spark, len(x)), x, temperature)
     found = dense(got, len(x), "id", "k", "v", x.shape[1])
     assert set(got.id) == set(want) and all(np.allclose(found[i], v, atol=2e-6) for i, v in want.items())
+
+
+def test_attribute_queries_read_all_columns(spark, graph):
+    a, x, norm = graph
+    n, m = x.shape
+    weights = neighbour_weights(spark, n)
+    assert np.allclose(dense(run(spark, "sgc_two_hop"), n, "id", "k", "v", m), norm @ norm @ x, atol=2e-6)
+    w1 = (np.cos(np.arange(m)[:, None] * 3 + np.arange(6) * 7) / 4).round(6)
+    w2 = (np.sin(np.arange(6)[:, None] * 5 + np.arange(10) * 2) / 2).round(6)
+    assert np.allclose(dense(run(spark, "gcn_forward"), n, "id", "k", "z", 10), norm @ np.maximum(norm @ x @ w1, 0) @ w2, atol=2e-6)
+    median = np.zeros_like(x)
+    for i, row in enumerate(weights):
+        near = np.flatnonzero(row)
+        for k in range(m if len(near) else 0):
+            order = near[np.lexsort((near, x[near, k]))]
+            median[i, k] = row.sum() * x[order[np.argmax(2 * row[order].cumsum() >= row.sum() - 1e-12)], k]
+    assert np.allclose(dense(run(spark, "dimwise_median"), n, "id", "k", "v", m), median, atol=2e-6)
+    got = run(spark, "pairwise_distance_topk")
+    assert np.allclose(got.dist, np.linalg.norm(x[got.j] - x[got.m], axis=1), atol=2e-6)
+    for name in ("medoid", "k_medoid", "soft_medoid", "soft_k_medoid", "soft_median"):
+        assert set(run(spark, name).k) == set(range(m)), name
+    assert catalogue.surrogate().weight.shape[0] == m

@@ -22,8 +22,10 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
-#: Attribute columns that the medians and medoids use.
+#: Attribute columns that the SQL of these queries reads; the queries read all of them.
 DIMS = 8
+#: Attribute columns of the tables, for the weights of the demo models.
+ATTRS = 64
 #: Heaviest neighbours of the k-neighbourhood and top-k queries.
 NEAR = 8
 DRAW = "(('0x' || substr(md5({}), 1, 8))::BIGINT / 4294967296.0)"
@@ -121,10 +123,6 @@ def x_rows(x: DataFrame) -> DataFrame:
 EDGE_SQL = "SELECT src, dst, round(weight, 6) AS weight FROM "
 
 
-def small_nodes(s: SparkSession, d: str) -> DataFrame:
-    return nodes_view(s, d).withColumn("attr", F.slice("attr", 1, DIMS))
-
-
 def weighted_view(s: SparkSession, d: str) -> DataFrame:
     return edges_view(s, d).withColumn("weight", F.round(0.1 + uniform("w", "src", "dst"), 6))
 
@@ -134,7 +132,7 @@ def near_view(s: SparkSession, d: str) -> DataFrame:
 
 
 def x_view(s: SparkSession, d: str) -> DataFrame:
-    return long_form(nodes_view(s, d), DIMS)
+    return long_form(nodes_view(s, d))
 
 
 def norm_view(s: SparkSession, d: str) -> DataFrame:
@@ -451,17 +449,17 @@ SOFT = "sw AS (SELECT src, j, exp(-cost / {t}) / sum(exp(-cost / {t})) OVER (PAR
 
 @query(MEDOID.format("nearsum"))
 def medoid(s, d):
-    return x_rows(robust.medoid(weighted_view(s, d), small_nodes(s, d)))
+    return x_rows(robust.medoid(weighted_view(s, d), nodes_view(s, d)))
 
 
 @query(MEDOID.format("rowsum"))
 def k_medoid(s, d):
-    return x_rows(robust.k_medoid(weighted_view(s, d), small_nodes(s, d), NEAR))
+    return x_rows(robust.k_medoid(weighted_view(s, d), nodes_view(s, d), NEAR))
 
 
 @query(f"WITH {SOFT.format(t=1.0)} SELECT sw.src AS id, x.k, round(sum(s * w * x.v), 6) AS v FROM sw JOIN nearsum r ON r.src = sw.src JOIN x ON x.id = sw.j GROUP BY 1, 2")
 def soft_medoid(s, d):
-    return x_rows(robust.soft_medoid(weighted_view(s, d), small_nodes(s, d)))
+    return x_rows(robust.soft_medoid(weighted_view(s, d), nodes_view(s, d)))
 
 
 @query(
@@ -469,7 +467,7 @@ def soft_medoid(s, d):
     "SELECT cw.src AS id, x.k, round(sum(s * w * x.v), 6) AS v FROM cw JOIN rowsum r ON r.src = cw.src JOIN x ON x.id = cw.j GROUP BY 1, 2"
 )
 def soft_k_medoid(s, d):
-    return x_rows(robust.soft_k_medoid(weighted_view(s, d), small_nodes(s, d), NEAR, 0.5))
+    return x_rows(robust.soft_k_medoid(weighted_view(s, d), nodes_view(s, d), NEAR, 0.5))
 
 
 @query(
@@ -479,12 +477,12 @@ def soft_k_medoid(s, d):
     SELECT sn.src AS id, x.k, round(sum(s * w * x.v), 6) AS v FROM sn JOIN rowsum r ON r.src = sn.src JOIN x ON x.id = sn.id GROUP BY 1, 2"""
 )
 def soft_median(s, d):
-    return x_rows(robust.soft_median(weighted_view(s, d), small_nodes(s, d), x_view(s, d), 0.5))
+    return x_rows(robust.soft_median(weighted_view(s, d), nodes_view(s, d), x_view(s, d), 0.5))
 
 
 @query("SELECT p.src, p.j, p.m, round(dist, 6) AS dist FROM pairs p JOIN dist ON dist.j = p.j AND dist.m = p.m")
 def pairwise_distance_topk(s, d):
-    return robust.pair_distances(near_view(s, d), small_nodes(s, d)).select("src", "j", "m", r6("dist").alias("dist"))
+    return robust.pair_distances(near_view(s, d), nodes_view(s, d)).select("src", "j", "m", r6("dist").alias("dist"))
 
 
 # ------------------------------------------------------------ PageRank
@@ -549,13 +547,13 @@ def ppr_weighted_logits(s, d):
 
 
 def demo_weights(s: SparkSession) -> tuple[DataFrame, DataFrame]:
-    """Fixed weight tables, the same as in the SQL."""
+    """Fixed weight tables; the SQL has the same for the first DIMS columns."""
     k, h = F.col("k"), F.col("h")
 
     def grid(a: int, b: int) -> DataFrame:
         return s.range(a * b).select((F.col("id") / b).cast("int").alias("k"), (F.col("id") % b).cast("int").alias("h"))
 
-    return grid(DIMS, 6).withColumn("w", F.round(F.cos(k * 3 + h * 7) / 4, 6)), grid(6, 10).withColumn("w", F.round(F.sin(k * 5 + h * 2) / 2, 6))
+    return grid(ATTRS, 6).withColumn("w", F.round(F.cos(k * 3 + h * 7) / 4, 6)), grid(6, 10).withColumn("w", F.round(F.sin(k * 5 + h * 2) / 2, 6))
 
 
 @query("SELECT n.src AS id, c.k, round(sum(n.weight * c.v), 6) AS z FROM norm n JOIN (SELECT h.id, w2.h AS k, sum(h.v * w2.w) AS v FROM hid h JOIN w2 ON w2.k = h.k GROUP BY 1, 2) c ON c.id = n.dst GROUP BY 1, 2")
@@ -696,7 +694,7 @@ def resample_keep_half(s, d):
 def surrogate() -> attacks.Linear2:
     import numpy as np
 
-    return attacks.Linear2(np.array([[round(math.cos(k * 3 + c * 7), 6) for c in range(10)] for k in range(DIMS)]))
+    return attacks.Linear2(np.array([[round(math.cos(k * 3 + c * 7), 6) for c in range(10)] for k in range(ATTRS)]))
 
 
 GRADIENT = """WITH sw(k, c, w) AS (SELECT k, c, round(cos(k * 3 + c * 7), 6) FROM range(8) a(k), range(10) b(c)),
@@ -716,18 +714,18 @@ GRADIENT = """WITH sw(k, c, w) AS (SELECT k, c, round(cos(k * 3 + c * 7), 6) FRO
 @query(GRADIENT)
 def edge_gradient_step(s, d):
     block = attacks.random_block(nodes_view(s, d), 2000, 3)
-    found = attacks.edge_gradient(edges_view(s, d), small_nodes(s, d), surrogate(), nodes_view(s, d), block)
+    found = attacks.edge_gradient(edges_view(s, d), nodes_view(s, d), surrogate(), nodes_view(s, d), block)
     return found.select("src", "dst", (F.round(F.col("grad") * 1e4, 4) + 0.0).alias("grad"))
 
 
 @query()
 def greedy_flip(s, d):
-    return attacks.greedy_rbcd(edges_view(s, d), small_nodes(s, d), surrogate(), nodes_view(s, d), 10, 2, 2000, seed=3).pairs
+    return attacks.greedy_rbcd(edges_view(s, d), nodes_view(s, d), surrogate(), nodes_view(s, d), 10, 2, 2000, seed=3).pairs
 
 
 @query()
 def prbcd_pairs(s, d):
-    return attacks.prbcd(edges_view(s, d), small_nodes(s, d), surrogate(), nodes_view(s, d), 10, 3, 1, 1000, samples=2, seed=3).pairs
+    return attacks.prbcd(edges_view(s, d), nodes_view(s, d), surrogate(), nodes_view(s, d), 10, 3, 1, 1000, samples=2, seed=3).pairs
 
 
 @query(
@@ -759,11 +757,11 @@ def powerlaw_stats(s, d):
     SELECT v AS dst, round(max(CASE WHEN c = label THEN z END) - max(CASE WHEN c <> label THEN z END), 6) AS score FROM z, (SELECT label FROM nodes WHERE id = 3) GROUP BY 1"""
 )
 def nettack_struct_score(s, d):
-    nodes = small_nodes(s, d)
+    nodes = nodes_view(s, d)
     cand = nodes.filter("id % 20 = 1 and id <> 3").select(F.lit(3).cast("long").alias("src"), F.col("id").alias("dst"))
     return attacks.struct_scores(edges_view(s, d), nodes, surrogate(), 3, cand).select("dst", r6("score").alias("score"))
 
 
 @query()
 def nettack_edges(s, d):
-    return attacks.nettack(edges_view(s, d), small_nodes(s, d), surrogate(), 3, 2).pairs
+    return attacks.nettack(edges_view(s, d), nodes_view(s, d), surrogate(), 3, 2).pairs

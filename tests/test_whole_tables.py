@@ -6,7 +6,8 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from weftgraph.operators import ppr
+from weftgraph.graph import Graph
+from weftgraph.operators import components, ppr
 from weftgraph.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
@@ -117,3 +118,35 @@ def test_attribute_queries_read_all_columns(spark, graph):
     for name in ("medoid", "k_medoid", "soft_medoid", "soft_k_medoid", "soft_median"):
         assert set(run(spark, name).k) == set(range(m)), name
     assert catalogue.surrogate().weight.shape[0] == m
+
+
+def test_components_two_hops_and_scores_cover_the_graph(spark, graph):
+    a, x, norm = graph
+    n, comp = len(a), np.arange(len(a))
+    for _ in range(n):
+        low = np.minimum(comp, np.where(a > 0, comp[None], n).min(1))
+        if (low == comp).all():
+            break
+        comp = low
+    ids, sizes = np.unique(comp, return_counts=True)
+    assert dict(run(spark, "component_sizes").itertuples(index=False)) == dict(zip(ids, sizes, strict=True))
+    inside = comp == ids[sizes.argmax()]
+    assert len(run(spark, "largest_component")) == a[np.ix_(inside, inside)].sum()
+    assert np.allclose(dense(run(spark, "two_hop_weights"), n), norm @ norm, atol=2e-6)
+    h = x @ catalogue.surrogate().weight
+    label = pd.read_parquet(f"{SF}/embeddings.parquet").set_index("vec_id").label[3]
+    got = run(spark, "nettack_struct_score").set_index("dst").score
+    assert set(got.index) == set(range(n)) - {3}
+    for v in got.index:
+        b = a + np.eye(n)
+        b[3, v] = b[v, 3] = 1 - b[3, v]
+        s = 1 / np.sqrt(b.sum(0))
+        z = ((b[3] * s[3] * s) @ (b * s[:, None] * s)) @ h
+        assert abs(got[v] - (z[label] - np.delete(z, label).max())) < 1e-5
+
+
+def test_several_components(spark):
+    edges = spark.createDataFrame([(i, j, 1.0) for p, q in [(0, 1), (1, 2), (4, 5), (6, 7), (7, 8), (8, 9)] for i, j in ((p, q), (q, p))], "src long, dst long, weight double")
+    nodes = spark.range(10)
+    assert dict(components.component_sizes(components.components(nodes, edges)).toPandas().itertuples(index=False)) == {0: 3, 3: 1, 4: 2, 6: 4}
+    assert components.largest_components(Graph(edges, nodes)).edges.count() == 6

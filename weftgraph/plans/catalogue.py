@@ -326,13 +326,9 @@ COMPONENT = """WITH RECURSIVE half AS (SELECT src, dst FROM edges WHERE src % 4
     lab AS (SELECT id, min(c) AS comp FROM reach GROUP BY 1) """
 
 
-def split_edges(s, d):
-    return edges_view(s, d).filter("src % 4 = dst % 4")
-
-
 @query(COMPONENT + "SELECT comp, count(*) AS size FROM lab GROUP BY 1")
 def component_sizes(s, d):
-    return components.component_sizes(components.components(nodes_view(s, d), split_edges(s, d)))
+    return components.component_sizes(components.components(nodes_view(s, d), edges_view(s, d)))
 
 
 @query(
@@ -341,7 +337,7 @@ def component_sizes(s, d):
     SELECT a.new AS src, b.new AS dst FROM half JOIN keepers a ON a.id = half.src JOIN keepers b ON b.id = half.dst"""
 )
 def largest_component(s, d):
-    return components.largest_components(graph_view(s, d).with_edges(split_edges(s, d))).edges.select("src", "dst")
+    return components.largest_components(graph_view(s, d).with_edges(edges_view(s, d))).edges.select("src", "dst")
 
 
 @query(
@@ -411,7 +407,7 @@ def sgc_two_hop(s, d):
 @query("SELECT a.src, b.dst, round(sum(a.weight * b.weight), 6) AS weight FROM norm a JOIN norm b ON b.src = a.dst WHERE a.src % 10 = 0 GROUP BY 1, 2")
 def two_hop_weights(s, d):
     a = norm_view(s, d)
-    return edge_rows(propagate.spgemm(a.filter("src % 10 = 0"), a))
+    return edge_rows(propagate.spgemm(a, a))
 
 
 @query("SELECT n.src AS id, round(sqrt(sum(h * h)), 6) AS norm2 FROM (SELECT n.src, x.k, sum(n.weight * x.v) AS h FROM norm n JOIN xall x ON x.id = n.dst GROUP BY 1, 2) n GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5")
@@ -758,7 +754,7 @@ def powerlaw_stats(s, d):
 )
 def nettack_struct_score(s, d):
     nodes = nodes_view(s, d)
-    cand = nodes.filter("id % 20 = 1 and id <> 3").select(F.lit(3).cast("long").alias("src"), F.col("id").alias("dst"))
+    cand = nodes.filter("id <> 3").select(F.lit(3).cast("long").alias("src"), F.col("id").alias("dst"))
     return attacks.struct_scores(edges_view(s, d), nodes, surrogate(), 3, cand).select("dst", r6("score").alias("score"))
 
 

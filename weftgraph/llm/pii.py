@@ -76,7 +76,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
                 done = domain.end()
         at = text.find("@", max(at + 1, done))
     for m in IP.finditer(text):
-        if all(int(x) <= 255 for x in m.group().split(".")) if len(m.group()) < 4000 else False:
+        if all(len(x) <= 3 and int(x or 0) <= 255 for x in (part.lstrip("0") for part in m.group().split("."))):
             out.append(("ip", *m.span()))
     for m in CARD.finditer(text):
         if m.end() - m.start() >= 14:

@@ -9,9 +9,12 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from weftgraph.llm import curriculum, exact_dedup, html_text, langid, license_scan, minhash, mpeg, packing, pii, url_filter
+from weftgraph.llm._common import Scratch
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row int, entry string, hash string"
@@ -67,9 +70,7 @@ def bare(text):
     return re.sub(r"[\x20\x09-\x0D]", "", text or "")
 
 
-@pytest.mark.parametrize("bits,depth,size", [(64, 14, 64 << 20), (64, 6, 500), (1, 4, 100)])
-def test_exact_dedup_matches_brute_force(docs, bits, depth, size):
-    rows = docs.select("doc_id", "text").collect()
+def brute_exact(rows):
     groups = {}
     for i, t in rows:
         groups.setdefault(bare(t), []).append((-len(t or ""), i is None, i or 0, i))
@@ -77,8 +78,23 @@ def test_exact_dedup_matches_brute_force(docs, bits, depth, size):
     for i, t in rows:
         keep = min(groups[bare(t)])[3]
         want.append((i, keep, len(groups[bare(t)]), i == keep, hashlib.sha256(bare(t).encode()).hexdigest()))
-    got = exact_dedup.exact_dedup(docs, bucket_bytes=size, max_depth=depth, hash_bits=bits).drop("keep_chars")
-    assert rows_of(got) == sorted(want, key=repr)
+    return sorted(want, key=repr)
+
+
+@pytest.mark.parametrize("bits,size", [(64, 64 << 20), (64, 500), (1, 100), (7, 100)])
+def test_exact_dedup_matches_brute_force(docs, bits, size):
+    got = exact_dedup.exact_dedup(docs, bucket_bytes=size, hash_bits=bits).drop("keep_chars")
+    assert rows_of(got) == brute_exact(docs.select("doc_id", "text").collect())
+
+
+def test_exact_dedup_flushes_keep_hot_texts(spark, monkeypatch):
+    rows = [(i, ["hot  text", "hot text", f"own {i}"][i % 3]) for i in range(400)]
+    batches = [pa.RecordBatch.from_pylist([{"doc_id": i, "text": t} for i, t in rows[k : k + 50]]) for k in range(0, 400, 50)]
+    monkeypatch.setattr(exact_dedup, "FLUSH_BYTES", 3000)
+    out = pa.Table.from_batches(exact_dedup._pages(iter(batches), 64)).to_pylist()
+    entries = [r for r in out if r["text"] is not None]
+    assert len(out) - len(entries) == 400 and len({r["entry"] for r in entries}) == len(entries)
+    assert [(r["size"], r["doc_id"], r["chars"]) for r in entries if r["text"] == b"hottext"] == [(267, 0, 9)]
 
 
 def test_exact_dedup_keeps_one_row_of_each_text(docs, empty):
@@ -90,12 +106,57 @@ def test_exact_dedup_keeps_one_row_of_each_text(docs, empty):
     assert exact_dedup.keep_exact(empty).count() == 0
 
 
-def test_directory_doubles_until_buckets_fit():
-    mass = {0: 5, 1: 5, 2: 1, 7: 100}
-    directory = exact_dedup.grow_directory(mass, 6, 3)
-    assert len(directory) == 8
-    assert directory[0] != directory[1] and directory[2] == directory[3] and directory[4] == directory[5] and directory[6] != directory[7]
-    assert exact_dedup.grow_directory({}, 6, 3) == [0]
+def test_keep_exact_with_repeated_ids(spark):
+    """Ids that repeat with other texts, rows that repeat as they are, and null ids."""
+    rng = random.Random(8)
+    rows = [(1, "aa"), (1, "bb  longer text"), (0, "bblonger text    "), (1, "aa"), (1, "a a"), (None, "aa  "), (None, "zz"), (None, "zz"), (None, None), (3, ""), (3, None)]
+    rows += [(rng.choice([1, 2, None]), rng.choice(["x y", "xy", "x  y", "p", None, "q q"])) for _ in range(60)]
+    df = spark.createDataFrame([(i, t, n, "k", 1) for n, (i, t) in enumerate(rows)], "doc_id long, text string, exact_key int, row_no string, stay_key int")
+    assert rows_of(exact_dedup.exact_dedup(df).drop("keep_chars")) == brute_exact(rows)
+    kept = exact_dedup.keep_exact(df)
+    assert kept.columns == df.columns
+    groups = {}
+    for i, t in rows:
+        groups.setdefault(bare(t), []).append((-len(t or ""), i is None, i or 0))
+    got = sorted((bare(r.text), -len(r.text or ""), r.doc_id is None, r.doc_id or 0) for r in kept.collect())
+    assert got == sorted((b, *min(g)) for b, g in groups.items())
+
+
+def test_directory_decides_where_keys_live(spark):
+    """Buckets are split until they fit, deeper where the hashes crowd, and a split moves keys to the new bucket's file."""
+    codes = np.array([k << 60 for k in range(16)] + [(5 << 60) + (k << 30) for k in range(1, 9)] + [7] * 50, np.uint64)
+
+    def measure(directory, todo):
+        found = {}
+        for number, code in zip(directory.bucket(codes).tolist(), codes.tolist(), strict=True):
+            if number in todo:
+                local = int(directory.local[number])
+                bits = min(exact_dedup.ROUND_BITS, 64 - local)
+                found.setdefault((number, (code << local & (1 << 64) - 1) >> 64 - bits), []).append(code)
+        return {k: (len(v), min(v) < max(v)) for k, v in found.items()}
+
+    directory = exact_dedup.grow_directory(measure, 3)
+    home = directory.bucket(codes)
+    for number in range(len(directory.starts)):
+        inside = codes[home == number]
+        assert len(inside) <= 3 or len(set(inside.tolist())) == 1
+    assert directory.depth > 30 and len(directory.starts) < 100
+    small = exact_dedup.grow_directory(lambda d, todo: {(0, 0): (2, True), (0, 1): (2, True), (0, 12): (3, True)}, 4)
+    assert small.depth == 1 and small.slots() == [0, 1]
+    small.split(1, 2)
+    assert small.depth == 3 and small.slots() == [0, 0, 0, 0, 1, 2, 3, 4]
+
+    scratch = Scratch(spark, "test")
+    rows = [(i, len(str(i)), i, (i * 0x9E3779B97F4A7C15) % (1 << 64) - (1 << 63), 1, f"text {i}".encode()) for i in range(300)]
+    entries = spark.createDataFrame(rows, "doc_id long, chars long, entry long, hash long, size long, text binary")
+    directory, index = exact_dedup.build_index(entries, scratch, 2000)
+    lives = {r.entry: r.bucket for r in index.collect()}
+    want = directory.bucket(np.array([r[3] + (1 << 63) for r in rows], np.uint64))
+    assert lives == {r[2]: int(b) for r, b in zip(rows, want, strict=True)} and len(set(lives.values())) > 10
+    files = {r.f for r in index.select(F.input_file_name().alias("f")).distinct().collect()}
+    assert sorted(int(re.search(r"bucket=(\d+)", f)[1]) for f in files) == sorted(set(lives.values()))  # one file a bucket
+    before, plain = exact_dedup.build_index(entries, scratch, 4000)
+    assert len(before.starts) < len(directory.starts) and rows_of(plain.drop("bucket")) == rows_of(index.drop("bucket"))
 
 
 def shingles(text):

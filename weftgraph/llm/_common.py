@@ -22,20 +22,26 @@ _U = np.uint64
 class Scratch:
     """Tables written to the shared checkpoint folder to cut lineage.
 
-    The folder is the session's ``spark.checkpoint.dir``; where that is unset (local
-    tests) a temporary folder is used. A written table is read again with the schema it
-    was written with, so empty tables work. ``drop`` removes tables that no later plan
-    reads.
+    The folder is the session's ``spark.checkpoint.dir``. Where that is unset, a local
+    session uses a temporary folder, and one on a cluster is refused, as its machines share
+    no such folder. A written table is read again with the schema it was written with, so
+    empty tables work. ``drop`` removes tables that no later plan reads.
     """
 
     def __init__(self, spark: SparkSession, name: str) -> None:
         self.spark = spark
-        base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir() + "/weftgraph-checkpoints"
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if not base:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
+            base = tempfile.gettempdir() + "/weftgraph-checkpoints"
         self.base = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
-    def write(self, df: DataFrame, name: str) -> DataFrame:
+    def write(self, df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+        """Writes df, in folders by a column if one is given, and reads it again."""
         path = f"{self.base}/{name}"
-        df.write.mode("overwrite").parquet(path)
+        out = df.write.mode("overwrite")
+        (out.partitionBy(by) if by else out).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:

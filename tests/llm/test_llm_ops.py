@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weftgraph.llm import curriculum, exact_dedup, html_text, langid, license_scan, minhash, mpeg, packing, pii, url_filter
-from weftgraph.llm._common import Scratch
+from weftgraph.llm._common import Scratch, heavy_keys
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row int, entry string, hash string"
@@ -196,6 +196,30 @@ def test_near_dedup_matches_brute_force(docs, empty):
     assert kept.columns == docs.columns and kept.count() == sum(w[3] for w in want)
 
 
+def test_near_dedup_with_hot_keys_and_repeated_ids(spark, monkeypatch):
+    """Leaders, shingles, classes and hubs that are dealt to many blocks, families near the threshold, ids with several texts."""
+    monkeypatch.setattr(minhash, "heavy_keys", lambda sizes, keys, rows, total: heavy_keys(sizes, keys, rows, total, 2))
+    rng = random.Random(9)
+    base = [f"v{i}" for i in range(90)]
+    rows = [(i, " ".join(base)) for i in range(12)]
+    for i in range(12, 60):
+        parts = list(base)
+        for k in rng.sample(range(90), rng.choice([1, 2, 3, 4])):
+            parts[k] = f"n{i}x{k}"
+        rows.append((i, " ".join(parts)))
+    rows += [(70 + i, " ".join(base[:40] + [f"q{i}y{k}" for k in range(12)])) for i in range(20)]
+    rows += [(95, "one two three four five six"), (96, "one two three four five six"), (96, "seven eight nine ten eleven twelve"), (97, "seven eight nine ten eleven twelve")]
+    rows += [(None, " ".join(base)), (98, "")]
+    sets = {}
+    for i, t in rows:
+        sets.setdefault(i, []).append(shingles(t))
+    links = [(a, b) for a, b in itertools.combinations([i for i in sets if i is not None], 2) if any(x and 100 * len(x & y) >= 75 * len(x | y) for x in sets[a] for y in sets[b])]
+    where = components([i for i in sets if i is not None], links)
+    want = [(i, len(shingles(t)), where.get(i), i is None or where[i] == i) for i, t in rows]
+    assert where[97] == 95 and len({where[i] for i in range(70, 90)}) > 5
+    assert rows_of(minhash.near_dedup(spark.createDataFrame(rows, "doc_id long, text string"))) == sorted(want, key=repr)
+
+
 def test_circulant_signature_estimates_jaccard():
     rng = np.random.default_rng(1)
     pool = rng.integers(0, 1 << 63, 1500, dtype=np.int64).astype(np.uint64)

@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step handles at once; a longer text is a step of its own.
 STEP_BYTES = 1 << 19
@@ -59,6 +60,33 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+#: A key with more than 1 / HEAVY of all rows is dealt to several tasks; there are fewer than HEAVY such keys.
+HEAVY = 4096
+
+
+def heavy_keys(sizes: DataFrame, keys: list[str], rows: str, total: int, least: int = 500) -> DataFrame:
+    """(keys, blocks): the keys with more rows than max(least, total / HEAVY), and how many tasks share one.
+
+    sizes has a key's number of rows in the column `rows`, total is the sum. Fewer than
+    HEAVY keys can be that heavy, so the result may be broadcast whatever the corpus.
+    """
+    limit = max(least, total // HEAVY)
+    return sizes.filter(F.col(rows) > limit).select(*keys, F.ceil(F.col(rows) / limit).cast("int").alias("blocks"))
+
+
+def every_block(one: DataFrame, keys: list[str], heavy: DataFrame) -> DataFrame:
+    """one with a column `block`: each row once for every block of its key."""
+    blocks = F.coalesce(F.col("blocks"), F.lit(1))
+    return one.join(F.broadcast(heavy), keys, "left").withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).drop("blocks")
+
+
+def salted_join(many: DataFrame, one: DataFrame, keys: list[str], spread: str, heavy: DataFrame, how: str = "inner") -> DataFrame:
+    """The inner or left join by keys; rows of a heavy key in `many` are dealt to its blocks by a hash of `spread`, its rows in `one` go to each."""
+    block = F.pmod(F.xxhash64(spread), F.coalesce(F.col("blocks"), F.lit(1))).cast("int")
+    dealt = many.join(F.broadcast(heavy), keys, "left").withColumn("block", block).drop("blocks")
+    return dealt.join(every_block(one, keys, heavy), [*keys, "block"], how)
+
+
 def byte_table(*ranges: tuple[int, int]) -> np.ndarray:
     """A 256-entry truth table, true inside the inclusive ranges."""
     table = np.zeros(256, bool)

@@ -5,11 +5,15 @@ shingles; a second one, ``pi``, is used for every signature coordinate, circular
 by the coordinate's number: ``h_k(S) = min over x in S of pi(sigma(x) + k mod 2^32)``.
 Both are bijections of 32-bit values, so two permutations give all 128 coordinates.
 
-Documents with equal sets are one class, and one of them stands for it. Bands of 4
-coordinates put representatives into buckets. A bucket is compared with its leader, never
-all with all, and verified links join components. Documents of buckets that still hold
-several components go through an exact prefix filter, whose pairs grow with real
+Documents with equal sets, compared as whole sets, are one class, and one of them stands for
+it. Bands of 4 coordinates put representatives into buckets. A bucket is compared with its
+leader, never all with all, and verified links join components. Documents of buckets that
+still hold several components go through an exact prefix filter, whose pairs grow with real
 similarity and not with the size of a bucket. Every link rests on the full sets.
+
+Every join meets keys that hold many rows (a leader, a shingle, a hub) in blocks dealt to
+several tasks. What stays is the work itself: n texts that are all just under the threshold
+to each other share rare shingles, and an exact answer must compare each with each.
 """
 
 from __future__ import annotations
@@ -22,7 +26,9 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import LOWER, NOT_SPACE, STEP_BYTES, Scratch, free_name, gram_hashes, mix64, signed, steps, word_hashes, word_spans
+from ._common import (
+    LOWER, NOT_SPACE, STEP_BYTES, Scratch, every_block, free_name, gram_hashes, heavy_keys, mix64, salted_join, signed, steps, word_hashes, word_spans,
+)
 
 SHINGLE, BANDS, ROWS = 5, 32, 4
 _U, _V = np.uint64, np.uint32
@@ -78,7 +84,10 @@ def signatures(sets: list[np.ndarray], coordinates: int = BANDS * ROWS) -> np.nd
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     pack = zstandard.ZstdCompressor(level=1)
-    names = ["doc_id", "n", "f1", "f2", "bands", "body"]
+    from pyspark import TaskContext
+
+    number = (TaskContext.get().partitionId() << 40) if TaskContext.get() else 0
+    names = ["row", "doc_id", "n", "f1", "f2", "bands", "body"]
     salt = mix64(np.arange(BANDS, dtype=_U))
     for batch in batches:
         ids = batch.column(0)
@@ -98,9 +107,10 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * BANDS), pa.array(keys.ravel()))
             raw = data.tobytes()
             bodies = [pack.compress(raw[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [ids.slice(at, len(sets)).cast(pa.int64()), pa.array(n), pa.array(signed(f1)), pa.array(signed(f2)), lists, pa.array(bodies, pa.binary())], names=names
-            )
+            numbers = pa.array(np.arange(number, number + len(sets)))
+            number += len(sets)
+            columns = [numbers, ids.slice(at, len(sets)).cast(pa.int64()), pa.array(n), pa.array(signed(f1)), pa.array(signed(f2)), lists, pa.array(bodies, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
 
 def _confirm(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
@@ -140,14 +150,13 @@ def _confirm(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Rec
                 yield pa.RecordBatch.from_arrays([pa.array([x[i] for i in good], pa.int64()) for x in (a, b)], names=["a", "b"])
 
 
-def _verified(pairs: DataFrame, sketch: DataFrame, percent: int) -> DataFrame:
-    body = sketch.select("doc_id", "body")
-    joined = (
-        pairs.join(body.withColumnRenamed("doc_id", "b").withColumnRenamed("body", "body_b"), "b")
-        .join(body.withColumnRenamed("doc_id", "a").withColumnRenamed("body", "body_a"), "a")
-        .select("a", "b", "body_a", "body_b")
-    )
-    return joined.mapInArrow(lambda x: _confirm(x, percent), "a long, b long")
+def _verified(pairs: DataFrame, bodies: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of a written table that pass on the full sets; bodies has (id, body)."""
+    total = pairs.count()
+    heavy = {x: heavy_keys(pairs.groupBy(x).agg(F.count("*").alias("rows")), [x], "rows", total) for x in ("a", "b")}
+    joined = salted_join(pairs, bodies.select(F.col("id").alias("b"), F.col("body").alias("body_b")), ["b"], "a", heavy["b"]).drop("block")
+    joined = salted_join(joined, bodies.select(F.col("id").alias("a"), F.col("body").alias("body_a")), ["a"], "b", heavy["a"])
+    return joined.select("a", "b", "body_a", "body_b").mapInArrow(lambda x: _confirm(x, percent), "a long, b long")
 
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,7 +172,7 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["doc_id", "c", "n", "token"])
 
 
-def _prefix_pairs(open_: DataFrame, sketch: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
+def _prefix_pairs(open_: DataFrame, bodies: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
     """Candidate pairs (a, b) of open_(doc_id, c) in different components c, losing no link.
 
     Two sets of similarity t share a shingle among the n - ceil(t n) + 1 first of each in
@@ -173,20 +182,23 @@ def _prefix_pairs(open_: DataFrame, sketch: DataFrame, scratch: Scratch, percent
     whatever passages it shares. Of a shared shingle only documents outside its most
     frequent component look for partners.
     """
-    rows = open_.join(sketch.select("doc_id", "body"), "doc_id").select("doc_id", "c", "body")
+    rows = open_.join(bodies.withColumnRenamed("id", "doc_id"), "doc_id").select("doc_id", "c", "body")
     tokens = rows.mapInArrow(_tokens, "doc_id long, c long, n long, token long")
     repeated = scratch.write(tokens.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1"), "repeated")
-    known = tokens.join(repeated, "token")
+    total = repeated.agg(F.sum("df")).first()[0] or 0
+    known = salted_join(tokens, repeated, ["token"], "doc_id", heavy_keys(repeated, ["token"], "df", total)).drop("block")
     doc = Window.partitionBy("doc_id")
     known = known.withColumn("rank", F.row_number().over(doc.orderBy("df", "token"))).withColumn("others", F.col("n") - F.count("*").over(doc))
     known = known.withColumn("i", F.col("others") + F.col("rank"))
     prefix = scratch.write(known.filter(f"i <= n - ceil({percent} * n / 100) + 1").select("doc_id", "c", "n", "i", "token"), "prefix")
     sizes = prefix.groupBy("token", "c").agg(F.count("*").alias("m"))
-    most = sizes.groupBy("token").agg(F.max(F.struct("m", "c")).alias("top"), F.count("*").alias("parts")).filter("parts > 1")
-    shared = prefix.join(most.select("token", F.col("top.c").alias("top")), "token")
-    other = shared.select("token", F.col("doc_id").alias("d"), F.col("n").alias("n_d"), F.col("i").alias("i_d"), F.col("c").alias("c_d"))
+    most = sizes.groupBy("token").agg(F.max(F.struct("m", "c")).alias("top"), F.count("*").alias("parts"), F.sum("m").alias("rows")).filter("parts > 1")
+    most = scratch.write(most.select("token", F.col("top.c").alias("top"), "rows"), "most")
+    heavy = heavy_keys(most, ["token"], "rows", most.agg(F.sum("rows")).first()[0] or 0)
+    shared = scratch.write(salted_join(prefix, most.drop("rows"), ["token"], "doc_id", heavy), "shared")
+    other = shared.select("token", "block", F.col("doc_id").alias("d"), F.col("n").alias("n_d"), F.col("i").alias("i_d"), F.col("c").alias("c_d"))
     near = f"100 * least(n, n_d) >= {percent} * greatest(n, n_d) and {100 + percent} * (1 + least(n - i, n_d - i_d)) >= {percent} * (n + n_d)"
-    met = shared.filter("c <> top").join(other, "token").filter(f"c <> c_d and {near}")
+    met = every_block(shared.filter("c <> top").drop("block"), ["token"], heavy).join(other, ["token", "block"]).filter(f"c <> c_d and {near}")
     return met.select(F.least("doc_id", "d").alias("a"), F.greatest("doc_id", "d").alias("b")).distinct()
 
 
@@ -197,21 +209,22 @@ def components(edges: DataFrame, scratch: Scratch, tag: str) -> DataFrame:
     in one row; each round is written to the shared folder.
     """
     now = scratch.write(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), f"{tag}-0")
-    before, step = None, 0
+    before, step, total = None, 0, now.count()
     while True:
         both = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
-        large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("rows"))
+        low = scratch.write(low.select("u", F.least("m", "u").alias("m"), "rows"), f"{tag}-m{step}")
+        large = salted_join(both.filter("v > u"), low.drop("rows"), ["u"], "v", heavy_keys(low, ["u"], "rows", 2 * total)).select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = scratch.write(large.filter("u <> v").distinct(), f"{tag}-l{step}")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(least, "u")
+        least = scratch.write(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("rows")), f"{tag}-n{step}")
+        joined = salted_join(large, least.drop("rows"), ["u"], "v", heavy_keys(least, ["u"], "rows", total))
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         after = scratch.write(small.filter("u <> v").distinct(), f"{tag}-{step + 1}")
         count = after.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)"))).first()
-        scratch.drop(f"{tag}-{step}", f"{tag}-l{step}")
+        scratch.drop(f"{tag}-{step}", f"{tag}-l{step}", f"{tag}-m{step}", f"{tag}-n{step}")
         if tuple(count) == before:
-            return after.select(F.col("u").alias("node"), F.col("v").alias("component"))
-        now, before, step = after, tuple(count), step + 1
+            return scratch.write(after.select(F.col("u").alias("node"), F.col("v").alias("component")), tag)
+        now, before, step, total = after, tuple(count), step + 1, count[0]
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
@@ -228,44 +241,60 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     scratch = Scratch(docs.sparkSession, "near")
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    sketch = scratch.write(source.mapInArrow(_sketch, "doc_id long, n long, f1 long, f2 long, bands array<long>, body binary"), "sketch")
+    sketch = scratch.write(source.mapInArrow(_sketch, "row long, doc_id long, n long, f1 long, f2 long, bands array<long>, body binary"), "sketch")
     full = sketch.filter("n > 0 and doc_id is not null")
-
-    # Classes of equal sets; only the classes with several documents are looked up.
-    classes = full.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("c")).filter("c > 1").drop("c")
-    classes = scratch.write(classes, "classes")
-    reps = full.select("doc_id", "n", "f1", "f2", "bands").join(classes, ["n", "f1", "f2"], "left").filter("rep is null or rep = doc_id")
+    bodies = full.select(F.col("doc_id").alias("id"), "body")
+
+    # Rows of equal sets, by fingerprint and then by the whole sets: `same` leads a row to the row that stands for its class.
+    key = ["n", "f1", "f2"]
+    classes = full.groupBy(*key).agg(F.min(F.struct("doc_id", "row")).alias("rep"), F.count("*").alias("rows")).filter("rows > 1")
+    classes = scratch.write(classes.select(*key, F.col("rep.row").alias("a"), F.col("rep.doc_id").alias("rep"), "rows"), "classes")
+    heavy = heavy_keys(classes, key, "rows", classes.agg(F.sum("rows")).first()[0] or 0)
+    twins = salted_join(full.select("row", "doc_id", *key), classes.drop("rows"), key, "row", heavy).filter("a <> row")
+    twins = scratch.write(twins.select("a", F.col("row").alias("b"), "doc_id", "rep"), "twins")
+    equal = _verified(twins.select("a", "b"), full.select(F.col("row").alias("id"), "body"), 100)
+    same = scratch.write(twins.join(equal.select(F.col("b").alias("row")), F.col("b") == F.col("row")).select("row", "doc_id", "rep"), "same")
+    again = full.groupBy("doc_id").agg(F.count("*").alias("rows")).filter("rows > 1")
+    again = same.join(again, "doc_id", "left_semi").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))  # ids with several texts link all their classes
+    reps = full.select("row", "doc_id", "n", "bands").join(same.select("row"), "row", "left_anti")
     bands = scratch.write(reps.select("doc_id", "n", F.explode("bands").alias("key")), "bands")
 
     # First round: each bucket against its leader, its smallest document.
-    leaders = bands.groupBy("key").agg(F.min(F.struct("doc_id", "n")).alias("lead"), F.max("doc_id").alias("top")).filter("top > lead.doc_id")
-    leaders = scratch.write(leaders.select("key", F.col("lead.doc_id").alias("a"), F.col("lead.n").alias("n_a")), "leaders")
+    leaders = bands.groupBy("key").agg(F.min(F.struct("doc_id", "n")).alias("lead"), F.max("doc_id").alias("top"), F.count("*").alias("rows")).filter("top > lead.doc_id")
+    leaders = scratch.write(leaders.select("key", F.col("lead.doc_id").alias("a"), F.col("lead.n").alias("n_a"), "rows"), "leaders")
+    heavy = heavy_keys(leaders, ["key"], "rows", leaders.agg(F.sum("rows")).first()[0] or 0)
     near = f"100 * least(n, n_a) >= {percent} * greatest(n, n_a)"
-    pairs = bands.join(leaders, "key").filter("a <> doc_id").filter(near).select("a", F.col("doc_id").alias("b")).distinct()
+    pairs = salted_join(bands, leaders.drop("rows"), ["key"], "doc_id", heavy).filter("a <> doc_id").filter(near).select("a", F.col("doc_id").alias("b")).distinct()
     pairs = scratch.write(pairs, "pairs")
-    links = scratch.write(_verified(pairs, sketch, percent), "links")
-    first = scratch.write(components(links, scratch, "first"), "first")
+    links = scratch.write(_verified(pairs, bodies, percent).unionByName(again), "links")
+    first = components(links, scratch, "first")
 
     # Second round: documents of buckets that still hold several components, by an exact prefix filter.
-    split = bands.join(leaders.select("key"), "key").join(first, bands.doc_id == first.node, "left")
+    split = salted_join(bands, leaders.select("key"), ["key"], "doc_id", heavy).drop("block").join(first, F.col("doc_id") == F.col("node"), "left")
     split = scratch.write(split.select("key", "doc_id", "n", F.coalesce("component", "doc_id").alias("c")), "split")
     mixed = scratch.write(split.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("key"), "mixed")
-    open_ = scratch.write(split.join(mixed, "key").groupBy("doc_id").agg(F.min("c").alias("c")), "open")
-    rest = _prefix_pairs(open_, sketch, scratch, percent)
+    open_ = salted_join(split, mixed, ["key"], "doc_id", heavy).groupBy("doc_id").agg(F.min("c").alias("c"))
+    rest = _prefix_pairs(scratch.write(open_, "open"), bodies, scratch, percent)
     rest = scratch.write(rest.join(pairs, ["a", "b"], "left_anti"), "rest")
-    more = scratch.write(_verified(rest, sketch, percent), "more")
-    joined = components(links.unionByName(more), scratch, "last") if not more.isEmpty() else first
-
-    out = (
-        sketch.select("doc_id", "n", "f1", "f2")
-        .join(classes, ["n", "f1", "f2"], "left")
-        .withColumn("rep", F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("rep", "doc_id")))
-        .join(joined, F.col("rep") == F.col("node"), "left")
-        .withColumn("component_id", F.coalesce("component", "rep"))
-        .select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
-    )
+    more = scratch.write(_verified(rest, bodies, percent), "more")
+
+    # What the second round found links components of the first, so only these are joined again.
+    ends = more.join(first.select(F.col("node").alias("a"), F.col("component").alias("c_a")), "a", "left")
+    ends = ends.join(first.select(F.col("node").alias("b"), F.col("component").alias("c_b")), "b", "left")
+    last = components(ends.select(F.coalesce("c_a", "a").alias("a"), F.coalesce("c_b", "b").alias("b")), scratch, "last")
+
+    sizes = first.groupBy("component").agg(F.count("*").alias("rows"))
+    heavy = heavy_keys(sizes, ["component"], "rows", first.count())
+    moved = salted_join(first, last.select(F.col("node").alias("component"), F.col("component").alias("c")), ["component"], "node", heavy, "left")
+    ends = moved.select(F.col("node").alias("rep"), F.coalesce("c", "component").alias("component_id"))
+    ends = ends.unionByName(last.select(F.col("node").alias("rep"), F.col("component").alias("component_id")))  # a root of the first is no node of it
+    heavy = heavy_keys(classes.groupBy("rep").agg(F.sum("rows").alias("rows")), ["rep"], "rows", full.count())
+    rows = sketch.select("row", "doc_id", "n").join(same.select("row", "rep"), "row", "left").withColumn("rep", F.coalesce("rep", "doc_id"))
+    rows = salted_join(rows, ends, ["rep"], "row", heavy, "left").withColumn("component_id", F.coalesce("component_id", "rep"))
+    out = rows.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
     out = scratch.write(out, "out")
-    scratch.drop("sketch", "classes", "bands", "leaders", "pairs", "links", "first", "split", "mixed", "open", "repeated", "prefix", "rest", "more")
+    scratch.drop("sketch", "classes", "twins", "same", "bands", "leaders", "pairs", "links", "first", "split", "mixed", "open")
+    scratch.drop("repeated", "prefix", "most", "shared", "rest", "more", "last")
     return out
 
 

@@ -198,7 +198,7 @@ def test_near_dedup_matches_brute_force(docs, empty):
 
 def test_near_dedup_with_hot_keys_and_repeated_ids(spark, monkeypatch):
     """Leaders, shingles, classes and hubs that are dealt to many blocks, families near the threshold, ids with several texts."""
-    monkeypatch.setattr(minhash, "heavy_keys", lambda sizes, keys, rows, total: heavy_keys(sizes, keys, rows, total, 2))
+    monkeypatch.setattr(minhash, "heavy_keys", lambda sizes, keys, rows, total: heavy_keys(sizes, keys, rows, total, 2, 0))
     rng = random.Random(9)
     base = [f"v{i}" for i in range(90)]
     rows = [(i, " ".join(base)) for i in range(12)]

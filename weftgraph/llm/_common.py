@@ -46,10 +46,13 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
+        """Removes tables by name or by pattern, as in `step-*`."""
         jvm = self.spark._jvm
         for name in names:
             path = jvm.org.apache.hadoop.fs.Path(f"{self.base}/{name}")
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+            for found in fs.globStatus(path) or []:
+                fs.delete(found.getPath(), True)
 
 
 def free_name(df: DataFrame, name: str) -> str:
@@ -62,26 +65,35 @@ def free_name(df: DataFrame, name: str) -> str:
 
 #: A key with more than 1 / HEAVY of all rows is dealt to several tasks; there are fewer than HEAVY such keys.
 HEAVY = 4096
+#: Rows below which a whole table is no burden for one task, so that none of its keys is.
+LIGHT = 1 << 14
 
 
-def heavy_keys(sizes: DataFrame, keys: list[str], rows: str, total: int, least: int = 500) -> DataFrame:
+def heavy_keys(sizes: DataFrame, keys: list[str], rows: str, total: int, least: int = 500, light: int = LIGHT) -> DataFrame | None:
     """(keys, blocks): the keys with more rows than max(least, total / HEAVY), and how many tasks share one.
 
-    sizes has a key's number of rows in the column `rows`, total is the sum. Fewer than
-    HEAVY keys can be that heavy, so the result may be broadcast whatever the corpus.
+    sizes has a key's number of rows in the column `rows`, total is the sum; None if it is
+    below `light`. Fewer than HEAVY keys can be that heavy, so the result may be broadcast
+    whatever the corpus.
     """
+    if total < light:
+        return None
     limit = max(least, total // HEAVY)
     return sizes.filter(F.col(rows) > limit).select(*keys, F.ceil(F.col(rows) / limit).cast("int").alias("blocks"))
 
 
-def every_block(one: DataFrame, keys: list[str], heavy: DataFrame) -> DataFrame:
+def every_block(one: DataFrame, keys: list[str], heavy: DataFrame | None) -> DataFrame:
     """one with a column `block`: each row once for every block of its key."""
+    if heavy is None:
+        return one.withColumn("block", F.lit(0))
     blocks = F.coalesce(F.col("blocks"), F.lit(1))
     return one.join(F.broadcast(heavy), keys, "left").withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).drop("blocks")
 
 
-def salted_join(many: DataFrame, one: DataFrame, keys: list[str], spread: str, heavy: DataFrame, how: str = "inner") -> DataFrame:
+def salted_join(many: DataFrame, one: DataFrame, keys: list[str], spread: str, heavy: DataFrame | None, how: str = "inner") -> DataFrame:
     """The inner or left join by keys; rows of a heavy key in `many` are dealt to its blocks by a hash of `spread`, its rows in `one` go to each."""
+    if heavy is None:
+        return many.withColumn("block", F.lit(0)).join(one, keys, how)
     block = F.pmod(F.xxhash64(spread), F.coalesce(F.col("blocks"), F.lit(1))).cast("int")
     dealt = many.join(F.broadcast(heavy), keys, "left").withColumn("block", block).drop("blocks")
     return dealt.join(every_block(one, keys, heavy), [*keys, "block"], how)

@@ -205,6 +205,8 @@ def _prefix_pairs(open_: DataFrame, bodies: DataFrame, scratch: Scratch, percent
 def components(edges: DataFrame, scratch: Scratch, tag: str) -> DataFrame:
     """(node, component): the smallest node reachable over edges (a, b), by alternating large and small stars.
 
+    Smallest nodes have no row. The table is in the folder of the tables that begin with tag.
+
     Both stars use only grouped minima and joins, so a hub's neighbours are never gathered
     in one row; each round is written to the shared folder.
     """
@@ -212,18 +214,17 @@ def components(edges: DataFrame, scratch: Scratch, tag: str) -> DataFrame:
     before, step, total = None, 0, now.count()
     while True:
         both = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("rows"))
-        low = scratch.write(low.select("u", F.least("m", "u").alias("m"), "rows"), f"{tag}-m{step}")
+        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("rows")).select("u", F.least("m", "u").alias("m"), "rows")
         large = salted_join(both.filter("v > u"), low.drop("rows"), ["u"], "v", heavy_keys(low, ["u"], "rows", 2 * total)).select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = scratch.write(large.filter("u <> v").distinct(), f"{tag}-l{step}")
-        least = scratch.write(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("rows")), f"{tag}-n{step}")
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("rows"))
         joined = salted_join(large, least.drop("rows"), ["u"], "v", heavy_keys(least, ["u"], "rows", total))
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         after = scratch.write(small.filter("u <> v").distinct(), f"{tag}-{step + 1}")
         count = after.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)"))).first()
-        scratch.drop(f"{tag}-{step}", f"{tag}-l{step}", f"{tag}-m{step}", f"{tag}-n{step}")
+        scratch.drop(f"{tag}-{step}", f"{tag}-l{step}")
         if tuple(count) == before:
-            return scratch.write(after.select(F.col("u").alias("node"), F.col("v").alias("component")), tag)
+            return after.select(F.col("u").alias("node"), F.col("v").alias("component"))
         now, before, step, total = after, tuple(count), step + 1, count[0]
 
 
@@ -293,8 +294,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = salted_join(rows, ends, ["rep"], "row", heavy, "left").withColumn("component_id", F.coalesce("component_id", "rep"))
     out = rows.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
     out = scratch.write(out, "out")
-    scratch.drop("sketch", "classes", "twins", "same", "bands", "leaders", "pairs", "links", "first", "split", "mixed", "open")
-    scratch.drop("repeated", "prefix", "most", "shared", "rest", "more", "last")
+    scratch.drop("sketch", "classes", "twins", "same", "bands", "leaders", "pairs", "links", "split", "mixed", "open")
+    scratch.drop("repeated", "prefix", "most", "shared", "rest", "more", "first-*", "last-*")
     return out
 
 

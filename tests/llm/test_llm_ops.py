@@ -382,6 +382,56 @@ def test_license_text_with_edits_is_found(spark):
     assert found[2].labels == found[3].labels == ""
 
 
+def test_license_labels_match_brute_force(spark):
+    """Method labels by a plain alignment: grams by words, diagonals merged across half a template, words covered, a gram of its own."""
+    gnu = "Licensed under the GNU General Public License"
+    mit = license_scan.TEMPLATES[8][0].split()
+    long2 = next(t for t, label in license_scan.TEMPLATES if label == "gpl-2" and len(t) > 100)
+    texts = [f"{gnu}, version 2", f"{gnu}, version 3.", f"{gnu}.", f"{gnu} version 4", long2, long2.replace("version 2", "version 3"), long2.replace("version 2", "version 9")]
+    texts += [" ".join(mit[:25] + "four words come here".split() + mit[25:]), " ".join(mit[:25] + ["w"] * 40 + mit[25:]), " ".join(mit[:20]), " ".join(mit * 3)]
+    texts += ["Licensed under CC BY-NC 4.0", "licensed under cc by sa 4.0 and licensed under cc by nc 4.0", "Licensed under the Apache Licence, Version 2.0", "Released under the MIT License", "x", "", None]
+    texts += ["licensed under the changed General Public License, version 3", "This work is licensed under a Creative Commons Attribution 4.0 International License"]
+
+    def words(t):
+        return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(url_filter._FOLD))
+
+    everything = []
+    for t, label in license_scan.TEMPLATES:
+        w = words(t)
+        k = 3 if len(w) <= 14 else 5
+        everything.append((w, k, label, [tuple(w[i : i + k]) for i in range(len(w) - k + 1)]))
+
+    def own(grams, label, g):
+        return not any(name != label and 3 * len(set(grams) & set(others)) >= len(set(grams)) and g in others for _, _, name, others in everything)
+
+    want = []
+    for i, t in enumerate(texts):
+        w = words(t)
+        labels = {label for phrase, label in license_scan.BASE if any(w[j : j + len(phrase.split())] == phrase.split() for j in range(len(w)))}
+        for template, k, label, grams in everything:
+            diagonals = {}
+            for p in range(len(w) - k + 1):
+                for q in range(len(grams)):
+                    if tuple(w[p : p + k]) == grams[q]:
+                        diagonals.setdefault(p - q, set()).add(q)
+            groups, last = [], None
+            for d in sorted(diagonals):
+                if last is None or d - last > max(3, len(template) // 2):
+                    groups.append(set())
+                groups[-1] |= diagonals[d]
+                last = d
+            for qs in groups:
+                covered = {x for q in qs for x in range(q, q + k)}
+                if len(covered) >= 0.6 * len(template) and any(own(grams, label, grams[q]) for q in qs):
+                    labels.add(label)
+        want.append((i, ",".join(sorted(labels))))
+    found = license_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))[0]
+    assert rows_of(found.select("doc_id", "labels")) == sorted(want, key=repr)
+    got = dict(want)
+    assert [got[i] for i in range(5)] == ["gpl,gpl-2", "gpl,gpl-3", "gpl", "gpl", "gpl,gpl-2"] and got[5] == "gpl,gpl-3" and got[6] == "gpl"
+    assert got[7] == got[10] == "mit" and got[8] == got[9] == "" and "apache-2.0" in got[13]
+
+
 def brute_pii(text):
     out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
     out += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if max(map(int, m[0].split("."))) <= 255]

@@ -2,10 +2,14 @@
 
 All rolling word k-gram hashes of all texts are joined by Spark to the positions of the
 templates' k-grams. A hit of document position p on template position q votes for the
-diagonal p - q; votes are aggregated by diagonal, neighbouring diagonals (words added to or
-missing from a copy shift it) are merged into a span, and a span is verified by the share
-of the template's positions that it covers. Short phrases use k = 2 and must be covered
-whole on one diagonal; longer templates use k = 5.
+diagonal p - q; votes are aggregated by diagonal, and neighbouring diagonals (words added to
+or missing from a copy shift it) are merged into a span, across gaps of up to half of the
+template. A span is verified word by word: the template's words that its hits cover must be
+a given share of all, and among its hits must be a k-gram that no rival has, so that the
+words which tell one license or version from another stand in the text. A rival is a template
+of another label that has a third of the template's k-grams or more.
+Base phrases use k = 2 and must be covered whole on one diagonal; notices of up to 14 words
+use k = 3, longer templates k = 5.
 """
 
 from __future__ import annotations
@@ -58,6 +62,16 @@ TEMPLATES = (
         "Free Software Foundation, either version 3 of the License, or (at your option) any later version",
         "gpl-3",
     ),
+    (
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the "
+        "Free Software Foundation; either version 2 of the License, or (at your option) any later version",
+        "gpl-2",
+    ),
+    (
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by "
+        "the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version",
+        "lgpl",
+    ),
     (
         "you may not use this file except in compliance with the License. You may obtain a copy of the License at "
         "http://www.apache.org/licenses/LICENSE-2.0",
@@ -75,7 +89,9 @@ TEMPLATES = (
     ),
 )
 
-SHORT, LONG = 2, 5
+#: Words of the grams of base phrases, of notices of up to NOTICE words, and of longer templates.
+SHORT, MIDDLE, LONG = SIZES = 2, 3, 5
+NOTICE = 14
 #: A row of every document, so that documents without hits come through the join too.
 _ALWAYS = 0
 
@@ -91,17 +107,27 @@ def _word_hashes(texts: list[str]) -> list[np.ndarray]:
 
 
 def template_positions(templates=TEMPLATES, base=BASE) -> list[tuple]:
-    """(hash, template, position, k, k-grams of the template, label, base?) of all template k-grams."""
-    rows = [(_ALWAYS, -1, 0, 0, 0, None, False)]
-    everything = [(t, label, SHORT, True) for t, label in base] + [(t, label, LONG, False) for t, label in templates]
-    for number, ((_, label, k, is_base), words) in enumerate(zip(everything, _word_hashes([x[0] for x in everything]), strict=True)):
-        grams = signed(gram_hashes(words, k))
-        rows += [(int(h), number, q, k, len(grams), label, is_base) for q, h in enumerate(grams)]
+    """(hash, template, position, k, words of the template, label, base?, own?) of all template k-grams.
+
+    own: no rival template has the k-gram; base phrases have no rivals.
+    """
+    rows = [(_ALWAYS, -1, 0, 0, 0, None, False, False)]
+    texts = [t for t, _ in (*base, *templates)]
+    found = []
+    for number, ((_, label), words) in enumerate(zip((*base, *templates), _word_hashes(texts), strict=True)):
+        k = SHORT if number < len(base) else MIDDLE if len(words) <= NOTICE else LONG
+        found.append((k, len(words), label, signed(gram_hashes(words, k)).tolist()))
+    for number, (k, total, label, grams) in enumerate(found):
+        is_base, theirs = number < len(base), set()
+        if not is_base:
+            others = [set(g) for j, name, g in ((x[0], x[2], x[3]) for x in found[len(base) :]) if j == k and name != label]
+            theirs = set().union(*(o for o in others if 3 * len(o & set(grams)) >= len(set(grams))))
+        rows += [(h, number, q, k, total, label, is_base, h not in theirs) for q, h in enumerate(grams)]
     return rows
 
 
 def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(row, doc_id, n_words, hashes): of each text the mark _ALWAYS, then its 2-grams, then its 5-grams in order."""
+    """(row, doc_id, n_words, hashes): of each text the mark _ALWAYS, then its k-grams in order, for each k of SIZES."""
     from pyspark import TaskContext
 
     number = (TaskContext.get().partitionId() << 40) if TaskContext.get() else 0
@@ -112,11 +138,11 @@ def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             starts, ends, rows = word_spans(data, offsets, LETTERS)
             words = word_hashes(data, starts, ends)
             count = np.diff(rows)
-            sizes = 1 + np.maximum(count - SHORT + 1, 0) + np.maximum(count - LONG + 1, 0)
+            sizes = 1 + sum(np.maximum(count - k + 1, 0) for k in SIZES)
             cuts = np.concatenate([[0], np.cumsum(sizes)])
             flat = np.zeros(cuts[-1], np.int64)
             shift = cuts[:-1] + 1
-            for k in (SHORT, LONG):
+            for k in SIZES:
                 own = np.maximum(count - k + 1, 0)
                 ok = within(rows, k, len(words))
                 good = signed(gram_hashes(words, k)[ok])
@@ -129,43 +155,60 @@ def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([ids, batch.column(0).slice(at, n), pa.array(count.astype(np.int64)), lists], names=["row", "doc_id", "n_words", "hashes"])
 
 
-def scan(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates=TEMPLATES, base=BASE, max_shift: int = 3, coverage: float = 0.6
-) -> tuple[DataFrame, DataFrame]:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates=TEMPLATES, base=BASE, coverage: float = 0.6) -> tuple[DataFrame, DataFrame]:
     """(documents, spans): one row per row of docs, and one row per verified span.
 
     documents: row, doc_id, n_words, n_base, first_word, last_word, base_labels, labels,
     score (the best coverage of a span, 0 without spans). spans: row, doc_id, label,
-    is_base, start and end (words from 0, end exclusive), coverage.
-
-    Null and empty texts have no words. Repeated rows are rows of their own; a null id
-    stays null. Ties: every place of a base phrase counts, overlapping ones too. Other
-    columns are not read; an empty table gives empty results. The template table is the
-    only thing broadcast; its size is that of the templates given.
+    is_base, start and end (words from 0, end exclusive), coverage (the share of the
+    template's words that hits cover).
+
+    Null and empty texts have no words. Texts of any length are read whole, one at a time.
+    Repeated rows are rows of their own; a null id stays null. Ties: every place of a base
+    phrase counts, overlapping ones too, and spans of several templates stand side by side.
+    Other columns are not read; an empty table gives empty results. The template table is
+    the only thing broadcast; its size is that of the templates given.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "license")
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     grams = source.mapInArrow(_grams, "row long, doc_id long, n_words long, hashes array<long>")
-    table = spark.createDataFrame(template_positions(templates, base), "hash long, template int, q long, k int, total int, label string, is_base boolean")
+    columns = "hash long, template int, q int, k int, total int, label string, is_base boolean, own boolean"
+    table = spark.createDataFrame(template_positions(templates, base), columns)
     hits = grams.select("row", "doc_id", "n_words", F.posexplode("hashes").alias("i", "hash")).join(F.broadcast(table), "hash")
-    before = F.when(F.col("k") == SHORT, 1).otherwise(1 + F.greatest(F.lit(0), F.col("n_words") - SHORT + 1))
+    # Where the k-grams of this k begin in the list: after the mark and the smaller grams. A hash that meets a template of another k is no hit.
+    before, after = F.lit(1).cast("long"), F.lit(1).cast("long")
+    at = F.lit(0).cast("long")
+    fits = F.col("template") < 0
+    for k in SIZES:
+        after = before + F.greatest(F.lit(0), F.col("n_words") - k + 1)
+        fits = fits | (F.col("k") == k) & (F.col("i") >= before) & (F.col("i") < after)
+        at = F.when(F.col("k") == k, F.col("i") - before).otherwise(at)
+        before = after
     votes = (
-        hits.withColumn("diagonal", F.when(F.col("template") < 0, F.lit(0)).otherwise(F.col("i") - before - F.col("q")))
+        hits.filter(fits)
+        .withColumn("diagonal", F.when(F.col("template") < 0, F.lit(0)).otherwise(at - F.col("q")))
         .groupBy("row", "doc_id", "n_words", "template", "diagonal", "k", "total", "label", "is_base")
-        .agg(F.count("*").alias("votes"), F.min("q").alias("q_lo"), F.max("q").alias("q_hi"))
+        .agg(F.collect_set("q").alias("qs"), F.max("own").alias("own"))  # a diagonal meets each template position once
     )
     votes = scratch.write(votes, "votes")
     order = Window.partitionBy("row", "template").orderBy("diagonal")
-    new = F.col("is_base") | F.coalesce(F.col("diagonal") - F.lag("diagonal").over(order) > max_shift, F.lit(True))
+    gap = F.greatest(F.lit(3), F.expr("total div 2"))
+    new = F.col("is_base") | F.coalesce(F.col("diagonal") - F.lag("diagonal").over(order) > gap, F.lit(True))
+    words = F.array_distinct(F.flatten(F.transform("qs", lambda q: F.sequence(q, q + F.col("k") - 1))))
     spans = (
         votes.filter("template >= 0")
         .withColumn("new", F.when(new, 1).otherwise(0))
         .withColumn("span", F.sum("new").over(order))
         .groupBy("row", "doc_id", "template", "label", "is_base", "total", "k", "span")
-        .agg(F.sum("votes").alias("votes"), F.min(F.col("diagonal") + F.col("q_lo")).alias("start"), F.max(F.col("diagonal") + F.col("q_hi") + F.col("k")).alias("end"))
-        .withColumn("coverage", F.least(F.lit(1.0), F.col("votes") / F.col("total")))
-        .filter("if(is_base, votes = total, coverage >= %r and end - start <= 2 * (total + k - 1))" % coverage)
+        .agg(
+            F.array_distinct(F.flatten(F.collect_set("qs"))).alias("qs"),
+            F.max("own").alias("own"),
+            F.min(F.col("diagonal") + F.array_min("qs")).alias("start"),
+            F.max(F.col("diagonal") + F.array_max("qs") + F.col("k")).alias("end"),
+        )
+        .withColumn("coverage", F.size(words) / F.col("total"))
+        .filter("if(is_base, size(qs) = total - k + 1, own and coverage >= %r)" % coverage)
         .select("row", "doc_id", "label", "is_base", "start", "end", "coverage")
     )
     spans = scratch.write(spans, "spans")
@@ -178,4 +221,6 @@ def scan(
         F.max("coverage").alias("score"),
     )
     whole = votes.filter("template < 0").select("row", "doc_id", "n_words").join(found, "row", "left")
-    return whole.fillna({"n_base": 0, "base_labels": "", "labels": "", "score": 0.0}), spans
+    whole = scratch.write(whole.fillna({"n_base": 0, "base_labels": "", "labels": "", "score": 0.0}), "documents")
+    scratch.drop("votes")
+    return whole, spans

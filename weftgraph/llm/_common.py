@@ -90,13 +90,28 @@ def every_block(one: DataFrame, keys: list[str], heavy: DataFrame | None) -> Dat
     return one.join(F.broadcast(heavy), keys, "left").withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).drop("blocks")
 
 
-def salted_join(many: DataFrame, one: DataFrame, keys: list[str], spread: str, heavy: DataFrame | None, how: str = "inner") -> DataFrame:
-    """The inner or left join by keys; rows of a heavy key in `many` are dealt to its blocks by a hash of `spread`, its rows in `one` go to each."""
+def is_small(df: DataFrame) -> bool:
+    """Whether Spark's own measure of a plan's size lets it broadcast the result."""
+    most = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= most
+
+
+def in_blocks(many: DataFrame, keys: list[str], spread: str, heavy: DataFrame | None) -> DataFrame:
+    """many with a column `block`: rows of a heavy key are dealt to its blocks by a hash of `spread`."""
     if heavy is None:
-        return many.withColumn("block", F.lit(0)).join(one, keys, how)
+        return many.withColumn("block", F.lit(0))
     block = F.pmod(F.xxhash64(spread), F.coalesce(F.col("blocks"), F.lit(1))).cast("int")
-    dealt = many.join(F.broadcast(heavy), keys, "left").withColumn("block", block).drop("blocks")
-    return dealt.join(every_block(one, keys, heavy), [*keys, "block"], how)
+    return many.join(F.broadcast(heavy), keys, "left").withColumn("block", block).drop("blocks")
+
+
+def salted_join(many: DataFrame, one: DataFrame, keys: list[str], spread: str, heavy: DataFrame | None, how: str = "inner") -> DataFrame:
+    """The inner or left join by keys; rows of a heavy key in `many` are dealt to its blocks by a hash of `spread`, its rows in `one` go to each.
+
+    Where one side is small enough to be broadcast, no key is dealt anywhere, and Spark joins as it likes.
+    """
+    if heavy is None or is_small(one) or how == "inner" and is_small(many):
+        return many.join(one, keys, how)
+    return in_blocks(many, keys, spread, heavy).join(every_block(one, keys, heavy), [*keys, "block"], how).drop("block")
 
 
 def byte_table(*ranges: tuple[int, int]) -> np.ndarray:
@@ -131,6 +146,20 @@ def steps(column: pa.Array, limit: int = STEP_BYTES):
         at = to
 
 
+def text_steps(column: pa.Array, limit: int = STEP_BYTES):
+    """(first row, texts) of consecutive rows in parts of about `limit` bytes; null is empty, a longer text is a part of its own."""
+    part, at, held = [], 0, 0
+    for i, t in enumerate(column):
+        t = t.as_py() or ""
+        part.append(t)
+        held += 4 * len(t)
+        if held >= limit:
+            yield at, part
+            part, at, held = [], i + 1, 0
+    if part:
+        yield at, part
+
+
 def word_spans(data: np.ndarray, offsets: np.ndarray, table: np.ndarray):
     """Byte starts and ends of the words of all rows, and where each row's words begin (n + 1)."""
     inside = np.zeros(len(data) + 2, bool)

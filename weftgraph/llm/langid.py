@@ -19,12 +19,14 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import STEP_BYTES
+from ._common import text_steps
 
 DIMS = 1 << 15
 ORDERS = (1, 2, 3)
 #: Bound of the labelled sample: about so many rows of each language, chosen by a hash of the id.
 SAMPLE = 1000
+#: Languages that are learned at most, the most frequent ones: bounds the model and the sample where lang is dirty.
+LANGUAGES = 256
 UNDEFINED = "und"
 
 _U = np.uint64
@@ -67,26 +69,12 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return out, starts
 
 
-def _text_steps(column: pa.Array):
-    """(first row, texts) in parts of about STEP_BYTES; null is empty."""
-    part, at, held = [], 0, 0
-    for i, t in enumerate(column):
-        t = t.as_py() or ""
-        part.append(t)
-        held += 4 * len(t)
-        if held >= STEP_BYTES:
-            yield at, part
-            part, at, held = [], i + 1, 0
-    if part:
-        yield at, part
-
-
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row per used column: in how many of the task's texts it occurs; column -1 counts the texts."""
     df, n = np.zeros(DIMS, np.int64), 0
     mark = np.full(DIMS, -1, np.int64)
     for batch in batches:
-        for _, texts in _text_steps(batch.column(0)):
+        for _, texts in text_steps(batch.column(0)):
             cols, starts = grams(texts)
             for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
                 mark[cols[a:b]] = n
@@ -103,7 +91,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Distinct columns and their shares, at most DIMS of each, for sample rows; packed, as the driver holds all of them."""
     for batch in batches:
         rows = []
-        for at, texts in _text_steps(batch.column(2)):
+        for at, texts in text_steps(batch.column(2)):
             cols, starts = grams(texts)
             for i, (a, b) in enumerate(zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)):
                 u, c = np.unique(cols[a:b], return_counts=True)
@@ -159,16 +147,18 @@ def held_out(id_col: str) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Model | None:
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, most: int = LANGUAGES) -> Model | None:
     """Fits on the rows with a language whose id is not held out; None if there are none.
 
     sample: about so many rows of each language are used to fit; the document frequencies
-    are of all training rows.
+    are of all training rows. most: languages learned at most, the most frequent ones, of
+    equally frequent ones the first.
     """
     code = F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))
     rows = docs.filter(code % 5 != 0).filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     rows = rows.select(code.alias("r"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
-    sizes = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}  # one row per language
+    frequent = rows.groupBy("lang").agg(F.count("*").alias("rows")).orderBy(F.col("rows").desc(), "lang").limit(most)
+    sizes = {r[0]: r[1] for r in frequent.collect()}  # `most` rows at most
     if not sizes:
         return None
     languages = sorted(sizes)
@@ -181,11 +171,9 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         else:
             total = x
     idf = np.log((1 + total) / (1 + df)) + 1.0
-    share = F.lit(None)
-    for lang, size in sizes.items():
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, sample / size))).otherwise(share)
+    shares = docs.sparkSession.createDataFrame([(lang, min(1.0, sample / size)) for lang, size in sizes.items()], "lang string, share double")
     draw = F.pmod(F.xxhash64("r"), F.lit(1 << 31)) / float(1 << 31)
-    chosen = rows.filter(draw < share).mapInArrow(_features, "r long, lang string, cols binary, shares binary")
+    chosen = rows.join(F.broadcast(shares), "lang").filter(draw < F.col("share")).select("r", "lang", "text").mapInArrow(_features, "r long, lang string, cols binary, shares binary")
     number = {lang: i for i, lang in enumerate(languages)}
     found = sorted(chosen.collect(), key=lambda r: (r[0], r[1], len(r[2])))  # bounded by sample rows a language
     data = []
@@ -203,7 +191,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 def _predict(batches: Iterator[pa.RecordBatch], model: Model | None) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         langs, scores = [], []
-        for _, texts in _text_steps(batch.column(2)):
+        for _, texts in text_steps(batch.column(2)):
             letters = [any(map(str.isalpha, t)) for t in texts]
             if model is None:
                 langs += [None if ok else UNDEFINED for ok in letters]

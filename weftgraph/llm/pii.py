@@ -156,8 +156,11 @@ def labelled() -> list[tuple[str, str, int, int, int]]:
         whole = f"{land}{98 - rest:02d}{body}"
         return " ".join(whole[i : i + 4] for i in range(0, len(whole), 4)) if spaced else whole
 
+    def long() -> int:
+        return int(rng.integers(18, 45))
+
     good = {
-        "secret": [lambda: ('token = "', pick(hexes, 40)), lambda: ("password: ", pick(letters + digits, 18)), lambda: ("api_key=", pick(letters.upper() + digits, 24)), lambda: ("secret = '", pick(letters + digits + "_", 32))],
+        "secret": [lambda: ('token = "', pick(hexes, 40)), lambda: ("password: ", pick(letters + digits, long())), lambda: ("api_key=", pick(letters.upper() + digits, long())), lambda: ("secret = '", pick(letters + digits + "_", long()))],
         "ssn": [lambda: ("ssn ", f"{pick('123456', 3)}-{pick(digits, 2)}-{pick(digits, 4)}"), lambda: ("social security number ", f"{pick('123456', 3)} {pick(digits, 2)} {pick(digits, 4)}")],
         "iban": [lambda: ("iban ", iban(True)), lambda: ("transfer to ", iban(False)), lambda: ("bank ", iban(False)), lambda: ("to ", iban(True))],
         "account": [lambda: ("account ", pick(digits, 10)), lambda: ("acct no ", pick(digits, 12)), lambda: ("konto ", pick(digits, 9)), lambda: ("passport ", pick(digits, 9))],
@@ -165,7 +168,7 @@ def labelled() -> list[tuple[str, str, int, int, int]]:
         "hidden_email": [lambda: ("mail ", f"{pick(letters, 6)} (at) {pick(letters, 7)} (dot) com"), lambda: ("write to ", f"{pick(letters, 5)}[at]{pick(letters, 6)}[dot]org")],
     }
     bad = {
-        "secret": [lambda: ("see: ", "internationalization"), lambda: ("x = ", "aaaaaaaaaaaaaaaaaaaa"), lambda: ("note:", pick(letters, 18)), lambda: ("ratio: ", "-" * 20), lambda: ("url: ", "/very/long/path/name")],
+        "secret": [lambda: ("see: ", "internationalization"), lambda: ("x = ", pick(letters, 1) * long()), lambda: ("note:", pick(letters, long())), lambda: ("ratio: ", pick("-_=+/", 1) * long()), lambda: ("url: ", "".join("/" + pick(letters, 6) for _ in range(long() // 6)))],
         "ssn": [lambda: ("part no ", f"{pick(digits, 3)} {pick(digits, 2)} {pick(digits, 4)}"), lambda: ("range ", f"000-{pick(digits, 2)}-{pick(digits, 4)}")],
         "iban": [lambda: ("model ", "AB12 CDEF 3456"), lambda: ("code ", "ZX99ABCD12345678"), lambda: ("serial ", "QQ11 2222 3333 4444")],
         "account": [lambda: ("of ", pick(digits, 16)), lambda: ("and the ", pick(digits, 8)), lambda: ("id ", pick(digits, 13)), lambda: ("in ", pick(digits, 10))],

@@ -13,7 +13,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from weftgraph.llm import curriculum, exact_dedup, html_text, langid, license_scan, minhash, mpeg, packing, pii, url_filter
+from weftgraph.llm import _common, curriculum, exact_dedup, html_text, langid, license_scan, minhash, mpeg, packing, pii, url_filter
 from weftgraph.llm._common import Scratch, heavy_keys
 
 SF = "/root/testdata/sf0.001"
@@ -199,6 +199,7 @@ def test_near_dedup_matches_brute_force(docs, empty):
 def test_near_dedup_with_hot_keys_and_repeated_ids(spark, monkeypatch):
     """Leaders, shingles, classes and hubs that are dealt to many blocks, families near the threshold, ids with several texts."""
     monkeypatch.setattr(minhash, "heavy_keys", lambda sizes, keys, rows, total: heavy_keys(sizes, keys, rows, total, 2, 0))
+    monkeypatch.setattr(_common, "is_small", lambda df: False)
     rng = random.Random(9)
     base = [f"v{i}" for i in range(90)]
     rows = [(i, " ".join(base)) for i in range(12)]

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import (
-    LOWER, NOT_SPACE, STEP_BYTES, Scratch, every_block, free_name, gram_hashes, heavy_keys, mix64, salted_join, signed, steps, word_hashes, word_spans,
+    LOWER, NOT_SPACE, STEP_BYTES, Scratch, every_block, free_name, gram_hashes, heavy_keys, in_blocks, mix64, salted_join, signed, steps, word_hashes, word_spans,
 )
 
 SHINGLE, BANDS, ROWS = 5, 32, 4
@@ -152,10 +152,11 @@ def _confirm(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Rec
 
 def _verified(pairs: DataFrame, bodies: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of a written table that pass on the full sets; bodies has (id, body)."""
-    total = pairs.count()
-    heavy = {x: heavy_keys(pairs.groupBy(x).agg(F.count("*").alias("rows")), [x], "rows", total) for x in ("a", "b")}
-    joined = salted_join(pairs, bodies.select(F.col("id").alias("b"), F.col("body").alias("body_b")), ["b"], "a", heavy["b"]).drop("block")
-    joined = salted_join(joined, bodies.select(F.col("id").alias("a"), F.col("body").alias("body_a")), ["a"], "b", heavy["a"])
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("rows"))
+    heavy = heavy_keys(ids, ["id"], "rows", 2 * pairs.count())  # one table for both ends, so that the bodies are shuffled once
+    ends = {x: None if heavy is None else heavy.withColumnRenamed("id", x) for x in ("a", "b")}
+    joined = salted_join(pairs, bodies.select(F.col("id").alias("b"), F.col("body").alias("body_b")), ["b"], "a", ends["b"])
+    joined = salted_join(joined, bodies.select(F.col("id").alias("a"), F.col("body").alias("body_a")), ["a"], "b", ends["a"])
     return joined.select("a", "b", "body_a", "body_b").mapInArrow(lambda x: _confirm(x, percent), "a long, b long")
 
 
@@ -186,7 +187,7 @@ def _prefix_pairs(open_: DataFrame, bodies: DataFrame, scratch: Scratch, percent
     tokens = rows.mapInArrow(_tokens, "doc_id long, c long, n long, token long")
     repeated = scratch.write(tokens.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1"), "repeated")
     total = repeated.agg(F.sum("df")).first()[0] or 0
-    known = salted_join(tokens, repeated, ["token"], "doc_id", heavy_keys(repeated, ["token"], "df", total)).drop("block")
+    known = salted_join(tokens, repeated, ["token"], "doc_id", heavy_keys(repeated, ["token"], "df", total))
     doc = Window.partitionBy("doc_id")
     known = known.withColumn("rank", F.row_number().over(doc.orderBy("df", "token"))).withColumn("others", F.col("n") - F.count("*").over(doc))
     known = known.withColumn("i", F.col("others") + F.col("rank"))
@@ -196,9 +197,10 @@ def _prefix_pairs(open_: DataFrame, bodies: DataFrame, scratch: Scratch, percent
     most = scratch.write(most.select("token", F.col("top.c").alias("top"), "rows"), "most")
     heavy = heavy_keys(most, ["token"], "rows", most.agg(F.sum("rows")).first()[0] or 0)
     shared = scratch.write(salted_join(prefix, most.drop("rows"), ["token"], "doc_id", heavy), "shared")
-    other = shared.select("token", "block", F.col("doc_id").alias("d"), F.col("n").alias("n_d"), F.col("i").alias("i_d"), F.col("c").alias("c_d"))
+    other = in_blocks(shared, ["token"], "doc_id", heavy)
+    other = other.select("token", "block", F.col("doc_id").alias("d"), F.col("n").alias("n_d"), F.col("i").alias("i_d"), F.col("c").alias("c_d"))
     near = f"100 * least(n, n_d) >= {percent} * greatest(n, n_d) and {100 + percent} * (1 + least(n - i, n_d - i_d)) >= {percent} * (n + n_d)"
-    met = every_block(shared.filter("c <> top").drop("block"), ["token"], heavy).join(other, ["token", "block"]).filter(f"c <> c_d and {near}")
+    met = every_block(shared.filter("c <> top"), ["token"], heavy).join(other, ["token", "block"]).filter(f"c <> c_d and {near}")
     return met.select(F.least("doc_id", "d").alias("a"), F.greatest("doc_id", "d").alias("b")).distinct()
 
 
@@ -271,7 +273,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     first = components(links, scratch, "first")
 
     # Second round: documents of buckets that still hold several components, by an exact prefix filter.
-    split = salted_join(bands, leaders.select("key"), ["key"], "doc_id", heavy).drop("block").join(first, F.col("doc_id") == F.col("node"), "left")
+    split = salted_join(bands, leaders.select("key"), ["key"], "doc_id", heavy).join(first, F.col("doc_id") == F.col("node"), "left")
     split = scratch.write(split.select("key", "doc_id", "n", F.coalesce("component", "doc_id").alias("c")), "split")
     mixed = scratch.write(split.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("key"), "mixed")
     open_ = salted_join(split, mixed, ["key"], "doc_id", heavy).groupBy("doc_id").agg(F.min("c").alias("c"))

@@ -328,6 +328,39 @@ def test_pack_keeps_every_word_under_the_budget(docs, empty):
     assert packing.pack(empty).count() == 0
 
 
+def test_pack_matches_its_sql(spark, docs, tmp_path):
+    import duckdb
+
+    docs.write.parquet(f"{tmp_path}/documents")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents/*.parquet'")
+    columns = "doc_id, copy, part, n_tokens, bucket, batch, slot, padding"
+    for setting in ({"max_len": 50, "buckets": 4, "budget": 400, "bins": 8}, {"max_len": 7, "buckets": 16, "budget": 20, "bins": 3}):
+        want = con.execute(f"SELECT {columns} FROM ({packing.oracle(**setting)})").fetchall()
+        assert rows_of(packing.pack(docs, **setting)) == sorted(want, key=repr)
+
+
+def test_language_labels_are_bounded_and_ties_go_to_the_first(spark):
+    rows = [(i, f"text {i % 5}", f"l{i % 40:02d}") for i in range(400)] + [(1000 + i, "more text", "zz") for i in range(60)]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), most=3)
+    assert len(model.languages) == 3 and "zz" in model.languages and model.weights.shape[1] == 3
+    flat = langid.Model(["a", "b"], np.zeros((langid.DIMS, 2), np.float32), np.zeros(2), 1.0)
+    assert {(r.lang_pred, r.score) for r in langid.identify(spark.createDataFrame(rows[:5], "doc_id long, text string, lang string"), model=flat).collect()} == {("a", 0.5)}
+
+
+def test_ftrl_leaves_weights_at_zero_and_learns():
+    rng = np.random.default_rng(2)
+    rows = []
+    for i in range(400):
+        y = i % 3
+        cols = np.unique(np.concatenate([[y * 5 + int(rng.integers(0, 5))], rng.integers(100, 400, 6)])).astype(np.int32)
+        rows.append((y, cols, np.ones(len(cols), np.float32)))
+    w, bias = langid.fit_ftrl(rows, 3, l1=1.0)
+    counts = [(langid.fit_ftrl(rows, 3, l1=l1)[0] != 0).sum() for l1 in (0.0, 1.0, 3.0)]
+    assert counts[0] > counts[1] > counts[2] > 0  # a stronger penalty leaves fewer weights
+    assert sum(int(np.argmax(x @ w[cols] + bias)) == y for y, cols, x in rows) >= 0.99 * len(rows)
+
+
 def test_language_held_out_accuracy(spark, docs, empty):
     real = spark.read.parquet(f"{SF}/documents.parquet")
     rows = langid.identify(real).join(real.select("doc_id", "lang"), "doc_id").collect()
@@ -608,13 +641,28 @@ def test_pipeline_stages_match_brute_force(spark, tmp_path):
         if not over:
             break
         fixed |= {s: 3 * sums[s] for s in over}
-    copies = {}
+    copies, position = {}, {}
     for s in names:
         target, at = fixed.get(s, level * weight[s]), 0
         for r in sorted((r for r in kept if r[3] == s), key=lambda r: hashlib.md5(str(r[0]).encode()).hexdigest()):
             copies[r[0]] = sum(n * sums[s] + at + size[r[0]] / 2 <= target for n in range(3))
+            tilt = (0.5, 0.0, -0.5)[names.index(s) % 3]
+            for n in range(copies[r[0]]):
+                done = min(1.0, (at + n * sums[s]) / target) if target else 0.0
+                lo, hi = 0.0, 1.0
+                for _ in range(60):  # the time at which the integrated schedule has spent that share
+                    mid = (lo + hi) / 2
+                    lo, hi = (mid, hi) if mid + tilt * (mid * mid - mid) < done else (lo, mid)
+                position[r[0], n] = lo
             at += size[r[0]]
-    now = corpus_pipeline.mixing(spark, now, str(tmp_path)).cache()
+    corpus_pipeline.mixing(spark, now, str(tmp_path)).write.parquet(f"{tmp_path}/mixed")
+    now = spark.read.parquet(f"{tmp_path}/mixed")
+    files = now.select("doc_id", "_metadata.file_name", "_metadata.row_index").collect()
+    order, seen = [], {}
+    for r in sorted(files, key=lambda r: (r.file_name, r.row_index)):
+        order.append((r.doc_id, seen.setdefault(r.doc_id, 0)))
+        seen[r.doc_id] += 1
+    assert [position[x] for x in order] == pytest.approx(sorted(position.values()), abs=1e-9)  # the rows stand by training position
     times = {}
     for r in now.collect():
         times[r.doc_id] = times.get(r.doc_id, 0) + 1
@@ -626,5 +674,11 @@ def test_pipeline_stages_match_brute_force(spark, tmp_path):
     bounds = packing.optimal_buckets({x: lengths.count(x) for x in lengths}, 16)
     assert all(r.bucket == min(b for b in bounds if b >= r.n_tokens) for r in packed)
 
+    # Batches of a bucket follow the training position.
+    place = {x: i for i, x in enumerate(order)}
+    for width in {r.bucket for r in packed}:
+        mine = [(place[r.doc_id, r.copy], r.part) for r in sorted((r for r in packed if r.bucket == width), key=lambda r: (r.batch, r.slot))]
+        assert mine == sorted(mine)
+
     whole = corpus_pipeline.run(spark, str(tmp_path))
     assert rows_of(whole) == sorted((tuple(r) for r in packed), key=repr)

@@ -58,4 +58,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (op1_licenses, op2_pii, op3_main_text, op4_mix, op5_language, op6_pack, op7_mpeg, op8_urls, op9_near_dedup, op10_exact_dedup)
 }
 
-ORACLES: dict[str, str] = {"op4_mix": curriculum.ORACLE, "op9_near_dedup": minhash.ORACLE, "op10_exact_dedup": exact_dedup.ORACLE}
+ORACLES: dict[str, str] = {"op4_mix": curriculum.ORACLE, "op6_pack": packing.oracle(), "op9_near_dedup": minhash.ORACLE, "op10_exact_dedup": exact_dedup.ORACLE}

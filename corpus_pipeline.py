@@ -2,6 +2,11 @@
 
 Language ID, exact dedup, near dedup, mixing and packing, each on all that its predecessor
 kept. A stage's result is written as Parquet and read again as the next one's documents.
+
+All stages take null and empty texts, null, repeated and tied ids, texts of any length, empty
+tables and further columns whatever their names: what each makes of them stands in the
+docstring of the operator that it calls. Null and empty texts go in the first stage, as they
+have no letter; rows with null ids are judged like others and never merged by their id.
 """
 
 from __future__ import annotations
@@ -37,8 +42,12 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences in token-budget batches of optimal length buckets."""
-    return pack(docs)
+    """Sequences in token-budget batches of optimal length buckets; a bucket's batches follow the training position.
+
+    docs is the mixing stage's table read from its Parquet files, whose order is that of
+    the position.
+    """
+    return pack(docs, in_order=True)
 
 
 STAGES = [("language", language), ("exact", exact), ("near", near), ("mixing", mixing), ("packing", packing)]

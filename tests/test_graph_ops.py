@@ -363,3 +363,64 @@ def test_gcn_training_finds_labels(spark):
     weights, trace = models.train_gcn(edges, nodes, split, 4, 5, 0.1)
     assert trace[-1]["train"] < trace[0]["train"] and weights["w1"].shape == (5, 4)
     assert models.batch_ids(split, 4).groupBy("part").agg(F.max("batch").alias("m")).filter("m > 3").isEmpty()
+
+
+@pytest.mark.parametrize("name", [*losses.LOSSES, "tanhMarginCW-0.3", "tanhMarginMCE-0.8"])
+def test_loss_gradients_match_central_differences(spark, name):
+    rng = np.random.default_rng(1)
+    z, labels = rng.normal(size=(7, 4)) * 2, rng.integers(0, 4, 7)
+    label_table = spark.createDataFrame([(i, int(y)) for i, y in enumerate(labels)], "id long, label int")
+    wide = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(z)], "id long, z array<double>")
+    got = np.array([r.g for r in attacks.loss_gradient(wide, label_table, name).orderBy("id").collect()])
+    kind, a = losses.split_name(name)
+
+    def value(z):
+        y = z[np.arange(7), labels]
+        other = np.where(np.eye(4, dtype=bool)[labels], -np.inf, z).max(1)
+        m, lse = y - other, np.log(np.exp(z).sum(1))
+        ce, hit = lse - y, z.argmax(1) == labels
+        mce, hinge = (ce * hit).sum() / max(1, hit.sum()), np.maximum(m, 0).mean()
+        return {
+            "CE": ce.mean(), "CW": -hinge, "LCW": -np.where(m >= 0, m, 0.1 * m).mean(), "Margin": -m.mean(), "tanhMargin": np.tanh(-m).mean(),
+            "tanhMarginCW": a * np.tanh(-m).mean() - (1 - a) * hinge, "tanhMarginMCE": a * np.tanh(-m).mean() + (1 - a) * mce,
+            "eluMargin": -np.where(m > 0, m, np.exp(m) - 1).mean(), "MCE": mce, "NCE": -(lse - other).mean(),
+        }[kind]
+
+    for i in range(7):
+        for c in range(4):
+            step = np.zeros_like(z)
+            step[i, c] = 1e-6
+            assert got[i, c] == pytest.approx((value(z + step) - value(z - step)) / 2e-6, abs=1e-6)
+
+
+def test_unknown_losses_are_errors(spark):
+    for name in ("Margn", "CE-0.5", ""):
+        with pytest.raises(ValueError):
+            losses.split_name(name)
+
+
+def test_pairs_are_exact_and_draws_reach_all_of_them(spark):
+    from weftgraph.functions import below
+    from weftgraph.operators.reshape import triu_pair
+
+    for n in (5, 10**6, 3 * 10**8, 10**9):
+        last = n * (n - 1) // 2 - 1
+        rng = np.random.default_rng(3)
+        lins = [0, n - 2, n - 1, last, last - 1, last - 2, last - 3, *(int(x) for x in rng.integers(0, last + 1, 200)), *(last - int(x) for x in rng.integers(0, min(last, 10**6), 200))]
+        frame = spark.createDataFrame([(x,) for x in lins if 0 <= x <= last], "lin long")
+        i, j = triu_pair(n, F.col("lin"))
+        for lin, a, b in frame.select("lin", i, j).collect():
+            assert 0 <= a < b < n and lin == a * (2 * n - a - 1) // 2 + b - a - 1
+    n = 10**6
+    bound = n * (n - 1) // 2
+    drawn = [r[0] for r in spark.range(4000).select(below(bound, "s", "id")).collect()]
+    assert len(set(drawn)) > 3990 and 0 <= min(drawn) and max(drawn) < bound and abs(np.mean(drawn) / bound - 0.5) < 0.03
+    assert len({x % 1024 for x in drawn}) > 900  # low bits vary too
+
+
+def test_additions_over_the_room_are_errors(spark):
+    nodes = spark.createDataFrame([(i, i % 2) for i in range(6)], "id long, label int")
+    edges = spark.createDataFrame([(0, 1, 1.0), (1, 0, 1.0)], "src long, dst long, weight double")
+    assert attacks.dice_add(edges, nodes, 8).count() == 8
+    with pytest.raises(ValueError):
+        attacks.dice_add(edges, nodes, 9)

@@ -39,7 +39,7 @@ def graph():
 @pytest.fixture(scope="module")
 def scores(graph):
     norm = graph[2]
-    return 0.15 * sum(np.linalg.matrix_power(0.85 * norm, t) for t in range(9))
+    return 0.15 * np.linalg.inv(np.eye(len(norm)) - 0.85 * norm)
 
 
 def largest(scores, k):
@@ -50,7 +50,7 @@ def largest(scores, k):
     return kept
 
 
-def test_ppr_queries_have_rows_of_all_nodes_and_eight_rounds(spark, graph, scores):
+def test_ppr_queries_equal_the_inverse(spark, graph, scores):
     n, top, d = len(scores), largest(scores, 16), graph[0].sum(1)
     assert np.allclose(dense(run(spark, "ppr_power_topk"), n), top, atol=2e-6)
     assert np.allclose(dense(run(spark, "gdc_edges"), n), top / top.sum(1, keepdims=True), atol=2e-6)
@@ -70,10 +70,28 @@ def test_power_rows_equal_the_joins(spark):
     for k in (None, 3):
         want = ppr.power_series(edges, seeds, 0.2, 5) if k is None else ppr.top_k_rows(ppr.power_series(edges, seeds, 0.2, 5), k)
         for limit in (5_000_000, 2):
-            got = ppr.power_rows(edges, seeds, 0.2, 5, k, max_edges=limit)
+            got = ppr.power_rows(edges, seeds, 0.2, 5, k, max_edges=limit)  # rounds that are given stay
             assert np.allclose(dense(got.toPandas(), 100), dense(want.toPandas(), 100), atol=1e-12)
 
 
+def test_scores_reach_their_tolerance(spark, graph):
+    """The series of joins, the kernel and its acceleration against the inverse, for symmetric and row-normalised graphs."""
+    rng = np.random.default_rng(4)
+    n = 30
+    a = np.triu(rng.random((n, n)) < 0.15, 1).astype(float)
+    a += a.T + np.eye(n)
+    s = 1 / np.sqrt(a.sum(0))
+    for alpha in (0.15, 0.5):
+        for matrix, symmetric in ((a * s[:, None] * s, True), (a / a.sum(1, keepdims=True), False)):
+            edges = spark.createDataFrame([(int(i), int(j), float(matrix[i, j])) for i, j in zip(*np.nonzero(matrix), strict=True)], "src long, dst long, weight double")
+            want = alpha * np.linalg.inv(np.eye(n) - (1 - alpha) * matrix)
+            got = ppr.power_rows(edges, spark.range(n), alpha, symmetric=symmetric, tolerance=1e-6)
+            assert np.abs(dense(got.toPandas(), n) - want).max() <= 1e-6
+    joins = ppr.power_series(edges, spark.range(3), 0.5, tolerance=1e-3)
+    assert np.abs(dense(joins.toPandas(), n)[:3] - want[:3]).sum(1).max() <= 1e-3
+    assert len(ppr.chebyshev_factors(0.15, 1e-6)) < ppr.rounds_for(0.15, 1e-6) / 3
+
+
 def neighbour_weights(spark, n):
     return dense(catalogue.weighted_view(spark, SF).toPandas(), n)
 

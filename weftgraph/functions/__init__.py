@@ -10,8 +10,17 @@ from pyspark.sql import functions as F
 
 def uniform(seed: int | str, *keys: Column | str) -> Column:
     """A draw in [0, 1) that depends on the seed and the keys only, whatever the partitioning."""
-    text = F.concat_ws(":", F.lit(str(seed)), *[(F.col(k) if isinstance(k, str) else k).cast("string") for k in keys])
-    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+    return F.conv(F.substring(_digest(seed, keys), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
+
+
+def below(bound: int, seed: int | str, *keys: Column | str) -> Column:
+    """A whole number from 0 to bound - 1, drawn like uniform from 60 bits in exact arithmetic."""
+    bits = F.conv(F.substring(_digest(seed, keys), 1, 15), 16, 10).cast("decimal(19,0)")
+    return F.call_function("div", bits * F.lit(str(bound)).cast("decimal(19,0)"), F.lit(str(1 << 60)).cast("decimal(19,0)"))
+
+
+def _digest(seed: int | str, keys: tuple) -> Column:
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), *[(F.col(k) if isinstance(k, str) else k).cast("string") for k in keys]))
 
 
 def softmax(z: Column, *keys: str) -> Column:

@@ -9,9 +9,10 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import clamp, dot, uniform
+from ..functions import below, clamp, dot, uniform
 from ..plans.lineage import cut
 from . import normalize
+from .losses import split_name
 from .reshape import block_matches, khop, perturb, replace_row, reversed_edges, triu_pair
 
 # ---------------------------------------------------------------- budget and blocks
@@ -39,7 +40,7 @@ def random_block(nodes: DataFrame, size: int, seed: int | str, eps: float = 1e-7
     """(lin, src, dst, p): up to size distinct pairs src < dst drawn from all pairs; ids are 0 to n - 1."""
     n = nodes.count()
     pairs = n * (n - 1) // 2
-    drawn = nodes.sparkSession.range(size).select(F.floor(uniform(seed, "id") * pairs).cast("long").alias("lin")).distinct()
+    drawn = nodes.sparkSession.range(size).select(below(pairs, seed, "id").alias("lin")).distinct()
     i, j = triu_pair(n, F.col("lin"))
     return drawn.select("lin", i.alias("src"), j.alias("dst"), F.lit(eps).alias("p"))
 
@@ -69,8 +70,12 @@ def dice_delete(edges: DataFrame, nodes: DataFrame, budget: int, seed: int = 0)
 
 
 def dice_add(edges: DataFrame, nodes: DataFrame, budget: int, seed: int = 0, factor: int = 8) -> DataFrame:
-    """Budget absent pairs src < dst with different labels, among factor * budget drawn candidates (more are drawn if that falls short)."""
+    """Budget absent pairs src < dst with different labels, among factor * budget drawn candidates; more are drawn while that falls short.
+
+    A budget over the number of such pairs is an error.
+    """
     n = nodes.count()
+    room = None
     a, b = (nodes.select(F.col("id").alias(c), F.col("label").alias(f"l_{c}")) for c in ("src", "dst"))
     while True:
         count = max(64, budget * factor)
@@ -80,8 +85,14 @@ def dice_add(edges: DataFrame, nodes: DataFrame, budget: int, seed: int = 0, fac
         drawn = drawn.groupBy("src", "dst").agg(F.min("id").alias("id"))
         good = drawn.join(edges.select("src", "dst"), ["src", "dst"], "left_anti").join(a, "src").join(b, "dst").filter("l_src <> l_dst")
         picked = good.orderBy("id").limit(budget).select("src", "dst")
-        if factor > 4096 or picked.count() == budget:
+        if picked.count() == budget:
             return picked
+        if room is None:  # all pairs of different labels, less those that are edges
+            same = nodes.groupBy("label").agg(F.count("*").alias("c")).agg(F.sum(F.expr("c * (c - 1) div 2"))).first()[0] or 0
+            joined = edges.filter("src < dst").select("src", "dst").distinct().join(a, "src").join(b, "dst").filter("l_src <> l_dst")
+            room = n * (n - 1) // 2 - same - joined.count()
+        if budget > room:
+            raise ValueError(f"a budget of {budget} additions, but only {room} absent pairs have different labels")
         factor *= 8
 
 
@@ -148,31 +159,50 @@ def long_logits(wide: DataFrame) -> DataFrame:
 
 
 def loss_gradient(logits: DataFrame, labels: DataFrame, name: str = "CE") -> DataFrame:
-    """(id, g array): gradient of a node loss with respect to its logits. CE, MCE, Margin, CW and tanhMargin."""
+    """(id, g array): gradient of a loss of losses.LOSSES with respect to the logits of each node.
+
+    Means over all nodes divide by their number, means over the rightly classified ones by
+    theirs; both counts are one-row sides.
+    """
+    kind, share = split_name(name)
     joined = logits.join(labels.select("id", "label"), "id")
     top = F.array_max("z")
     e = F.transform("z", lambda v: F.exp(v - top))
     soft = F.transform(e, lambda v: v / F.aggregate(e, F.lit(0.0), lambda s, x: s + x))
     wrong = F.transform("z", lambda v, i: F.when(i == F.col("label"), F.lit(float("-inf"))).otherwise(v))
     best = F.array_position(wrong, F.array_max(wrong)) - 1
-    z_y = F.element_at("z", F.col("label") + 1)
-    m = z_y - F.array_max(wrong)
-    n = F.count("*").over(Window.partitionBy())
-    ce = F.transform(soft, lambda p, i: p - F.when(i == F.col("label"), 1.0).otherwise(0.0))
-    side = lambda s: F.transform("z", lambda v, i: F.when(i == F.col("label"), -s).when(i == best, s).otherwise(F.lit(0.0)))
-    if name == "Margin":
-        g = side(F.lit(1.0))
-    elif name == "CW":
-        g = side(F.when(m > 0, 1.0).otherwise(0.0))
-    elif name.startswith("tanhMargin"):
-        g = side(1 - F.tanh(m) * F.tanh(m))
-    elif name == "MCE":
-        right = m > 0
-        n = F.greatest(F.sum(F.when(right, 1).otherwise(0)).over(Window.partitionBy()), F.lit(1))
-        g = F.transform(ce, lambda v: F.when(right, v).otherwise(0.0))
-    else:
-        g = ce
-    return joined.withColumn("n", n).select("id", F.transform(g, lambda v: v / F.col("n")).alias("g"))
+    m = F.element_at("z", F.col("label") + 1) - F.array_max(wrong)
+    right = F.array_position("z", top) - 1 == F.col("label")
+    joined = joined.withColumns({"soft": soft, "best": best, "m": m, "right": right})
+    m, right = F.col("m"), F.col("right")
+    tanh = 1 - F.tanh(m) * F.tanh(m)
+    hinge = F.when(m > 0, 1.0).otherwise(0.0)
+    # By loss: the factor on the margin's fall, on the cross entropy of all, of the right ones, and on that of the best wrong class.
+    none = F.lit(0.0)
+    factors = {
+        "CE": (none, F.lit(1.0), none, none),
+        "CW": (hinge, none, none, none),
+        "LCW": (F.when(m > 0, 1.0).otherwise(0.1), none, none, none),
+        "Margin": (F.lit(1.0), none, none, none),
+        "tanhMargin": (tanh, none, none, none),
+        "tanhMarginCW": (share * tanh + (1 - share) * hinge, none, none, none),
+        "tanhMarginMCE": (share * tanh, none, F.lit(1.0 - share), none),
+        "eluMargin": (F.when(m > 0, 1.0).otherwise(F.exp(m)), none, none, none),
+        "MCE": (none, none, F.lit(1.0), none),
+        "NCE": (none, none, none, F.lit(1.0)),
+    }
+    fall, entropy, of_right, of_wrong = factors[kind]
+    counts = joined.agg(F.count("*").alias("n"), F.greatest(F.count(F.when(right, 1)), F.lit(1)).alias("n_right"))
+    counted = joined.join(F.broadcast(counts))
+    fall, entropy, of_wrong = (x / F.col("n") for x in (fall, entropy, of_wrong))
+    entropy = entropy + F.when(right, of_right / F.col("n_right")).otherwise(0.0)
+    y, b = F.col("label"), F.col("best")
+
+    def one(i, at):
+        return F.when(i == at, 1.0).otherwise(0.0)
+
+    g = F.transform("soft", lambda p, i: fall * (one(i, b) - one(i, y)) + entropy * (p - one(i, y)) + of_wrong * (one(i, b) - p))
+    return counted.select("id", g.alias("g"))
 
 
 def edge_gradient(edges: DataFrame, nodes: DataFrame, model: Linear2, targets: DataFrame, pairs: DataFrame, loss_name: str = "CE", symmetric: bool = True) -> DataFrame:

@@ -24,10 +24,21 @@ def margins(logits: DataFrame, labels: DataFrame) -> DataFrame:
     return found.withColumn("lse", lse).withColumn("margin", F.col("z_y") - F.col("z_o")).drop("zs", "top")
 
 
+#: The losses by name; the two mixed ones may end in a share, as in tanhMarginCW-0.5.
+LOSSES = ("CE", "CW", "LCW", "Margin", "tanhMargin", "tanhMarginCW", "tanhMarginMCE", "eluMargin", "MCE", "NCE")
+
+
+def split_name(name: str) -> tuple[str, float]:
+    """The loss and its share (0.5 if none is given); an unknown name is an error."""
+    kind, _, share = name.partition("-")
+    if kind not in LOSSES or share and not kind.startswith("tanhMargin"):
+        raise ValueError(f"unknown loss {name}")
+    return kind, float(share) if share else 0.5
+
+
 def loss_column(name: str) -> Column:
     """A loss over the rows of margins(), as an aggregate; all are to be maximised. Null stands for a mean over no rows."""
-    kind, _, share = name.partition("-")
-    a = float(share) if share else 0.5
+    kind, a = split_name(name)
     m = F.col("margin")
     ce = F.col("lse") - F.col("z_y")
     hinge = F.greatest(m, F.lit(0.0))
@@ -42,8 +53,9 @@ def loss_column(name: str) -> Column:
         "eluMargin": -F.avg(elu(m)),
         "MCE": right,
         "NCE": -F.avg(F.col("lse") - F.col("z_o")),
+        "CE": F.avg(ce),
     }
-    return table.get(kind, F.avg(ce))
+    return table[kind]
 
 
 def loss(logits: DataFrame, labels: DataFrame, name: str = "CE") -> DataFrame:

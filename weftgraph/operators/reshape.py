@@ -157,9 +157,15 @@ def filter_singletons(candidates: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def triu_pair(n: int | Column, lin: Column) -> tuple[Column, Column]:
-    """The pair (i, j), i < j < n, with number lin in row order; exact, by an integer correction of the closed form."""
+    """The pair (i, j), i < j < n, with number lin in row order, for n up to 3 * 10^9.
+
+    The root is taken of an exact whole number, so that it is off by less than one, and a
+    correction by one makes the row exact.
+    """
     n = F.lit(n).cast("long") if isinstance(n, int) else n.cast("long")
-    guess = F.floor((2 * n - 1 - F.sqrt((F.pow(2.0 * n.cast("double") - 1, F.lit(2.0)) - 8.0 * lin.cast("double")))) / 2).cast("long")
+    odd = (2 * n - 1).cast("decimal(19,0)")
+    inside = odd * odd - lin.cast("decimal(19,0)") * F.lit(8).cast("decimal(19,0)")
+    guess = F.floor(((2 * n - 1).cast("double") - F.sqrt(inside.cast("double"))) / 2).cast("long")
 
     def start(i: Column) -> Column:
         return F.shiftright(i * (2 * n - i - 1), 1)

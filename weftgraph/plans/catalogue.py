@@ -22,13 +22,13 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
-#: Attribute columns that the SQL of these queries reads; the queries read all of them.
-DIMS = 8
 #: Attribute columns of the tables, for the weights of the demo models.
 ATTRS = 64
 #: Heaviest neighbours of the k-neighbourhood and top-k queries.
 NEAR = 8
-DRAW = "(('0x' || substr(md5({}), 1, 8))::BIGINT / 4294967296.0)"
+DRAW = "(('0x' || substr(md5({}), 1, 13))::BIGINT::DOUBLE / 4503599627370496::DOUBLE)"
+#: Rounds of the PPR queries: so many products of the doubled series, which add up 2 ** PPR_DOUBLINGS terms.
+PPR_DOUBLINGS = 8
 
 VIEWS = {
     "nodes": "SELECT vec_id AS id, label, embedding FROM embeddings",
@@ -37,7 +37,7 @@ VIEWS = {
     "edges": "SELECT u AS src, v AS dst, 1.0::DOUBLE AS weight FROM raw WHERE u <> v UNION SELECT v, u, 1.0::DOUBLE FROM raw WHERE u <> v",
     "edges_d": "SELECT u AS src, v AS dst, count(*)::DOUBLE AS weight FROM raw GROUP BY 1, 2",
     "xall": "SELECT vec_id AS id, generate_subscripts(embedding, 1) - 1 AS k, unnest(embedding)::DOUBLE AS v FROM embeddings",
-    "x": f"SELECT id, k, v FROM xall WHERE k < {DIMS}",
+    "x": "SELECT id, k, v FROM xall",
     "attr_nz": "SELECT id, k FROM xall WHERE v > 0",
     "loops": "SELECT * FROM edges UNION ALL SELECT id, id, 1.0::DOUBLE FROM nodes",
     "colsum": "SELECT dst AS id, sum(weight) AS d FROM loops GROUP BY 1",
@@ -46,10 +46,13 @@ VIEWS = {
     "topw": f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY weight DESC, dst) AS rnk FROM wedges) WHERE rnk <= {NEAR}",
     "near": "SELECT src, dst, weight FROM topw",
     "rowsum": "SELECT src, sum(weight) AS s FROM wedges GROUP BY 1",
-    "nearsum": "SELECT src, sum(weight) AS s FROM near GROUP BY 1",
     "pairs": "SELECT a.src, a.dst AS j, b.dst AS m, b.weight FROM near a JOIN near b ON a.src = b.src",
     "dist": "SELECT p.j, p.m, sqrt(sum((a.v - b.v) * (a.v - b.v))) AS dist FROM (SELECT DISTINCT j, m FROM pairs) p JOIN x a ON a.id = p.j JOIN x b ON b.id = p.m AND b.k = a.k GROUP BY 1, 2",
     "cost": "SELECT p.src, p.j, sum(p.weight * d.dist) AS cost FROM pairs p JOIN dist d ON d.j = p.j AND d.m = p.m GROUP BY 1, 2",
+    "vec": "SELECT id, list(v ORDER BY k) AS a FROM xall GROUP BY 1",
+    "allpairs": "SELECT a.src, a.dst AS j, b.dst AS m, b.weight FROM wedges a JOIN wedges b ON a.src = b.src",
+    "alldist": "SELECT a.id AS j, b.id AS m, list_distance(a.a, b.a) AS dist FROM vec a, vec b",
+    "allcost": "SELECT p.src, p.j, sum(p.weight * d.dist) AS cost FROM allpairs p JOIN alldist d ON d.j = p.j AND d.m = p.m GROUP BY 1, 2",
     "median": """SELECT src, k, min(v) AS m FROM (
         SELECT w.src, x.k, x.v, sum(weight) OVER (PARTITION BY src, k ORDER BY v, id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum,
                sum(weight) OVER (PARTITION BY src, k) AS total FROM wedges w JOIN x ON x.id = w.dst) WHERE 2 * cum >= total - 1e-12 GROUP BY 1, 2""",
@@ -57,14 +60,21 @@ VIEWS = {
     "mg": """SELECT l.id, any_value(n.label) AS label, max(CASE WHEN class = label THEN z END) AS z_y, max(CASE WHEN class <> label THEN z END) AS z_o,
         first(class ORDER BY z DESC, class) AS pred, ln(sum(exp(z))) AS lse FROM logits l JOIN nodes n ON n.id = l.id GROUP BY l.id""",
     "m": "SELECT *, z_y - z_o AS margin, lse - z_y AS ce FROM mg",
-    "seeds": "SELECT id FROM nodes WHERE id % 25 = 0",
-    "hopw": "SELECT src, dst, weight * 0.85 AS weight FROM norm",
-    "p0": "SELECT id AS src, id AS dst, 0.15::DOUBLE AS weight FROM seeds",
-    **{f"p{t}": f"SELECT p.src, h.dst, sum(p.weight * h.weight) AS weight FROM p{t - 1} p JOIN hopw h ON h.src = p.dst GROUP BY 1, 2" for t in range(1, 5)},
-    "ppr": "SELECT src, dst, sum(weight) AS weight FROM (" + " UNION ALL ".join(f"SELECT * FROM p{t}" for t in range(5)) + ") GROUP BY 1, 2",
+    # The normalised adjacency is symmetric, so that rows stand for columns and products are of rows with rows; ids are 0 to n - 1.
+    "pm0": "SELECT a.id, list(coalesce(weight, 0)::DOUBLE * 0.85 ORDER BY b.id) AS r FROM nodes a CROSS JOIN nodes b LEFT JOIN norm ON src = a.id AND dst = b.id GROUP BY 1",
+    "ps0": "SELECT id, list_transform(r, lambda v, i: CASE WHEN i = id + 1 THEN v + 1 ELSE v END) AS r FROM pm0",
+    **{
+        name: text
+        for t in range(1, PPR_DOUBLINGS)
+        for name, text in (
+            (f"pm{t}", f"SELECT x.id, list(list_dot_product(x.r, y.r) ORDER BY y.id) AS r FROM pm{t - 1} x CROSS JOIN pm{t - 1} y GROUP BY 1"),
+            (f"ps{t}", f"SELECT x.id, list(z.r[y.id + 1] + list_dot_product(x.r, y.r) ORDER BY y.id) AS r FROM pm{t} x JOIN ps{t - 1} z ON z.id = x.id CROSS JOIN ps{t - 1} y GROUP BY 1"),
+        )
+    },
+    "ppr": f"SELECT src, dst, weight FROM (SELECT id AS src, generate_subscripts(r, 1) - 1 AS dst, unnest(r) * 0.15 AS weight FROM ps{PPR_DOUBLINGS - 1}) WHERE weight > 0",
     "pprk": "SELECT src, dst, weight FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY round(weight, 9) DESC, dst) AS r FROM ppr) WHERE r <= 16",
     "deg": "SELECT src AS id, count(*)::DOUBLE AS d FROM edges GROUP BY 1",
-    "w1": "SELECT k, h, round(cos(k * 3 + h * 7) / 4, 6) AS w FROM range(8) a(k), range(6) b(h)",
+    "w1": "SELECT k, h, round(cos(k * 3 + h * 7) / 4, 6) AS w FROM range(64) a(k), range(6) b(h)",
     "w2": "SELECT k, h, round(sin(k * 5 + h * 2) / 2, 6) AS w FROM range(6) a(k), range(10) b(h)",
     "xw1": "SELECT x.id, w1.h AS k, sum(x.v * w1.w) AS v FROM x JOIN w1 ON w1.k = x.k GROUP BY 1, 2",
     "hid": "SELECT n.src AS id, a.k, greatest(sum(n.weight * a.v), 0) AS v FROM norm n JOIN xw1 a ON a.id = n.dst GROUP BY 1, 2",
@@ -74,7 +84,7 @@ VIEWS = {
     "hot": "SELECT src, dst FROM edges WHERE src < dst AND src % 7 = 0 AND dst % 5 = 0",
     "blk": f"""SELECT lin, i AS src, lin - (i * (2 * n - i - 1)) // 2 + i + 1 AS dst, p FROM (
         SELECT lin, n, p, CAST(floor((2 * n - 1 - sqrt((2.0 * n - 1) * (2.0 * n - 1) - 8.0 * lin)) / 2) AS BIGINT) AS i FROM (
-            SELECT DISTINCT CAST(floor({DRAW.format("'3:' || i")} * (n * (n - 1) // 2)) AS BIGINT) AS lin, n, 1e-7::DOUBLE AS p FROM range(2000) r(i), cnt))""",
+            SELECT DISTINCT CAST((('0x' || substr(md5('3:' || i), 1, 15))::BIGINT::HUGEINT * (n * (n - 1) // 2)) // 1152921504606846976 AS BIGINT) AS lin, n, 1e-7::DOUBLE AS p FROM range(2000) r(i), cnt))""",
     "pick": "SELECT src, dst FROM blk",
 }
 
@@ -89,7 +99,7 @@ def sql_of(text: str) -> str:
             if name in words and name not in found and f"{name} AS (" not in text:
                 found.add(name)
                 todo.append(VIEWS[name])
-    parts = [f"{n} AS ({VIEWS[n]})" for n in VIEWS if n in found]
+    parts = [f"{n} AS {'MATERIALIZED ' if re.match('p[ms][0-9]', n) else ''}({VIEWS[n]})" for n in VIEWS if n in found]
     rest = text.strip()
     head = re.match(r"WITH (RECURSIVE )?", rest, re.I)
     if head:
@@ -144,11 +154,11 @@ def logits_view(s: SparkSession, d: str) -> DataFrame:
 
 
 def ppr_view(s: SparkSession, d: str) -> DataFrame:
-    return ppr.power_rows(norm_view(s, d), nodes_view(s, d), 0.15)
+    return ppr.power_rows(norm_view(s, d), nodes_view(s, d), 0.15, symmetric=True, tolerance=1e-10)
 
 
 def ppr_top(s: SparkSession, d: str) -> DataFrame:
-    return ppr.power_rows(norm_view(s, d), nodes_view(s, d), 0.15, k=16, digits=9)
+    return ppr.power_rows(norm_view(s, d), nodes_view(s, d), 0.15, k=16, digits=9, symmetric=True, tolerance=1e-10)
 
 
 # ------------------------------------------------------------ reshaping
@@ -156,7 +166,8 @@ def ppr_top(s: SparkSession, d: str) -> DataFrame:
 
 @query(EDGE_SQL + "edges")
 def graph_edges_undirected(s, d):
-    return edge_rows(edges_view(s, d))
+    pairs = reshape.to_unweighted(reshape.remove_self_loops(directed_view(s, d)))
+    return edge_rows(reshape.to_undirected(pairs))
 
 
 @query(EDGE_SQL + "edges_d")
@@ -321,7 +332,7 @@ def delta_apply(s, d):
 
 # ------------------------------------------------------------ components and splits
 
-COMPONENT = """WITH RECURSIVE half AS (SELECT src, dst FROM edges WHERE src % 4 = dst % 4), reach(id, c) AS (
+COMPONENT = """WITH RECURSIVE half AS (SELECT src, dst FROM edges), reach(id, c) AS (
     SELECT id, id FROM nodes UNION SELECT h.dst, r.c FROM reach r JOIN half h ON h.src = r.id WHERE r.c < h.dst),
     lab AS (SELECT id, min(c) AS comp FROM reach GROUP BY 1) """
 
@@ -404,7 +415,7 @@ def sgc_two_hop(s, d):
     return x_rows(propagate.sgc(norm_view(s, d), x_view(s, d)))
 
 
-@query("SELECT a.src, b.dst, round(sum(a.weight * b.weight), 6) AS weight FROM norm a JOIN norm b ON b.src = a.dst WHERE a.src % 10 = 0 GROUP BY 1, 2")
+@query("SELECT a.src, b.dst, round(sum(a.weight * b.weight), 6) AS weight FROM norm a JOIN norm b ON b.src = a.dst GROUP BY 1, 2")
 def two_hop_weights(s, d):
     a = norm_view(s, d)
     return edge_rows(propagate.spgemm(a, a))
@@ -439,27 +450,27 @@ def dimwise_median(s, d):
     return x_rows(robust.dimwise_median(weighted_view(s, d), x_view(s, d)))
 
 
-MEDOID = "SELECT c.src AS id, x.k, round(s * x.v, 6) AS v FROM (SELECT src, first(j ORDER BY round(cost, 9), j) AS j FROM cost GROUP BY 1) c JOIN {} r ON r.src = c.src JOIN x ON x.id = c.j"
-SOFT = "sw AS (SELECT src, j, exp(-cost / {t}) / sum(exp(-cost / {t})) OVER (PARTITION BY src) AS w FROM cost)"
+MEDOID = "SELECT c.src AS id, x.k, round(s * x.v, 6) AS v FROM (SELECT src, first(j ORDER BY round(cost, 9), j) AS j FROM {} GROUP BY 1) c JOIN rowsum r ON r.src = c.src JOIN x ON x.id = c.j"
+SOFT = "sw AS (SELECT src, j, exp((low - cost) / {t}) / sum(exp((low - cost) / {t})) OVER (PARTITION BY src) AS w FROM (SELECT *, min(cost) OVER (PARTITION BY src) AS low FROM {cost}))"
 
 
-@query(MEDOID.format("nearsum"))
+@query(MEDOID.format("allcost"))
 def medoid(s, d):
     return x_rows(robust.medoid(weighted_view(s, d), nodes_view(s, d)))
 
 
-@query(MEDOID.format("rowsum"))
+@query(MEDOID.format("cost"))
 def k_medoid(s, d):
     return x_rows(robust.k_medoid(weighted_view(s, d), nodes_view(s, d), NEAR))
 
 
-@query(f"WITH {SOFT.format(t=1.0)} SELECT sw.src AS id, x.k, round(sum(s * w * x.v), 6) AS v FROM sw JOIN nearsum r ON r.src = sw.src JOIN x ON x.id = sw.j GROUP BY 1, 2")
+@query(f"WITH {SOFT.format(t=1.0, cost='allcost')} SELECT sw.src AS id, x.k, round(sum(s * w * x.v), 6) AS v FROM sw JOIN rowsum r ON r.src = sw.src JOIN x ON x.id = sw.j GROUP BY 1, 2")
 def soft_medoid(s, d):
     return x_rows(robust.soft_medoid(weighted_view(s, d), nodes_view(s, d)))
 
 
 @query(
-    f"WITH {SOFT.format(t=0.5)}, cw AS (SELECT sw.src, j, w * weight / sum(w * weight) OVER (PARTITION BY sw.src) AS w FROM sw JOIN near ON near.src = sw.src AND near.dst = j) "
+    f"WITH {SOFT.format(t=0.5, cost='cost')}, cw AS (SELECT sw.src, j, w * weight / sum(w * weight) OVER (PARTITION BY sw.src) AS w FROM sw JOIN near ON near.src = sw.src AND near.dst = j) "
     "SELECT cw.src AS id, x.k, round(sum(s * w * x.v), 6) AS v FROM cw JOIN rowsum r ON r.src = cw.src JOIN x ON x.id = cw.j GROUP BY 1, 2"
 )
 def soft_k_medoid(s, d):
@@ -467,7 +478,7 @@ def soft_k_medoid(s, d):
 
 
 @query(
-    f"""WITH g AS (SELECT w.src, x.id, sqrt(sum((x.v - m.m) * (x.v - m.m))) / sqrt({DIMS}) AS delta, any_value(w.weight) AS a FROM wedges w JOIN x ON x.id = w.dst JOIN median m ON m.src = w.src AND m.k = x.k GROUP BY 1, 2),
+    f"""WITH g AS (SELECT w.src, x.id, sqrt(sum((x.v - m.m) * (x.v - m.m))) / sqrt({ATTRS}) AS delta, any_value(w.weight) AS a FROM wedges w JOIN x ON x.id = w.dst JOIN median m ON m.src = w.src AND m.k = x.k GROUP BY 1, 2),
     sv AS (SELECT src, id, exp(-delta / 0.5) / sum(exp(-delta / 0.5)) OVER (PARTITION BY src) * a AS w FROM g),
     sn AS (SELECT src, id, w / sum(w) OVER (PARTITION BY src) AS w FROM sv)
     SELECT sn.src AS id, x.k, round(sum(s * w * x.v), 6) AS v FROM sn JOIN rowsum r ON r.src = sn.src JOIN x ON x.id = sn.id GROUP BY 1, 2"""
@@ -505,7 +516,7 @@ def ppr_norm_col(s, d):
 
 @query("SELECT src, dst, round(weight / sum(weight) OVER (PARTITION BY src), 6) AS weight FROM pprk")
 def gdc_edges(s, d):
-    return edge_rows(ppr.gdc(norm_view(s, d), nodes_view(s, d), 0.15, 16, digits=9))
+    return edge_rows(ppr.gdc(norm_view(s, d), nodes_view(s, d), 0.15, 16, digits=9, symmetric=True, tolerance=1e-10))
 
 
 @query("SELECT n.id FROM nodes n WHERE id NOT IN (SELECT src FROM ppr)")
@@ -543,7 +554,7 @@ def ppr_weighted_logits(s, d):
 
 
 def demo_weights(s: SparkSession) -> tuple[DataFrame, DataFrame]:
-    """Fixed weight tables; the SQL has the same for the first DIMS columns."""
+    """Fixed weight tables; the SQL has the same."""
     k, h = F.col("k"), F.col("h")
 
     def grid(a: int, b: int) -> DataFrame:
@@ -693,7 +704,7 @@ def surrogate() -> attacks.Linear2:
     return attacks.Linear2(np.array([[round(math.cos(k * 3 + c * 7), 6) for c in range(10)] for k in range(ATTRS)]))
 
 
-GRADIENT = """WITH sw(k, c, w) AS (SELECT k, c, round(cos(k * 3 + c * 7), 6) FROM range(8) a(k), range(10) b(c)),
+GRADIENT = """WITH sw(k, c, w) AS (SELECT k, c, round(cos(k * 3 + c * 7), 6) FROM range(64) a(k), range(10) b(c)),
     h0 AS (SELECT x.id, c, sum(v * w) AS h FROM x JOIN sw ON sw.k = x.k GROUP BY 1, 2),
     h1 AS (SELECT n.src AS id, c, sum(n.weight * h) AS h FROM norm n JOIN h0 ON h0.id = n.dst GROUP BY 1, 2),
     z AS (SELECT n.src AS id, c, sum(n.weight * h) AS z FROM norm n JOIN h1 ON h1.id = n.dst GROUP BY 1, 2),
@@ -742,9 +753,9 @@ def powerlaw_stats(s, d):
 
 
 @query(
-    """WITH sw(k, c, w) AS (SELECT k, c, round(cos(k * 3 + c * 7), 6) FROM range(8) a(k), range(10) b(c)),
+    """WITH sw(k, c, w) AS (SELECT k, c, round(cos(k * 3 + c * 7), 6) FROM range(64) a(k), range(10) b(c)),
     h0 AS (SELECT x.id, c, sum(v * w) AS h FROM x JOIN sw ON sw.k = x.k GROUP BY 1, 2),
-    cand AS (SELECT id AS v, EXISTS (SELECT 1 FROM edges WHERE src = 3 AND dst = id) AS present FROM nodes WHERE id % 20 = 1 AND id <> 3),
+    cand AS (SELECT id AS v, EXISTS (SELECT 1 FROM edges WHERE src = 3 AND dst = id) AS present FROM nodes WHERE id <> 3),
     a AS (SELECT v, l.src, l.dst FROM cand, loops l WHERE NOT (present AND ((l.src = 3 AND l.dst = v) OR (l.src = v AND l.dst = 3)))
           UNION ALL SELECT v, 3, v FROM cand WHERE NOT present UNION ALL SELECT v, v, 3 FROM cand WHERE NOT present),
     dd AS (SELECT v, src AS id, count(*) AS d FROM a GROUP BY 1, 2),

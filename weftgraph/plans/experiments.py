@@ -224,7 +224,7 @@ def run_local(graph, model, nodes: list[int], attack, epsilons: list[float], lab
 
 
 
-def cache_ppr(edges: DataFrame, split: DataFrame, path: str, alpha: float = 0.1, topk: int = 64, rounds: int = 12, norm: str = "row", dataset: str = "graph") -> None:
+def cache_ppr(edges: DataFrame, split: DataFrame, path: str, alpha: float = 0.1, topk: int = 64, rounds: int | None = None, norm: str = "row", dataset: str = "graph") -> None:
     """Writes the top-k PPR rows of each part of split(id, part) under its own partition."""
     from ..operators import normalize, ppr
     from ..sources.shards import write_ppr

@@ -8,8 +8,15 @@ from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame, name: str = "step") -> DataFrame:
-    """Checkpoints df to the shared folder in spark.checkpoint.dir; a temporary folder where that is unset, as in tests."""
+    """Checkpoints df to the shared folder in spark.checkpoint.dir.
+
+    Where that is unset, a local session uses a temporary folder, as in tests; on a cluster,
+    whose machines share no such folder, it is an error.
+    """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="weftgraph-"))
+        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not shared and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
+        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="weftgraph-"))
     return df.checkpoint()

@@ -224,3 +224,21 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
     whole = scratch.write(whole.fillna({"n_base": 0, "base_labels": "", "labels": "", "score": 0.0}), "documents")
     scratch.drop("votes")
     return whole, spans
+
+
+#: The base columns by lists of words.
+ORACLE = r"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+  FROM documents),
+p(phrase, label) AS (VALUES %s),
+h AS (
+  SELECT doc_id, label, unnest(list_filter(range(0, len(words) - len(phrase) + 1), lambda i: words[i + 1:i + len(phrase)] = phrase)) AS pos
+  FROM w, p),
+g AS (
+  SELECT doc_id, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels
+  FROM h GROUP BY doc_id)
+SELECT w.doc_id, len(words) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels
+FROM w LEFT JOIN g ON g.doc_id IS NOT DISTINCT FROM w.doc_id
+""" % ", ".join(f"({phrase.split()}, '{label}')" for phrase, label in BASE)

@@ -373,3 +373,11 @@ def digests(docs: DataFrame) -> DataFrame:
         "doc_id", F.col("tags")["bytes"].cast("long").alias("n_bytes"), "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"),
         (F.col("samples") / F.nullif("rate", F.lit(0))).alias("duration"), "seek",
     )
+
+
+#: The payload's columns.
+ORACLE = r"""
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS raw FROM documents),
+p AS (SELECT doc_id, octet_length(raw) AS n, raw || repeat('\x00'::BLOB, CASE WHEN octet_length(raw) = 0 THEN 64 ELSE (64 - octet_length(raw) % 64) % 64 END) AS payload FROM d)
+SELECT doc_id, n AS n_bytes, octet_length(payload) AS payload_bytes, sha256(payload) AS payload_sha256 FROM p
+"""

@@ -373,3 +373,41 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return source.mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+
+
+#: The base kinds by regular expressions: a match begins where the pieces and matches before it end.
+ORACLE = r"""
+WITH k(no, kind, pattern) AS (VALUES
+  (1, 'email', '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+'),
+  (2, 'ip', '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)'),
+  (3, 'card', '[0-9]([\x20-]?[0-9])+'),
+  (4, 'phone', '\+[0-9][\x20().0-9-]+[0-9]')),
+t AS (
+  SELECT doc_id, 1 AS no, regexp_extract_all(x, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+') AS found, regexp_split_to_array(x, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+') AS pieces
+  FROM (SELECT doc_id, coalesce(text, '') AS x FROM documents)
+  UNION ALL SELECT doc_id, 2, regexp_extract_all(x, '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)'), regexp_split_to_array(x, '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)')
+  FROM (SELECT doc_id, coalesce(text, '') AS x FROM documents)
+  UNION ALL SELECT doc_id, 3, regexp_extract_all(x, '[0-9]([\x20-]?[0-9])+'), regexp_split_to_array(x, '[0-9]([\x20-]?[0-9])+')
+  FROM (SELECT doc_id, coalesce(text, '') AS x FROM documents)
+  UNION ALL SELECT doc_id, 4, regexp_extract_all(x, '\+[0-9][\x20().0-9-]+[0-9]'), regexp_split_to_array(x, '\+[0-9][\x20().0-9-]+[0-9]')
+  FROM (SELECT doc_id, coalesce(text, '') AS x FROM documents)),
+u AS (SELECT doc_id, no, generate_subscripts(found, 1) AS i, unnest(found) AS m, unnest(pieces[1:len(found)]) AS piece FROM t WHERE len(found) > 0),
+s AS (
+  SELECT doc_id, no, m, replace(replace(m, ' ', ''), '-', '') AS digits,
+         sum(length(piece)) OVER w + sum(length(m)) OVER w - length(m) AS a
+  FROM u WINDOW w AS (PARTITION BY doc_id, no ORDER BY i)),
+g AS (
+  SELECT doc_id, no, a, a + length(m) AS b FROM s
+  WHERE no = 1
+     OR no = 2 AND list_bool_and(list_transform(string_split(m, '.'), lambda x: length(ltrim(x, '0')) <= 3 AND coalesce(TRY_CAST(right(ltrim(x, '0'), 3) AS INT), 0) <= 255))
+     OR no = 3 AND length(digits) BETWEEN 14 AND 19 AND list_sum(list_transform(range(1, length(digits) + 1),
+          lambda i: CASE WHEN i % 2 = 1 THEN ascii(substr(reverse(digits), i, 1)) - 48 ELSE (2 * (ascii(substr(reverse(digits), i, 1)) - 48)) // 10 + (2 * (ascii(substr(reverse(digits), i, 1)) - 48)) % 10 END)) % 10 = 0
+     OR no = 4 AND length(regexp_replace(m, '[^0-9]', '', 'g')) BETWEEN 10 AND 15),
+c AS (
+  SELECT doc_id, count(*) FILTER (no = 1) AS n_email, count(*) FILTER (no = 2) AS n_ip, count(*) FILTER (no = 3) AS n_card, count(*) FILTER (no = 4) AS n_phone,
+         string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, no, b) AS spans
+  FROM g JOIN k USING (no) GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone,
+       sha256(coalesce(spans, '')) AS base_sha256
+FROM documents d LEFT JOIN c ON c.doc_id IS NOT DISTINCT FROM d.doc_id
+"""

@@ -53,9 +53,34 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_table(spark, sf_dir, "documents")).drop("keep_chars")
 
 
+# The columns that plain SQL can give of queries whose other columns are learned or encoded, from the same operators.
+
+
+def license_base_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op1_licenses(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+def pii_base_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op2_pii(spark, sf_dir).drop("spans")
+
+
+def mpeg_payload_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op7_mpeg(spark, sf_dir).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256")
+
+
+def url_rule_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op8_urls(spark, sf_dir).select("page_id", "host", "path", "rule")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (op1_licenses, op2_pii, op3_main_text, op4_mix, op5_language, op6_pack, op7_mpeg, op8_urls, op9_near_dedup, op10_exact_dedup)
+    + (license_base_columns, pii_base_columns, mpeg_payload_columns, url_rule_columns)
 }
 
-ORACLES: dict[str, str] = {"op4_mix": curriculum.ORACLE, "op6_pack": packing.oracle(), "op9_near_dedup": minhash.ORACLE, "op10_exact_dedup": exact_dedup.ORACLE}
+ORACLES: dict[str, str] = {"op4_mix": curriculum.ORACLE, "op6_pack": packing.oracle(), "op9_near_dedup": minhash.ORACLE, "op10_exact_dedup": exact_dedup.ORACLE} | {
+    "license_base_columns": license_scan.ORACLE,
+    "pii_base_columns": pii.ORACLE,
+    "mpeg_payload_columns": mpeg.ORACLE,
+    "url_rule_columns": url_filter.ORACLE,
+}

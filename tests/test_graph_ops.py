@@ -424,3 +424,42 @@ def test_additions_over_the_room_are_errors(spark):
     assert attacks.dice_add(edges, nodes, 8).count() == 8
     with pytest.raises(ValueError):
         attacks.dice_add(edges, nodes, 9)
+
+
+@pytest.mark.parametrize(("activation", "biased"), [("ReLU", True), ("Tanh", False)])
+def test_gcn_gradient_equals_central_differences(spark, activation, biased):
+    a, x, labels, edges, nodes = random_graph(spark, 9, 0.4, 6)
+    rng = np.random.default_rng(2)
+    weights = [rng.normal(size=(5, 4)), rng.normal(size=(4, 4)), rng.normal(size=(4, 3))]
+    biases = [rng.normal(size=4), rng.normal(size=4), rng.normal(size=3)] if biased else None
+    y = np.array([labels[i] for i in range(9)])
+    act = {"ReLU": lambda v: np.maximum(v, 0), "Tanh": np.tanh}[activation]
+
+    def logits(m):
+        h, norm = x, dense_norm(m)
+        for k, w in enumerate(weights):
+            h = norm @ (h @ w) + (biases[k] if biases else 0)
+            h = act(h) if k < 2 else h
+        return h
+
+    def loss(m):
+        z = logits(m)
+        own, other = z[np.arange(9), y], np.where(np.eye(3)[y] == 1, -np.inf, z).max(1)
+        return np.tanh(other - own).mean()
+
+    model = attacks.Gcn(weights, biases, activation)
+    got = np.array([r.z for r in attacks.surrogate_logits(edges, nodes, model).orderBy("id").collect()])
+    assert np.allclose(got, logits(a), atol=1e-9)
+    pairs = [(0, 1), (2, 8), (3, 4)]
+    found = {(r.src, r.dst): r.grad for r in attacks.edge_gradient(edges, nodes, model, nodes, spark.createDataFrame(pairs, "src long, dst long"), "tanhMargin").collect()}
+    for i, j in pairs:
+        hi, lo = a.copy(), a.copy()
+        for m, step in ((hi, 1e-6), (lo, -1e-6)):
+            m[i, j] += step
+            m[j, i] += step
+        assert found[i, j] == pytest.approx((loss(hi) - loss(lo)) / 2e-6, abs=1e-5)
+
+
+def test_connectedness(spark):
+    path = spark.createDataFrame([(0, 1, 1.0), (1, 2, 1.0)], "src long, dst long, weight double")
+    assert components.is_connected(spark.range(3), path) and not components.is_connected(spark.range(4), path)

@@ -156,3 +156,36 @@ def test_entry_point_lists_queries_with_their_sql():
 
     assert set(entry.oracle_sql()) <= set(entry.queries()) and set(catalogue.QUERIES) <= set(entry.queries())
     assert not math.isnan(len(entry.queries()))
+
+
+def test_training_transfer_and_poisoning(spark, tmp_path):
+    """Train, attack a surrogate, judge victims and retrain on a small graph of two blocks, with stated bounds."""
+    rng = np.random.default_rng(1)
+    label = np.arange(24) % 2
+    a = np.triu(rng.random((24, 24)) < np.where(label[:, None] == label, 0.4, 0.05), 1)
+    edges = spark.createDataFrame([(int(i), int(j), 1.0) for i, j in zip(*np.nonzero(a | a.T), strict=True)], "src long, dst long, weight double").cache()
+    nodes = spark.createDataFrame([(i, [*(np.eye(2)[label[i]] + rng.normal(0, 0.4, 2)).tolist(), 1.0], int(label[i])) for i in range(24)], "id long, attr array<double>, label int").cache()
+    split = spark.createDataFrame([(i, ["train", "val", "test", "test"][i // 2 % 4]) for i in range(24)], "id long, part string").cache()
+    graph, store = Graph(edges, nodes), artifacts.Store(str(tmp_path))
+    model, found = experiments.train_model(graph, split, store, {"dataset": "blocks"}, hidden=8, epochs=12, lr=0.1)
+    assert found["train"] >= 0.8 and found["test"] >= 0.7
+    again, same = experiments.train_model(graph, split, store, {"dataset": "blocks"}, hidden=8, epochs=12, lr=0.1)
+    assert same == found and all(np.allclose(x, y) for x, y in zip(model.weights, again.weights, strict=True))
+    assert len(store.find_models(spark, {"dataset": "blocks"})) == 1 and store.load_model({"dataset": "none"}) is None
+
+    def greedy(*args):
+        return attacks.greedy_rbcd(*args, epochs=1, block_size=400, seed=1)
+
+    victims = {"gcn": model, "flat": lambda e, n: n.select("id", F.posexplode(F.slice("attr", 1, 2)).alias("k", "v"))}
+    rows = {(r.label, r.epsilon): r.accuracy for r in experiments.run_transfer(graph, model, victims, split, greedy, [0.0, 0.3], store).collect()}
+    assert rows["gcn", 0.0] == found["test"] and rows["gcn", 0.3] <= rows["gcn", 0.0] and rows["flat", 0.0] == rows["flat", 0.3]
+    poisoned = experiments.run_poisoning(graph, model, split, greedy, [0.2], hidden=4, epochs=2, lr=0.1)
+    assert {r.part for r in poisoned.collect()} == {"train", "val", "test"}
+
+
+def test_documents_move_to_their_digest(spark, tmp_path):
+    store = artifacts.Store(str(tmp_path))
+    store.save("result", {"a": 1}, 5)
+    old = next((tmp_path / "index").glob("*.json"))
+    old.rename(tmp_path / "index" / "result-17.json")
+    assert store.load("result", {"a": 1}) is None and store.migrate() == 1 and store.load("result", {"a": 1}) == 5 and store.migrate() == 0

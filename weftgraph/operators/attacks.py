@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import below, clamp, dot, uniform
+from ..functions import ACTIVATIONS, below, clamp, dot, uniform
 from ..plans.lineage import cut
 from . import normalize
 from .losses import split_name
@@ -128,13 +128,74 @@ class Linear2:
     weight: np.ndarray
     bias: np.ndarray | None = None
     temperature: float = 1.0
+    activation: str = "Identity"
 
+    @property
+    def layers(self) -> list[tuple]:
+        return [(self.weight / self.temperature, None), (None, self.bias)]
 
-def _projected(nodes: DataFrame, model: Linear2) -> DataFrame:
-    """(id, h): X W with a small weight matrix, as an array; W goes into the plan, one column a class."""
-    w = model.weight / model.temperature
-    columns = [dot(F.col("attr"), F.array(*map(F.lit, w[:, c].tolist()))) for c in range(w.shape[1])]
-    return nodes.select("id", F.array(*columns).alias("h"))
+
+@dataclass
+class Gcn:
+    """A graph convolutional network of any depth: Z_l = A act(Z_(l-1)) W_l + b_l. weights are inputs x outputs; a bias may be None.
+
+    Dropout is off, as in evaluation. The weights go into the plan, so they are for layers of
+    some ten thousand entries.
+    """
+
+    weights: list[np.ndarray]
+    biases: list | None = None
+    activation: str = "ReLU"
+    temperature: float = 1.0
+
+    @property
+    def layers(self) -> list[tuple]:
+        biases = self.biases or [None] * len(self.weights)
+        out = list(zip(self.weights, biases, strict=True))
+        w, b = out[-1]
+        return [*out[:-1], (w / self.temperature, None if b is None else b / self.temperature)]
+
+
+Model = Linear2 | Gcn
+
+
+def _times(h: Column, w: np.ndarray | None) -> Column:
+    """An array column times a small matrix; None stands for the identity."""
+    return h if w is None else F.array(*[dot(h, F.array(*map(F.lit, w[:, c].tolist()))) for c in range(w.shape[1])])
+
+
+def _projected(nodes: DataFrame, model: Model) -> DataFrame:
+    """(id, h): attributes times the first layer's weights."""
+    return nodes.select("id", _times(F.col("attr"), model.layers[0][0]).alias("h"))
+
+
+def _slope(z: Column, name: str) -> Column:
+    """Derivative of an activation at z."""
+    table = {
+        "Identity": lambda v: F.lit(1.0),
+        "ReLU": lambda v: F.when(v > 0, 1.0).otherwise(0.0),
+        "LeakyReLU": lambda v: F.when(v >= 0, 1.0).otherwise(0.01),
+        "ELU": lambda v: F.when(v > 0, 1.0).otherwise(F.exp(v)),
+        "Tanh": lambda v: 1 - F.tanh(v) * F.tanh(v),
+    }
+    return F.transform(z, table[name])
+
+
+def _forward(a: DataFrame, nodes: DataFrame, model: Model, keep=lambda z: z) -> list[tuple]:
+    """Per layer (inputs times weights, outputs, width): (id, h) and (id, z) on the normalised adjacency a; keep may cut the outputs."""
+    act = ACTIVATIONS[model.activation]
+    out, h = [], nodes.select("id", F.col("attr").alias("h"))
+    width = 0
+    for w, b in model.layers:
+        width = width if w is None else w.shape[1]
+        p = h.select("id", _times(F.col("h"), w).alias("h"))
+        z = _hop(a, p, width).withColumnRenamed("h", "z")
+        if b is not None:
+            z = z.select("id", F.zip_with("z", F.array(*map(F.lit, np.asarray(b).tolist())), lambda x, y: x + y).alias("z"))
+        z = keep(z)
+        out.append((p, z, width))
+        h = z.select("id", F.transform("z", act).alias("h"))
+    return out
 
 
 def _hop(edges: DataFrame, h: DataFrame, classes: int, name: str = "h") -> DataFrame:
@@ -144,14 +205,9 @@ def _hop(edges: DataFrame, h: DataFrame, classes: int, name: str = "h") -> DataF
     return sums.select("id", F.array(*[F.col(f"c{c}") for c in range(classes)]).alias(name))
 
 
-def surrogate_logits(edges: DataFrame, nodes: DataFrame, model: Linear2) -> DataFrame:
-    """(id, z array) of the surrogate on edges, which are normalised with remaining self loops."""
-    classes = model.weight.shape[1]
-    a = normalize.gcn(edges, nodes)
-    z = _hop(a, _hop(a, _projected(nodes, model), classes), classes)
-    if model.bias is not None:
-        z = z.select("id", F.zip_with("h", F.array(*map(F.lit, model.bias.tolist())), lambda x, b: x + b).alias("h"))
-    return z.withColumnRenamed("h", "z")
+def surrogate_logits(edges: DataFrame, nodes: DataFrame, model: Model) -> DataFrame:
+    """(id, z array) of the model on edges, which are normalised with remaining self loops."""
+    return _forward(normalize.gcn(edges, nodes), nodes, model)[-1][1]
 
 
 def long_logits(wide: DataFrame) -> DataFrame:
@@ -205,38 +261,40 @@ def loss_gradient(logits: DataFrame, labels: DataFrame, name: str = "CE") -> Dat
     return counted.select("id", g.alias("g"))
 
 
-def edge_gradient(edges: DataFrame, nodes: DataFrame, model: Linear2, targets: DataFrame, pairs: DataFrame, loss_name: str = "CE", symmetric: bool = True) -> DataFrame:
+def edge_gradient(edges: DataFrame, nodes: DataFrame, model: Model, targets: DataFrame, pairs: DataFrame, loss_name: str = "CE", symmetric: bool = True) -> DataFrame:
     """pairs(src, dst, ...) with `grad`, the derivative of the loss by the weight of the pair before normalisation.
 
-    Closed form for Z = A A X W with A = s a s, s = d^-1/2 of the column sums: the layer terms
-    G_ij = <g_i, h_j> of both layers give dL/da_ij = G_ij s_i s_j - 1/2 d_j^-1 (sum_l G_jl A_jl
-    + sum_k G_kj A_kj). Each hop is a join and a grouped sum; the pairs meet wide rows.
+    Closed form for layers Z_l = A P_l, A = s a s, s = d^-1/2 of the column sums: with g_l the
+    loss's gradient by Z_l, the terms G_ij = sum over layers of <g_l,i , P_l,j> give dL/da_ij =
+    G_ij s_i s_j - 1/2 d_j^-1 (sum_l G_jl A_jl + sum_k G_kj A_kj). Backwards, g_(l-1) is
+    (A^T g_l W_l^T) times the activation's slope. Each hop is a join and a grouped sum; the
+    pairs meet wide rows.
     """
-    classes = model.weight.shape[1]
     full = normalize.add_remaining_self_loops(edges, nodes)
     degrees = normalize.degree(full, "dst")
     a = cut(normalize.symmetric(full, "dst"), "adjacency")
-    h0 = _projected(nodes, model)
-    h1 = cut(_hop(a, h0, classes), "hop")
-    z = _hop(a, h1, classes).withColumnRenamed("h", "z")
-    if model.bias is not None:
-        z = z.select("id", F.zip_with("z", F.array(*map(F.lit, model.bias.tolist())), lambda x, b: x + b).alias("z"))
-    zero = F.array(*[F.lit(0.0)] * classes)
-    g2 = nodes.select("id").join(loss_gradient(z, targets, loss_name), "id", "left").select("id", F.coalesce("g", zero).alias("h"))
-    g1 = _hop(reversed_edges(a), g2, classes)
-    # Layer 2: Z = A H1 with gradient g2; layer 1: H1 = A H0 with gradient A^T g2.
-    parts = (
-        nodes.select("id")
-        .join(g2.withColumnRenamed("h", "g2"), "id")
-        .join(g1.withColumnRenamed("h", "g1"), "id", "left")
-        .join(h1.withColumnRenamed("h", "h1"), "id", "left")
-        .join(h0.withColumnRenamed("h", "h0"), "id")
-        .join(degrees, "id", "left")
-        .select("id", "g2", F.coalesce("g1", zero).alias("g1"), F.coalesce("h1", zero).alias("h1"), "h0", F.coalesce("d", F.lit(0.0)).alias("d"))
-    )
-    parts = cut(parts, "parts")
-    left = parts.select(F.col("id").alias("src"), F.concat("g2", "g1").alias("g"), F.col("d").alias("d_i"))
-    right = parts.select(F.col("id").alias("dst"), F.concat("h1", "h0").alias("h"), F.col("d").alias("d_j"))
+    passed = _forward(a, nodes, model, lambda z: cut(z, "layer"))
+
+    def zero(width: int) -> Column:
+        return F.array(*[F.lit(0.0)] * width)
+
+    parts = nodes.select("id").join(degrees, "id", "left").select("id", F.coalesce("d", F.lit(0.0)).alias("d"))
+    g = loss_gradient(passed[-1][1], targets, loss_name)
+    for layer in range(len(passed), 0, -1):
+        p, _, width = passed[layer - 1]
+        g = cut(nodes.select("id").join(g, "id", "left").select("id", F.coalesce("g", zero(width)).alias("g")), "gradient")
+        parts = parts.join(g.withColumnRenamed("g", f"g{layer}"), "id").join(p.withColumnRenamed("h", f"p{layer}"), "id", "left")
+        parts = parts.withColumn(f"p{layer}", F.coalesce(f"p{layer}", zero(width)))
+        if layer > 1:
+            back = _hop(reversed_edges(a), g.withColumnRenamed("g", "h"), width)
+            w = model.layers[layer - 1][0]
+            back = back.select("id", _times(F.col("h"), None if w is None else w.T).alias("u"))
+            slope = passed[layer - 2][1].select("id", _slope(F.col("z"), model.activation).alias("s"))
+            g = back.join(slope, "id").select("id", F.zip_with("u", "s", lambda x, y: x * y).alias("g"))
+    number = range(len(passed), 0, -1)
+    parts = cut(parts.select("id", "d", F.concat(*[F.col(f"g{i}") for i in number]).alias("g"), F.concat(*[F.col(f"p{i}") for i in number]).alias("h")), "parts")
+    left = parts.select(F.col("id").alias("src"), "g", F.col("d").alias("d_i"))
+    right = parts.select(F.col("id").alias("dst"), "h", F.col("d").alias("d_j"))
     used = a.join(left, "src").join(right, "dst").select("src", "dst", (dot(F.col("g"), F.col("h")) * F.col("weight")).alias("t"))
     bracket = used.select(F.explode(F.array("src", "dst")).alias("dst"), "t").groupBy("dst").agg(F.sum("t").alias("b"))
     two = pairs.select("src", "dst").distinct()
@@ -249,7 +307,7 @@ def edge_gradient(edges: DataFrame, nodes: DataFrame, model: Linear2, targets: D
     return pairs.join(each.groupBy("src", "dst").agg(F.sum("grad").alias("grad")), ["src", "dst"])
 
 
-def block_gradient(edges: DataFrame, nodes: DataFrame, model: Linear2, targets: DataFrame, block: DataFrame, loss_name: str = "CE") -> DataFrame:
+def block_gradient(edges: DataFrame, nodes: DataFrame, model: Model, targets: DataFrame, block: DataFrame, loss_name: str = "CE") -> DataFrame:
     """block with `grad` by p: of an existing edge the sign turns, as its weight is 1 - p after the flip."""
     flagged = block_matches(block, edges)
     found = edge_gradient(perturb(edges, block), nodes, model, targets, flagged, loss_name)
@@ -279,7 +337,7 @@ def _loss(edges, nodes, model, targets, loss_name) -> float:
 
 
 def prbcd(
-    edges: DataFrame, nodes: DataFrame, model: Linear2, targets: DataFrame, budget: int, epochs: int = 400, fine_tune: int = 100, block_size: int = 1_000_000,
+    edges: DataFrame, nodes: DataFrame, model: Model, targets: DataFrame, budget: int, epochs: int = 400, fine_tune: int = 100, block_size: int = 1_000_000,
     lr_factor: float = 100.0, loss_name: str = "CE", samples: int = 20, seed: int = 0, eps: float = 1e-7, block: DataFrame | None = None,
 ) -> Result:
     """Projected randomised block coordinate descent over a random block of pairs.
@@ -289,10 +347,12 @@ def prbcd(
     """
     fixed = block is not None
     block = cut(block if fixed else random_block(nodes, block_size, f"{seed}-0", eps), "block")
+    if block.count() < budget:
+        raise ValueError(f"the block has fewer pairs than the budget of {budget}")
     n, trace, best = nodes.count(), [], (-math.inf, block)
     for epoch in range(epochs):
         grads = block_gradient(edges, nodes, model, targets, block, loss_name)
-        lr = budget / n * lr_factor / math.sqrt(max(0, epoch - (epochs - fine_tune)) + 1)
+        lr = budget / n / 2 * lr_factor / math.sqrt(max(0, epoch - (epochs - fine_tune)) + 1)
         block = cut(project(grads.withColumn("p", F.col("p") + lr * F.col("grad")).drop("grad"), budget, eps), "block")
         value = _loss(perturb(edges, block), nodes, model, targets, loss_name)
         mass, positive = block.agg(F.sum("p"), F.count(F.when(F.col("p") > eps, 1))).first()
@@ -318,7 +378,7 @@ def prbcd(
     return Result(found[1], _flip(edges, found[1]), trace)
 
 
-def greedy_rbcd(edges: DataFrame, nodes: DataFrame, model: Linear2, targets: DataFrame, budget: int, epochs: int = 500, block_size: int = 1_000_000, loss_name: str = "CE", seed: int = 0, eps: float = 1e-7) -> Result:
+def greedy_rbcd(edges: DataFrame, nodes: DataFrame, model: Model, targets: DataFrame, budget: int, epochs: int = 500, block_size: int = 1_000_000, loss_name: str = "CE", seed: int = 0, eps: float = 1e-7) -> Result:
     """Each step draws a fresh block and flips the pairs with the largest gradients; the budget is dealt evenly over the steps."""
     epochs = min(epochs, budget)
     quota = [budget // epochs + (1 if s < budget % epochs else 0) for s in range(epochs)] if epochs else []
@@ -342,12 +402,12 @@ def all_pairs(nodes: DataFrame, eps: float) -> DataFrame:
     return nodes.sparkSession.range(n * (n - 1) // 2).select(F.col("id").alias("lin"), i.alias("src"), j.alias("dst"), F.lit(eps).alias("p"))
 
 
-def pgd(edges: DataFrame, nodes: DataFrame, model: Linear2, targets: DataFrame, budget: int, epochs: int = 200, loss_name: str = "CE", base_lr: float = 0.01, samples: int = 20, seed: int = 0) -> Result:
+def pgd(edges: DataFrame, nodes: DataFrame, model: Model, targets: DataFrame, budget: int, epochs: int = 200, loss_name: str = "CE", base_lr: float = 0.01, samples: int = 20, seed: int = 0) -> Result:
     """Projected gradient descent over all pairs (small graphs)."""
     return prbcd(edges, nodes, model, targets, budget, epochs, epochs, 0, base_lr * nodes.count(), loss_name, samples, seed, 1e-5, all_pairs(nodes, 1e-5))
 
 
-def fgsm(edges: DataFrame, nodes: DataFrame, model: Linear2, targets: DataFrame, budget: int, loss_name: str = "CE") -> Result:
+def fgsm(edges: DataFrame, nodes: DataFrame, model: Model, targets: DataFrame, budget: int, loss_name: str = "CE") -> Result:
     """Flips the pair with the largest gradient, one at a time, over all pairs (small graphs); a pair is flipped once."""
     now, picked, trace = edges, [], []
     spark = nodes.sparkSession
@@ -362,7 +422,7 @@ def fgsm(edges: DataFrame, nodes: DataFrame, model: Linear2, targets: DataFrame,
     return Result(spark.createDataFrame(picked, "src long, dst long"), now, trace)
 
 
-def local_prbcd(edges: DataFrame, nodes: DataFrame, model: Linear2, node: int, budget: int, epochs: int = 150, fine_tune: int = 50, block_size: int = 10_000, lr_factor: float = 1.0, loss_name: str = "Margin", seed: int = 0, samples: int = 20, eps: float = 1e-14) -> Result:
+def local_prbcd(edges: DataFrame, nodes: DataFrame, model: Model, node: int, budget: int, epochs: int = 150, fine_tune: int = 50, block_size: int = 10_000, lr_factor: float = 1.0, loss_name: str = "Margin", seed: int = 0, samples: int = 20, eps: float = 1e-14) -> Result:
     """The block is drawn from the pairs of one node; the loss is that node's."""
     others = nodes.filter(F.col("id") != node).select("id").orderBy(uniform(seed, "id"), "id").limit(block_size)
     block = others.select(F.col("id").alias("lin"), F.least("id", F.lit(node)).alias("src"), F.greatest("id", F.lit(node)).alias("dst"), F.lit(eps).alias("p"))
@@ -378,7 +438,7 @@ def sga_candidates(edges: DataFrame, nodes: DataFrame, node: int, wrong: int) ->
     return potential.select(F.lit(node).cast("long").alias("src"), F.col("id").alias("dst"))
 
 
-def sga(edges: DataFrame, nodes: DataFrame, model: Linear2, node: int, budget: int, hops: int = 2) -> Result:
+def sga(edges: DataFrame, nodes: DataFrame, model: Model, node: int, budget: int, hops: int = 2) -> Result:
     """Simplified gradient attack on the k-hop subgraph of the target, normalised with the degrees of the whole graph."""
     spark = nodes.sparkSession
     label = nodes.filter(F.col("id") == node).first().label
@@ -386,7 +446,7 @@ def sga(edges: DataFrame, nodes: DataFrame, model: Linear2, node: int, budget: i
     wrong = max((c for c in range(len(z)) if c != label), key=lambda c: (z[c], -c))
     candidates = sga_candidates(edges, nodes, node, wrong)
     target = nodes.filter(F.col("id") == node)
-    soft = Linear2(model.weight, model.bias, 5.0)
+    soft = replace(model, temperature=5.0)
     near = khop(edges, target.select("id"), hops).select("id")
     now, picked = edges, []
     away = target.withColumn("label", F.lit(wrong))
@@ -508,7 +568,7 @@ def filter_chisquare(ratios: DataFrame, cutoff: float = 0.004) -> DataFrame:
     return ratios.filter(F.col("ratio") < cutoff)
 
 
-def struct_scores(edges: DataFrame, nodes: DataFrame, model: Linear2, node: int, candidates: DataFrame) -> DataFrame:
+def struct_scores(edges: DataFrame, nodes: DataFrame, model: Model, node: int, candidates: DataFrame) -> DataFrame:
     """candidates(src = node, dst) with the margin of the node after each flip, exactly.
 
     With A-hat after a flip of (u, v), row u of its square depends on u's neighbours only:
@@ -546,7 +606,7 @@ def struct_scores(edges: DataFrame, nodes: DataFrame, model: Linear2, node: int,
     return sums.select(u.cast("long").alias("src"), F.col("v").alias("dst"), (F.col(f"z{label}") - F.array_max(F.array(*others))).alias("score"))
 
 
-def nettack(edges: DataFrame, nodes: DataFrame, model: Linear2, node: int, budget: int, cutoff: float = 0.004) -> Result:
+def nettack(edges: DataFrame, nodes: DataFrame, model: Model, node: int, budget: int, cutoff: float = 0.004) -> Result:
     """Structure attack on one node: candidates that leave no singleton and pass the power-law test, smallest margin first."""
     from .reshape import filter_singletons
 

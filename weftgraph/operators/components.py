@@ -27,6 +27,11 @@ def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 64) -> Data
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
+def is_connected(nodes: DataFrame, edges: DataFrame) -> bool:
+    """Whether the graph has exactly one component; an empty one has none."""
+    return components(nodes, edges).select("comp").distinct().limit(2).count() == 1
+
+
 def component_sizes(labels: DataFrame) -> DataFrame:
     return labels.groupBy("comp").agg(F.count("*").alias("size"))
 

@@ -7,6 +7,7 @@ import json
 import random
 from collections.abc import Iterator
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -198,6 +199,70 @@ def run_global(graph, model, split: DataFrame, attack, epsilons: list[float], st
     return spark.createDataFrame(rows, "label string, epsilon double, accuracy double")
 
 
+def model_logits(model, edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Long logits(id, class, z) of an attackable model, or of a callable of (edges, nodes) that gives (id, k, v)."""
+    from ..operators import attacks
+
+    if callable(model):
+        return model(edges, nodes).select("id", F.col("k").alias("class"), F.col("v").alias("z"))
+    return attacks.long_logits(attacks.surrogate_logits(edges, nodes, model))
+
+
+def run_transfer(graph, surrogate, victims: dict, split: DataFrame, attack, epsilons: list[float], store=None, **parameters) -> DataFrame:
+    """results(label, epsilon, accuracy): pairs found on the surrogate, judged on every victim (label: model or callable) on the test part.
+
+    Victims need no gradients, so that robust and PPR models can stand here by their forward passes.
+    """
+    from ..operators import attacks, losses
+
+    m = graph.edges.count()
+    test = graph.nodes.join(split.filter("part = 'test'").select("id"), "id", "left_semi")
+    rows = []
+    for eps in check_epsilons(epsilons):
+        n, edges = budget(eps, m), graph.edges
+        if n:
+            key = {"surrogate": type(surrogate).__name__, "epsilon": eps, "attack": attack.__name__, **parameters}
+            pairs = store.load("perturbation", key, graph.nodes.sparkSession) if store else None
+            if pairs is None:
+                pairs = attack(graph.edges, graph.nodes, surrogate, test, n, **parameters).pairs
+                if store:
+                    store.save("perturbation", key, pairs)
+            edges = attacks._flip(graph.edges, pairs)
+        for label, victim in victims.items():
+            rows.append((label, float(eps), float(losses.accuracy(model_logits(victim, edges, graph.nodes), test).first().accuracy)))
+    return graph.nodes.sparkSession.createDataFrame(rows, "label string, epsilon double, accuracy double")
+
+
+def train_model(graph, split: DataFrame, store=None, key: dict | None = None, **parameters):
+    """(model, row): a two-layer GCN fitted on the train part, and its accuracy on all three parts; the weights are saved under key and parameters."""
+    from ..operators import attacks, losses, models
+
+    params = {**(key or {}), **parameters}
+    weights = store.load_model(params) if store else None
+    if weights is None:
+        weights, _ = models.train_gcn(graph.edges, graph.nodes, split, **parameters)
+        if store:
+            store.save_model(params, weights)
+    model = attacks.Gcn([np.asarray(weights["w1"]), np.asarray(weights["w2"])])
+    found = losses.accuracy(model_logits(model, graph.edges, graph.nodes), graph.nodes, split)
+    return model, {r.part: r.accuracy for r in found.collect()}
+
+
+def run_poisoning(graph, surrogate, split: DataFrame, attack, epsilons: list[float], attack_parameters: dict | None = None, **parameters) -> DataFrame:
+    """results(epsilon, part, accuracy): the model is trained anew on each perturbed graph."""
+    from ..operators import attacks
+
+    m = graph.edges.count()
+    test = graph.nodes.join(split.filter("part = 'test'").select("id"), "id", "left_semi")
+    rows = []
+    for eps in check_epsilons(epsilons):
+        n = budget(eps, m)
+        edges = attacks._flip(graph.edges, attack(graph.edges, graph.nodes, surrogate, test, n, **(attack_parameters or {})).pairs) if n else graph.edges
+        _, found = train_model(graph.with_edges(edges), split, **parameters)
+        rows += [(float(eps), part, float(a)) for part, a in found.items()]
+    return graph.nodes.sparkSession.createDataFrame(rows, "epsilon double, part string, accuracy double")
+
+
 def run_local(graph, model, nodes: list[int], attack, epsilons: list[float], label: str = "model", **parameters) -> DataFrame:
     """One row a node and budget with degree, perturbed edges, logits and margins before and after."""
     from ..operators import attacks, losses

@@ -13,6 +13,7 @@ import os
 import time
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -96,6 +97,43 @@ class Store:
         documents = [json.loads(r.document) for r in (found.limit(1) if first else found).collect()]
         return documents if documents_only else [(self._value(spark, d), d["params"]) for d in documents]
 
+    def save_model(self, params: dict, weights: dict) -> str:
+        """Saves named weight arrays under exact parameters."""
+        return self.save("model", params, {k: {"shape": list(np.shape(v)), "values": np.ravel(v).tolist()} for k, v in weights.items()})
+
+    def load_model(self, params: dict) -> dict | None:
+        return self._arrays(self.load("model", params))
+
+    def find_models(self, spark: SparkSession, match: dict) -> list:
+        """(weights, parameters) of the models whose parameters contain match, newest first."""
+        return [(self._arrays(v), p) for v, p in self.find(spark, "model", match)]
+
+    @staticmethod
+    def _arrays(value: dict | None) -> dict | None:
+        return None if value is None else {k: np.reshape(np.array(v["values"], float), v["shape"]) for k, v in value.items()}
+
+    def migrate(self, key_of=None) -> int:
+        """Moves documents that stand under another id than their digest to it; returns how many. A document that is there already wins."""
+        moved = 0
+        for name in sorted(os.listdir(f"{self.root}/index")):
+            if name.startswith(".") or not name.endswith(".json"):
+                continue
+            path = f"{self.root}/index/{name}"
+            with open(path) as f:
+                document = json.load(f)
+            key = (key_of or digest)(document["kind"], document["params"])
+            target = self._document(document["kind"], key)
+            if path != target:
+                if not os.path.exists(target):
+                    document["id"] = key
+                    temporary = f"{self.root}/index/.{uuid.uuid4().hex}"
+                    with open(temporary, "w") as f:
+                        json.dump(document, f, default=str)
+                    os.replace(temporary, target)
+                os.unlink(path)
+                moved += 1
+        return moved
+
     def remove(self, spark: SparkSession, kind: str, match: dict) -> int:
         """Deletes matching documents and their tables; returns how many."""
         found = self.find(spark, kind, match, documents_only=True)

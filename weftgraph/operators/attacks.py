@@ -182,7 +182,7 @@ def _slope(z: Column, name: str) -> Column:
 
 
 def _forward(a: DataFrame, nodes: DataFrame, model: Model, keep=lambda z: z) -> list[tuple]:
-    """Per layer (inputs times weights, outputs, width): (id, h) and (id, z) on the normalised adjacency a; keep may cut the outputs."""
+    """Per layer (inputs times weights, outputs, width): (id, h) and (id, z) on the normalised adjacency a; keep may cut the outputs that another layer needs."""
     act = ACTIVATIONS[model.activation]
     out, h = [], nodes.select("id", F.col("attr").alias("h"))
     width = 0
@@ -192,7 +192,7 @@ def _forward(a: DataFrame, nodes: DataFrame, model: Model, keep=lambda z: z) ->
         z = _hop(a, p, width).withColumnRenamed("h", "z")
         if b is not None:
             z = z.select("id", F.zip_with("z", F.array(*map(F.lit, np.asarray(b).tolist())), lambda x, y: x + y).alias("z"))
-        z = keep(z)
+        z = keep(z) if len(out) < len(model.layers) - 1 else z
         out.append((p, z, width))
         h = z.select("id", F.transform("z", act).alias("h"))
     return out
@@ -282,7 +282,8 @@ def edge_gradient(edges: DataFrame, nodes: DataFrame, model: Model, targets: Dat
     g = loss_gradient(passed[-1][1], targets, loss_name)
     for layer in range(len(passed), 0, -1):
         p, _, width = passed[layer - 1]
-        g = cut(nodes.select("id").join(g, "id", "left").select("id", F.coalesce("g", zero(width)).alias("g")), "gradient")
+        g = nodes.select("id").join(g, "id", "left").select("id", F.coalesce("g", zero(width)).alias("g"))
+        g = cut(g, "gradient") if layer > 1 else g
         parts = parts.join(g.withColumnRenamed("g", f"g{layer}"), "id").join(p.withColumnRenamed("h", f"p{layer}"), "id", "left")
         parts = parts.withColumn(f"p{layer}", F.coalesce(f"p{layer}", zero(width)))
         if layer > 1:

@@ -1,6 +1,10 @@
 import os
 import sys
 
+# NumPy's threaded BLAS may not come back in a process that has started the JVM; this must stand before NumPy's import.
+for name in ("OPENBLAS_NUM_THREADS", "OMP_NUM_THREADS", "MKL_NUM_THREADS"):
+    os.environ.setdefault(name, "1")
+
 import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))

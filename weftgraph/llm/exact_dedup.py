@@ -129,10 +129,13 @@ class Directory:
         self.local = np.concatenate([self.local[:number], np.full(1 << bits, local, np.uint8), self.local[number + 1 :]])
 
     def merge(self, mass: np.ndarray, capacity: int) -> None:
-        """Takes back splits that were not needed: twins that fit into one bucket together become one."""
+        """Takes back splits that were not needed: twins that fit into one bucket together become one.
+
+        So do twins of which one is empty: what is over capacity then holds one hash, which no split divides.
+        """
         starts, local, sizes = [], [], []
         for start, depth, size in zip(self.starts.tolist(), self.local.tolist(), mass.tolist(), strict=True):
-            while local and local[-1] == depth and start >> (64 - depth) & 1 and starts[-1] >> (64 - depth) == (start >> (64 - depth)) - 1 and sizes[-1] + size <= capacity:
+            while local and local[-1] == depth and start >> (64 - depth) & 1 and starts[-1] >> (64 - depth) == (start >> (64 - depth)) - 1 and (sizes[-1] + size <= capacity or not (sizes[-1] and size)):
                 start, depth, size = starts.pop(), local.pop() - 1, sizes.pop() + size
             starts.append(start)
             local.append(depth)

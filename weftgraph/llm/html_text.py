@@ -26,7 +26,7 @@ from ._common import STEP_BYTES
 
 # Comments, elements whose content is no text, declarations, tags. A quote delimits only after `=`.
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|textarea|title|iframe)\b[^>]*>.*?(?:</\1\s*>|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>"
+    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|textarea|title|iframe)(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^=<>]++|=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'<>][^\s<>]*)|=)*+)>",
     re.S | re.I,
 )

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import curriculum, exact_dedup, html_text, langid, license_scan, minhash, mpeg, packing, pii, url_filter
+from . import curriculum, decontaminate, delta_lloyd, exact_dedup, html_text, langid, license_scan, minhash, mpeg, packing, periodic, pii, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +53,18 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_table(spark, sf_dir, "documents")).drop("keep_chars")
 
 
+def op11_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.digests(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op12_delta_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return delta_lloyd.digests(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digests(periodic.with_loops(_table(spark, sf_dir, "documents")))
+
+
 # The columns that plain SQL can give of queries whose other columns are learned or encoded, from the same operators.
 
 
@@ -75,10 +87,13 @@ def url_rule_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (op1_licenses, op2_pii, op3_main_text, op4_mix, op5_language, op6_pack, op7_mpeg, op8_urls, op9_near_dedup, op10_exact_dedup)
+    + (op11_decontaminate, op12_delta_lloyd, op13_periodic_runs)
     + (license_base_columns, pii_base_columns, mpeg_payload_columns, url_rule_columns)
 }
 
 ORACLES: dict[str, str] = {"op4_mix": curriculum.ORACLE, "op6_pack": packing.oracle(), "op9_near_dedup": minhash.ORACLE, "op10_exact_dedup": exact_dedup.ORACLE} | {
+    "op11_decontaminate": decontaminate.ORACLE,
+    "op12_delta_lloyd": delta_lloyd.oracle(),
     "license_base_columns": license_scan.ORACLE,
     "pii_base_columns": pii.ORACLE,
     "mpeg_payload_columns": mpeg.ORACLE,

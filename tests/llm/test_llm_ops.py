@@ -340,12 +340,35 @@ def test_pack_matches_its_sql(spark, docs, tmp_path):
         assert rows_of(packing.pack(docs, **setting)) == sorted(want, key=repr)
 
 
-def test_language_labels_are_bounded_and_ties_go_to_the_first(spark):
-    rows = [(i, f"text {i % 5}", f"l{i % 40:02d}") for i in range(400)] + [(1000 + i, "more text", "zz") for i in range(60)]
-    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), most=3)
-    assert len(model.languages) == 3 and "zz" in model.languages and model.weights.shape[1] == 3
-    flat = langid.Model(["a", "b"], np.zeros((langid.DIMS, 2), np.float32), np.zeros(2), 1.0)
-    assert {(r.lang_pred, r.score) for r in langid.identify(spark.createDataFrame(rows[:5], "doc_id long, text string, lang string"), model=flat).collect()} == {("a", 0.5)}
+def test_every_language_is_learned_and_ties_go_to_the_first(spark):
+    """300 languages, some with one row only, each of letters of its own; the sample's bounds leave none out."""
+    letters = [[chr(0x4E00 + 12 * lang + j) for j in range(12)] for lang in range(300)]
+    rows = []
+    for i in range(3900):
+        lang = i % 300 if i < 3600 else i % 7
+        rows.append((i, " ".join("".join(letters[lang][(i + 5 * j + m * m) % 12] for m in range(4)) for j in range(4)), f"l{lang:03d}"))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for bounds in ({}, {"rows_in_all": 600}):
+        model = langid.train(df, **bounds)
+        assert model.languages == [f"l{i:03d}" for i in range(300)] and model.starts[-1] == len(model.weights)
+        got = langid.identify(df, model=model).collect()
+        right = {r.doc_id for r in got if r.held_out and r.lang_pred == rows[r.doc_id][2]}
+        held = [r.doc_id for r in got if r.held_out]
+        assert {rows[i][2] for i in held if i not in right} != {rows[i][2] for i in held} and len(right) >= 0.9 * len(held)
+    one = langid.train(df.filter("doc_id % 300 > 5 or doc_id < 300"), sample=1, columns_in_all=1)
+    assert len(one.languages) == 300
+    flat = langid.Model.of(["a", "b"], np.zeros((langid.DIMS, 2)), np.zeros(2), 1.0)
+    assert {(r.lang_pred, r.score) for r in langid.identify(df.limit(5), model=flat).collect()} == {("a", 0.5)}
+    dense = np.random.default_rng(0).normal(size=(langid.DIMS, 3)) * (np.arange(langid.DIMS)[:, None] % 7 == 0)
+    assert np.allclose(langid.Model.of(["a", "b", "c"], dense, np.zeros(3), 1.0).block(1, 3), dense.T[1:], atol=1e-6)
+
+
+def test_repeated_ids_do_not_fill_the_sample(spark):
+    """The draw is by id and text: of many rows with one id only a share is taken."""
+    rows = [(1, f"text number {i}", "x") for i in range(3000)] + [(2, f"wort {i}", "y") for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    draws = df.select(langid._digest(F.lit(7), F.col("text")).alias("d"))
+    assert 200 < draws.filter("d < 0.1").count() < 1000 and langid.train(df, sample=50).languages == ["x", "y"]
 
 
 def test_ftrl_leaves_weights_at_zero_and_learns():

@@ -3,9 +3,9 @@
 Features are character 1- to 3-grams of the lower-cased text, hashed to `DIMS` columns:
 the share of the text's n-grams in a column, times its inverse document frequency. Document
 frequencies are counted over all training rows. The model is fitted by
-follow-the-regularised-leader with elastic-net penalties (many weights stay exactly 0) on a
-bounded sample of the training rows, and a softmax temperature is then calibrated on sample
-rows that the fit did not see.
+follow-the-regularised-leader with elastic-net penalties (many weights stay exactly 0, and
+only the others are kept) on a bounded sample of the training rows, and a softmax temperature
+is then calibrated on sample rows that the fit did not see.
 """
 
 from __future__ import annotations
@@ -23,11 +23,15 @@ from ._common import text_steps
 
 DIMS = 1 << 15
 ORDERS = (1, 2, 3)
-#: Bound of the labelled sample: about so many rows of each language, chosen by a hash of the id.
+#: Bounds of the labelled sample: about so many rows of each language, and about so many n-gram
+#: columns (6 bytes each) in all; a language's share of both is drawn by a hash of id and text.
 SAMPLE = 1000
-#: Languages that are learned at most, the most frequent ones: bounds the model and the sample where lang is dirty.
-LANGUAGES = 256
+COLUMNS = 1 << 25
+#: Rows of all languages together beyond which each has an equal part of them, but at least one.
+ROWS = 16_000
 UNDEFINED = "und"
+#: Languages whose weights a task spreads out at a time (128 KB each).
+SHARD = 64
 
 _U = np.uint64
 
@@ -35,10 +39,27 @@ _U = np.uint64
 @dataclass
 class Model:
     languages: list[str]
-    weights: np.ndarray  # DIMS x languages, idf included
+    weights: np.ndarray  # the weights that are not 0, idf included, by column
+    classes: np.ndarray  # the language of each
+    starts: np.ndarray  # where each column's weights begin (DIMS + 1)
     bias: np.ndarray
     temperature: float
 
+    @classmethod
+    def of(cls, languages: list[str], dense: np.ndarray, bias: np.ndarray, temperature: float, columns: np.ndarray | None = None) -> Model:
+        """From a matrix of weights, columns x languages; columns are their numbers if they are not all."""
+        at, classes = np.nonzero(dense)
+        places = at if columns is None else columns[at]
+        return cls(languages, dense[at, classes].astype(np.float32), classes.astype(np.int32), np.searchsorted(places, np.arange(DIMS + 1)), bias, temperature)
+
+    def block(self, first: int, last: int) -> np.ndarray:
+        """The weights of the languages from first to last - 1, languages x DIMS."""
+        out = np.zeros((last - first, DIMS), np.float32)
+        inside = (self.classes >= first) & (self.classes < last)
+        column = np.repeat(np.arange(DIMS), np.diff(self.starts))
+        out[self.classes[inside] - first, column[inside]] = self.weights[inside]
+        return out
+
 
 def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Hashed n-gram columns of all texts, and where each text's begin (n + 1)."""
@@ -101,9 +122,9 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["r", "lang", "cols", "shares"])
 
 
-def fit_ftrl(rows: list[tuple], k: int, alpha: float = 0.3, beta: float = 1.0, l1: float = 0.02, l2: float = 0.01, passes: int = 4):
-    """Weights and bias by FTRL-proximal; rows: (class, columns, values)."""
-    z, n, w = np.zeros((DIMS, k)), np.zeros((DIMS, k)), np.zeros((DIMS, k))
+def fit_ftrl(rows: list[tuple], k: int, alpha: float = 0.3, beta: float = 1.0, l1: float = 0.02, l2: float = 0.01, passes: int = 4, dims: int = DIMS):
+    """Weights and bias by FTRL-proximal; rows: (class, columns, values) with columns below dims."""
+    z, n, w = np.zeros((dims, k), np.float32), np.zeros((dims, k), np.float32), np.zeros((dims, k), np.float32)
     zb, nb, bias = np.zeros(k), np.zeros(k), np.zeros(k)
 
     def leader(z, n):
@@ -147,21 +168,29 @@ def held_out(id_col: str) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, most: int = LANGUAGES) -> Model | None:
+def _digest(id_code: Column, text: Column) -> Column:
+    """A draw in [0, 1) by id and text, so that rows that repeat an id are drawn on their own."""
+    return F.pmod(F.xxhash64(id_code, text), F.lit(1 << 31)) / float(1 << 31)
+
+
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, rows_in_all: int = ROWS, columns_in_all: int = COLUMNS) -> Model | None:
     """Fits on the rows with a language whose id is not held out; None if there are none.
 
-    sample: about so many rows of each language are used to fit; the document frequencies
-    are of all training rows. most: languages learned at most, the most frequent ones, of
-    equally frequent ones the first.
+    Every language that such a row has is learned. sample, rows_in_all, columns_in_all: the
+    bounds of the labelled rows that are used to fit, of each language's and of all; each
+    language keeps its row of the least draw, so that none is without any. The document
+    frequencies are of all training rows. The driver holds the sample, and weights for the
+    sample's columns and all languages.
     """
     code = F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))
     rows = docs.filter(code % 5 != 0).filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     rows = rows.select(code.alias("r"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
-    frequent = rows.groupBy("lang").agg(F.count("*").alias("rows")).orderBy(F.col("rows").desc(), "lang").limit(most)
-    sizes = {r[0]: r[1] for r in frequent.collect()}  # `most` rows at most
+    rows = rows.withColumn("draw", _digest(F.col("r"), F.col("text")))
+    width = F.least(F.lit(DIMS), F.length("text") * len(ORDERS))  # at most so many columns
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("rows"), F.sum(width).alias("columns"), F.min("draw").alias("least")).collect()  # a row a class
     if not sizes:
         return None
-    languages = sorted(sizes)
+    languages = sorted(r.lang for r in sizes)
     dfs = rows.select("text").mapInArrow(_frequencies, "col long, df long").groupBy("col").agg(F.sum("df")).collect()  # at most DIMS + 1 rows
     df = np.zeros(DIMS)
     total = 1
@@ -171,24 +200,34 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         else:
             total = x
     idf = np.log((1 + total) / (1 + df)) + 1.0
-    shares = docs.sparkSession.createDataFrame([(lang, min(1.0, sample / size)) for lang, size in sizes.items()], "lang string, share double")
-    draw = F.pmod(F.xxhash64("r"), F.lit(1 << 31)) / float(1 << 31)
-    chosen = rows.join(F.broadcast(shares), "lang").filter(draw < F.col("share")).select("r", "lang", "text").mapInArrow(_features, "r long, lang string, cols binary, shares binary")
+    quota, room = min(sample, rows_in_all / len(sizes)), columns_in_all / len(sizes)
+    bounds = [(r.lang, min(1.0, quota / r.rows, room / max(1, r.columns)), r.least) for r in sizes]
+    bounds = docs.sparkSession.createDataFrame(bounds, "lang string, share double, least double")
+    drawn = (F.col("draw") < F.col("share")) | (F.col("draw") == F.col("least"))
+    chosen = rows.join(F.broadcast(bounds), "lang").filter(drawn).select("r", "lang", "text").mapInArrow(_features, "r long, lang string, cols binary, shares binary")
     number = {lang: i for i, lang in enumerate(languages)}
-    found = sorted(chosen.collect(), key=lambda r: (r[0], r[1], len(r[2])))  # bounded by sample rows a language
+    found = sorted(chosen.collect(), key=lambda r: (r[0], r[1], len(r[2]), r[2], r[3]))  # bounded by the sample's rows and columns
+    used = np.zeros(DIMS, bool)
+    for row in found:
+        used[np.frombuffer(row[2], np.uint16)] = True
+    columns = np.flatnonzero(used)
+    place = np.cumsum(used) - 1
     data = []
     for _, lang, cols, shares in found:
         cols = np.frombuffer(cols, np.uint16).astype(np.int32)
-        data.append((number[lang], cols, (np.frombuffer(shares, np.float32) * idf[cols] * 10.0).astype(np.float32)))
-    kept = [d for i, d in enumerate(data) if i % 5] or data
-    seen = [d for i, d in enumerate(data) if i % 5 == 0] or data
-    w, bias = fit_ftrl(kept, len(languages))
-    logits = np.array([x @ w[cols] + bias for _, cols, x in seen]) if seen else np.zeros((0, len(languages)))
-    temperature = calibrate(logits, np.array([d[0] for d in seen])) if seen else 1.0
-    return Model(languages, (w * idf[:, None] * 10.0).astype(np.float32), bias, temperature)
+        data.append((number[lang], place[cols], (np.frombuffer(shares, np.float32) * idf[cols] * 10.0).astype(np.float32)))
+    # A row in five is left for the temperature, but no language's only one.
+    first = {y: i for i, (y, _, _) in reversed(list(enumerate(data)))}
+    kept = [d for i, d in enumerate(data) if i % 5 or first[d[0]] == i]
+    seen = [d for i, d in enumerate(data) if not i % 5 and first[d[0]] != i] or data
+    w, bias = fit_ftrl(kept, len(languages), dims=len(columns))
+    logits = np.array([x @ w[cols] + bias for _, cols, x in seen])
+    temperature = calibrate(logits, np.array([d[0] for d in seen]))
+    return Model.of(languages, w * idf[columns][:, None] * 10.0, bias, temperature, columns)
 
 
 def _predict(batches: Iterator[pa.RecordBatch], model: Model | None) -> Iterator[pa.RecordBatch]:
+    held: dict[int, np.ndarray] = {}  # the first block of weights stays; with more languages the others are made again for each step
     for batch in batches:
         langs, scores = [], []
         for _, texts in text_steps(batch.column(2)):
@@ -202,8 +241,13 @@ def _predict(batches: Iterator[pa.RecordBatch], model: Model | None) -> Iterator
             logits = np.zeros((len(texts), len(model.languages)))
             full = np.flatnonzero(n)
             if len(full):
-                for c in range(len(model.languages)):
-                    logits[full, c] = np.add.reduceat(model.weights[:, c][cols], at[full], dtype=np.float64) / n[full]
+                for first in range(0, len(model.languages), SHARD):
+                    last = min(first + SHARD, len(model.languages))
+                    block = held[first] if first in held else model.block(first, last)
+                    if not first:
+                        held[first] = block
+                    for c in range(first, last):
+                        logits[full, c] = np.add.reduceat(block[c - first][cols], at[full], dtype=np.float64) / n[full]
             logits = (logits + model.bias) / model.temperature
             prob = np.exp(logits - logits.max(1, keepdims=True))
             prob /= prob.sum(1, keepdims=True)
@@ -226,7 +270,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     """
     model = model or train(docs, id_col, text_col, lang_col)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(id_col).alias("held_out"), F.col(text_col).cast("string").alias("text"))
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # DIMS x languages floats
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # the weights that are not 0
     return source.mapInArrow(lambda b: _predict(b, shared.value), "doc_id long, held_out boolean, lang_pred string, score double")
 
 

@@ -223,3 +223,32 @@ def digests(docs: DataFrame) -> DataFrame:
         F.expr("(1000 * best.length) div best.period").alias("exponent_milli"),
         F.sha2(F.array_join(F.transform("runs", _line), ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
     )
+
+
+#: Runs as islands of equal words p apart: all pairs of one word in a document, up to a quarter of its length apart. The crc32 runs bit by bit.
+ORACLE = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS o,
+         xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(coalesce(doc_id::VARCHAR, ''), ''), lambda s: ord(s)::BIGINT)),
+             lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, k: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384::BIGINT) ELSE x // 2 END)), 4294967295::BIGINT) AS h
+  FROM documents),
+e AS (SELECT r, doc_id, o, h, len(o) AS n, h // 10 AS g, CASE WHEN len(o) > 0 THEN (h // 10) % len(o) END AS a FROM d),
+t AS (
+  SELECT r, doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(n), lambda i: o[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + g % 8)) END]) ELSE o END AS w
+  FROM e),
+x AS MATERIALIZED (SELECT r, n, unnest(range(n)) AS i, unnest(w) AS w FROM t),
+m AS (SELECT a.r, a.i, b.i - a.i AS p FROM x a JOIN x b ON b.r = a.r AND b.w = a.w AND b.i > a.i AND 4 * (b.i - a.i) <= a.n),
+s AS MATERIALIZED (
+  SELECT r, p, min(i) AS s, count(*) + p AS len FROM (SELECT r, p, i, i - row_number() OVER (PARTITION BY r, p ORDER BY i) AS k FROM m)
+  GROUP BY r, p, k HAVING count(*) >= 3 * p AND count(*) + p >= 6),
+q AS MATERIALIZED (SELECT r, s, len, p FROM s a WHERE NOT EXISTS (SELECT 1 FROM s b WHERE b.r = a.r AND b.p < a.p AND a.p % b.p = 0 AND b.s <= a.s AND b.s + b.len >= a.s + a.len)),
+y AS (
+  SELECT r, count(*) AS n_runs, first(struct_pack(s, len, p) ORDER BY len::DOUBLE / p DESC, s, p) AS best, string_agg(s || ',' || len || ',' || p || chr(10), '' ORDER BY s, p) AS runs
+  FROM q GROUP BY r),
+z AS (
+  SELECT x.r, string_agg(x.w, ' ' ORDER BY x.i) AS kept
+  FROM x LEFT JOIN (SELECT DISTINCT r, unnest(range(s + p, s + len)) AS i FROM q) c ON c.r = x.r AND c.i = x.i WHERE c.i IS NULL GROUP BY x.r)
+SELECT t.doc_id, coalesce(y.n_runs, 0) AS n_runs, best.s AS start, best.len AS length, best.p AS period, 1000 * best.len // best.p AS exponent_milli,
+       sha256(coalesce(y.runs, '')) AS runs_sha256, sha256(coalesce(z.kept, '')) AS collapsed_sha256
+FROM t LEFT JOIN y ON y.r = t.r LEFT JOIN z ON z.r = t.r
+"""

@@ -94,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {"op4_mix": curriculum.ORACLE, "op6_pack": packing.oracle(), "op9_near_dedup": minhash.ORACLE, "op10_exact_dedup": exact_dedup.ORACLE} | {
     "op11_decontaminate": decontaminate.ORACLE,
     "op12_delta_lloyd": delta_lloyd.oracle(),
+    "op13_periodic_runs": periodic.ORACLE,
     "license_base_columns": license_scan.ORACLE,
     "pii_base_columns": pii.ORACLE,
     "mpeg_payload_columns": mpeg.ORACLE,

@@ -351,7 +351,7 @@ def test_rank_one_margins_equal_brute_force(spark):
         out = (alpha * np.linalg.inv(np.eye(10) - (1 - alpha) * m / m.sum(1, keepdims=True)) @ z)[i]
         assert r.present == bool(a[i, r.dst])
         assert r.margin == pytest.approx(out[labels[i]] - max(out[c] for c in range(3) if c != labels[i]), abs=1e-4)
-    run = attacks.local_batched_prbcd(edges, nodes, logits, i, 1, alpha, 6)
+    run = attacks.greedy_row_flips(edges, nodes, logits, i, 1, alpha, 6)
     assert run.pairs.count() == 1
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ACTIVATIONS, below, clamp, dot, uniform
 from ..plans.lineage import cut
-from . import normalize
+from . import normalize, robust_gradients
 from .losses import split_name
 from .reshape import block_matches, khop, perturb, replace_row, reversed_edges, triu_pair
 
@@ -156,7 +156,15 @@ class Gcn:
         return [*out[:-1], (w / self.temperature, None if b is None else b / self.temperature)]
 
 
-Model = Linear2 | Gcn
+@dataclass
+class Rgnn(Gcn):
+    """A Gcn whose neighbour sum is a robust mean of robust.ROBUST_MEANS with these parameters; soft_k_medoid and soft_median have derivatives."""
+
+    mean: str = "soft_k_medoid"
+    parameters: dict = field(default_factory=dict)
+
+
+Model = Linear2 | Gcn | Rgnn
 
 
 def _times(h: Column, w: np.ndarray | None) -> Column:
@@ -189,7 +197,8 @@ def _forward(a: DataFrame, nodes: DataFrame, model: Model, keep=lambda z: z) ->
     for w, b in model.layers:
         width = width if w is None else w.shape[1]
         p = h.select("id", _times(F.col("h"), w).alias("h"))
-        z = _hop(a, p, width).withColumnRenamed("h", "z")
+        p = keep(p) if isinstance(model, Rgnn) else p  # a robust mean reads its rows more than once
+        z = (robust_gradients.forward(a, p, model.mean, model.parameters) if isinstance(model, Rgnn) else _hop(a, p, width)).withColumnRenamed("h", "z")
         if b is not None:
             z = z.select("id", F.zip_with("z", F.array(*map(F.lit, np.asarray(b).tolist())), lambda x, y: x + y).alias("z"))
         z = keep(z) if len(out) < len(model.layers) - 1 else z
@@ -268,8 +277,11 @@ def edge_gradient(edges: DataFrame, nodes: DataFrame, model: Model, targets: Dat
     loss's gradient by Z_l, the terms G_ij = sum over layers of <g_l,i , P_l,j> give dL/da_ij =
     G_ij s_i s_j - 1/2 d_j^-1 (sum_l G_jl A_jl + sum_k G_kj A_kj). Backwards, g_(l-1) is
     (A^T g_l W_l^T) times the activation's slope. Each hop is a join and a grouped sum; the
-    pairs meet wide rows.
+    pairs meet wide rows. A robust mean gives its own terms G_ij instead, for the edges only
+    (robust_gradient).
     """
+    if isinstance(model, Rgnn):
+        return robust_gradient(edges, nodes, model, targets, pairs, loss_name, symmetric)
     full = normalize.add_remaining_self_loops(edges, nodes)
     degrees = normalize.degree(full, "dst")
     a = cut(normalize.symmetric(full, "dst"), "adjacency")
@@ -297,17 +309,57 @@ def edge_gradient(edges: DataFrame, nodes: DataFrame, model: Model, targets: Dat
     left = parts.select(F.col("id").alias("src"), "g", F.col("d").alias("d_i"))
     right = parts.select(F.col("id").alias("dst"), "h", F.col("d").alias("d_j"))
     used = a.join(left, "src").join(right, "dst").select("src", "dst", (dot(F.col("g"), F.col("h")) * F.col("weight")).alias("t"))
-    bracket = used.select(F.explode(F.array("src", "dst")).alias("dst"), "t").groupBy("dst").agg(F.sum("t").alias("b"))
+    each = _ways(pairs, symmetric).join(left, "src").join(right, "dst")
+    return _by_pair(pairs, each, used, dot(F.col("g"), F.col("h")))
+
+
+def _ways(pairs: DataFrame, symmetric: bool) -> DataFrame:
+    """Each pair once, or forth and back."""
     two = pairs.select("src", "dst").distinct()
     ways = two.select("src", "dst", F.lit(True).alias("forth"))
     if symmetric:
         ways = ways.unionByName(two.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit(False).alias("forth")))
-    each = ways.join(left, "src").join(right, "dst").join(bracket, "dst", "left")
-    scaled = dot(F.col("g"), F.col("h")) / F.sqrt(F.col("d_i") * F.col("d_j")) - F.coalesce("b", F.lit(0.0)) / (2 * F.col("d_j"))
+    return ways
+
+
+def _by_pair(pairs: DataFrame, each: DataFrame, used: DataFrame, term: Column) -> DataFrame:
+    """pairs with `grad`, by the weights before normalisation; each way has its degrees d_i and d_j, used(src, dst, t) the terms times the normalised weights."""
+    bracket = used.select(F.explode(F.array("src", "dst")).alias("dst"), "t").groupBy("dst").agg(F.sum("t").alias("b"))
+    scaled = term / F.sqrt(F.col("d_i") * F.col("d_j")) - F.coalesce("b", F.lit(0.0)) / (2 * F.col("d_j"))
+    each = each.join(bracket, "dst", "left")
     each = each.select(F.when(F.col("forth"), F.col("src")).otherwise(F.col("dst")).alias("src"), F.when(F.col("forth"), F.col("dst")).otherwise(F.col("src")).alias("dst"), scaled.alias("grad"))
     return pairs.join(each.groupBy("src", "dst").agg(F.sum("grad").alias("grad")), ["src", "dst"])
 
 
+def robust_gradient(edges: DataFrame, nodes: DataFrame, model: Rgnn, targets: DataFrame, pairs: DataFrame, loss_name: str = "CE", symmetric: bool = True) -> DataFrame:
+    """edge_gradient through robust means. The pairs are edges, of however small a weight, as those of a relaxed block are.
+
+    Each layer's mean gives the derivatives G_ij by its normalised weights and those by its
+    rows; the weights before normalisation follow as in edge_gradient.
+    """
+    full = normalize.add_remaining_self_loops(edges, nodes)
+    degrees = cut(normalize.degree(full, "dst"), "degrees")
+    a = cut(normalize.symmetric(full, "dst"), "adjacency")
+    passed = _forward(a, nodes, model, lambda z: cut(z, "layer"))
+    g = loss_gradient(passed[-1][1], targets, loss_name)
+    terms = None
+    for layer in range(len(passed), 0, -1):
+        p, _, width = passed[layer - 1]
+        g = cut(g, "gradient")
+        found, by_rows = robust_gradients.backward(a, p, g, width, model.mean, model.parameters, layer > 1)
+        terms = found if terms is None else terms.unionByName(found)
+        if layer > 1:
+            back = by_rows.select("id", _times(F.col("g"), model.layers[layer - 1][0].T).alias("u"))
+            slope = passed[layer - 2][1].select("id", _slope(F.col("z"), model.activation).alias("s"))
+            g = back.join(slope, "id").select("id", F.zip_with("u", "s", lambda x, y: x * y).alias("g"))
+    total = cut(terms.groupBy("src", "dst").agg(F.sum("term").alias("term")), "terms")
+    used = a.join(total, ["src", "dst"]).select("src", "dst", (F.col("term") * F.col("weight")).alias("t"))
+    each = _ways(pairs, symmetric).join(total, ["src", "dst"], "left")
+    for end, name in (("src", "d_i"), ("dst", "d_j")):
+        each = each.join(degrees.select(F.col("id").alias(end), F.col("d").alias(name)), end)
+    return _by_pair(pairs, each, used, F.coalesce("term", F.lit(0.0)))
+
+
 def block_gradient(edges: DataFrame, nodes: DataFrame, model: Model, targets: DataFrame, block: DataFrame, loss_name: str = "CE") -> DataFrame:
     """block with `grad` by p: of an existing edge the sign turns, as its weight is 1 - p after the flip."""
     flagged = block_matches(block, edges)
@@ -472,16 +524,19 @@ def sga(edges: DataFrame, nodes: DataFrame, model: Model, node: int, budget: int
 
 
 def ppr_propagate(walk: DataFrame, h: DataFrame, columns: int, alpha: float, rounds: int) -> DataFrame:
-    """(id, h): alpha * sum over t <= rounds of ((1 - alpha) W)^t H for wide rows, without forming the PPR matrix."""
-    total = h.select("id", F.transform("h", lambda v: alpha * v).alias("h"))
-    step = total
+    """(id, h): alpha * sum over t <= rounds of ((1 - alpha) W)^t H for wide rows, without forming the PPR matrix.
+
+    S' = (1 - alpha) W S + alpha H needs S once, so a round is one join and one grouped sum.
+    """
+    start = h.select("id", *[(alpha * F.col("h")[c]).alias(f"c{c}") for c in range(columns)])
+    walk = cut(walk.select(F.col("src").alias("to"), F.col("dst").alias("id"), ((1 - alpha) * F.col("weight")).alias("w")), "walk")
+    total = start
     for t in range(1, rounds + 1):
-        step = _hop(walk.withColumn("weight", (1 - alpha) * F.col("weight")), step, columns)
-        total = total.join(step.withColumnRenamed("h", "s"), "id", "left")
-        total = total.select("id", F.when(F.col("s").isNull(), F.col("h")).otherwise(F.zip_with("h", "s", lambda x, y: x + y)).alias("h"))
-        if t % 3 == 0:
-            step, total = cut(step, "step"), cut(total, "total")
-    return total
+        moved = walk.join(total, "id").select(F.col("to").alias("id"), *[(F.col("w") * F.col(f"c{c}")).alias(f"c{c}") for c in range(columns)])
+        total = moved.unionByName(start).groupBy("id").agg(*[F.sum(f"c{c}").alias(f"c{c}") for c in range(columns)])
+        if t % 6 == 0 and t < rounds:
+            total = cut(total, "total")
+    return total.select("id", F.array(*[F.col(f"c{c}") for c in range(columns)]).alias("h"))
 
 
 def rank_one_margins(edges: DataFrame, nodes: DataFrame, logits: DataFrame, node: int, alpha: float = 0.1, rounds: int = 30) -> DataFrame:
@@ -510,7 +565,7 @@ def rank_one_margins(edges: DataFrame, nodes: DataFrame, logits: DataFrame, node
     return rows.select(F.col("id").alias("dst"), "present", (z[label] - F.array_max(F.array(*[x for c, x in enumerate(z) if c != label]))).alias("margin"))
 
 
-def local_batched_prbcd(edges: DataFrame, nodes: DataFrame, logits: DataFrame, node: int, budget: int, alpha: float = 0.1, rounds: int = 30) -> Result:
+def greedy_row_flips(edges: DataFrame, nodes: DataFrame, logits: DataFrame, node: int, budget: int, alpha: float = 0.1, rounds: int = 30) -> Result:
     """Attack on one node of a PPR model: every candidate of its row is scored by the exact rank-one update; the smallest margin is taken, one edge a step, and the scores are recomputed."""
     spark = nodes.sparkSession
     picked: list[int] = []
@@ -636,7 +691,7 @@ def influencers(scores: DataFrame, n: int) -> DataFrame:
     return scores.orderBy("score", "dst").limit(n)
 
 
-#: Attacks by lower-case name.
+#: Attacks by lower-case name; that on PageRank models, localbatchedprbcd, is added by create_attack.
 ATTACKS = {
     "prbcd": prbcd,
     "greedyrbcd": greedy_rbcd,
@@ -645,7 +700,6 @@ ATTACKS = {
     "pgd": pgd,
     "localdice": local_dice,
     "localprbcd": local_prbcd,
-    "localbatchedprbcd": local_batched_prbcd,
     "sga": sga,
     "nettack": nettack,
 }
@@ -653,7 +707,9 @@ ATTACKS = {
 
 def create_attack(name: str):
     """The attack of that name, in any case."""
+    from .ppr_attacks import local_batched_prbcd
+
     try:
-        return ATTACKS[name.lower()]
+        return {**ATTACKS, "localbatchedprbcd": local_batched_prbcd}[name.lower()]
     except KeyError:
         raise ValueError(f"unknown attack {name}") from None

@@ -6,11 +6,18 @@ not appear; join the node table for zero vectors.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import distance, softmax
 
+#: Neighbours up to which a row is gathered in one piece.
+HUB = 1 << 14
+
 
 def top_k(edges: DataFrame, k: int, digits: int | None = None) -> DataFrame:
     """The k heaviest edges of each row, ties (to so many digits, if given) by dst, with rank rnk from 1."""
@@ -30,14 +37,86 @@ def row_sums(edges: DataFrame) -> DataFrame:
     return edges.groupBy("src").agg(F.sum("weight").alias("s"))
 
 
-def dimwise_median(edges: DataFrame, x: DataFrame, scaled: bool = True) -> DataFrame:
-    """Weighted lower median of each dimension: the first value whose cumulative weight reaches half."""
-    joined = edges.select("src", F.col("dst").alias("id"), "weight").join(x, "id")
+def _rows(x: DataFrame) -> DataFrame:
+    """(id, attr) of nodes, or of their long form (id, k, v) with all columns of each row."""
+    if "attr" in x.columns:
+        return x.select("id", "attr")
+    return x.groupBy("id").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "v"))), lambda e: e["v"]).alias("attr"))
+
+
+def _gap(x: Column, median: Column, p: float) -> Column:
+    """The Lp distance of two arrays, over the p-th root of their length."""
+    return distance(x, median, p) / F.pow(F.size(median).cast("double"), F.lit(1.0 / p))
+
+
+def _medians(batches: Iterator[pa.RecordBatch], p: float) -> Iterator[pa.RecordBatch]:
+    """Rows (src, id, weight, attr) sorted by src and id: per src its medians, the ids that have them, and the least gap. One src is in memory at a time."""
+    held: list[pa.RecordBatch] = []
+
+    def one(src: int, ids: np.ndarray, w: np.ndarray, x: np.ndarray) -> tuple:
+        order = x.argsort(0, kind="stable")
+        at = (2 * w[order].cumsum(0) >= w.sum() - 1e-12).argmax(0)
+        column = np.arange(x.shape[1])
+        at = order[at, column]
+        middle = x[at, column]
+        gaps = (np.square(x - middle) if p == 2 else np.abs(x - middle) ** p).sum(1) ** (1 / p) / x.shape[1] ** (1 / p)
+        return src, middle, ids[at], float(gaps.min())
+
+    def done(batch: pa.RecordBatch, last: bool) -> Iterator[pa.RecordBatch]:
+        src = batch.column(0).to_numpy()
+        cuts = [0, *(np.flatnonzero(src[1:] != src[:-1]) + 1).tolist(), len(src)]
+        ids, w = batch.column(1).to_numpy(), batch.column(2).to_numpy()
+        x = batch.column(3).flatten().to_numpy().reshape(len(src), -1)
+        found = [one(int(src[i]), ids[i:j], w[i:j], x[i:j]) for i, j in zip(cuts[:-1], cuts[1:], strict=True)][: None if last else -1]
+        held[:] = [] if last else [batch.slice(cuts[-2])]
+        if found:
+            columns = zip(*found, strict=True)
+            types = (pa.int64(), pa.list_(pa.float64()), pa.list_(pa.int64()), pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], names=["src", "med", "arg", "low"])
+
+    for batch in batches:
+        if len(batch):
+            held.append(batch)
+            src = batch.column(0)
+            if src[0] != src[len(src) - 1] or held[0].column(0)[0] != src[0]:
+                yield from done(pa.Table.from_batches(held).combine_chunks().to_batches()[0], False)
+    if held:
+        yield from done(pa.Table.from_batches(held).combine_chunks().to_batches()[0], True)
+
+
+def wide_median(edges: DataFrame, x: DataFrame, p: float = 2.0, hub: int = HUB) -> DataFrame:
+    """(src, med, arg, low): the weighted lower median of each dimension, the neighbour that has it, and the least gap of a neighbour to it.
+
+    Rows of up to `hub` neighbours are gathered whole, one shuffle of wide rows and a sort in
+    arrays. A row with more is dealt out by dimension instead, where a sorted window that can
+    spill adds the weights up.
+    """
+    vectors = _rows(x).withColumnRenamed("id", "dst")
+    heavy = edges.groupBy("src").agg(F.count("*").alias("n")).filter(F.col("n") > hub).select("src")
+    light = edges.select("src", "dst", "weight").join(heavy, "src", "left_anti").join(vectors, "dst").select("src", "dst", "weight", F.col("attr").cast("array<double>").alias("attr"))
+    found = light.repartition("src").sortWithinPartitions("src", "dst").mapInArrow(lambda b: _medians(b, p), "src long, med array<double>, arg array<long>, low double")
+    crowd = edges.select("src", "dst", "weight").join(heavy, "src", "left_semi").join(vectors, "dst")
     whole = Window.partitionBy("src", "k")
-    upto = whole.orderBy("v", "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    marked = joined.select("src", "k", "v", F.sum("weight").over(upto).alias("cum"), F.sum("weight").over(whole).alias("total"))
-    value = F.min("v") * (F.max("total") if scaled else F.lit(1.0))
-    return marked.filter("2 * cum >= total - 1e-12").groupBy(F.col("src").alias("id"), "k").agg(value.alias("v"))
+    upto = whole.orderBy("v", "dst").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    cells = crowd.select("src", "dst", "weight", F.posexplode("attr").alias("k", "v"))
+    cells = cells.select("src", "k", "v", "dst", F.sum("weight").over(upto).alias("cum"), F.sum("weight").over(whole).alias("total"))
+    first = cells.filter("2 * cum >= total - 1e-12").groupBy("src", "k").agg(F.min(F.struct("v", "dst")).alias("e"))
+    middle = first.groupBy("src").agg(F.sort_array(F.collect_list(F.struct("k", "e"))).alias("es"))
+    middle = middle.select("src", F.transform("es", lambda e: e["e"]["v"]).alias("med"), F.transform("es", lambda e: e["e"]["dst"]).alias("arg"))
+    low = crowd.join(middle, "src").groupBy("src").agg(F.min(_gap(F.col("attr"), F.col("med"), p)).alias("low"))
+    return found.unionByName(middle.join(low, "src"))
+
+
+def _long(rows: DataFrame, value: str) -> DataFrame:
+    return rows.select("id", F.posexplode(value).alias("k", "v"))
+
+
+def dimwise_median(edges: DataFrame, x: DataFrame, scaled: bool = True) -> DataFrame:
+    """Weighted lower median of each dimension: the first value whose cumulative weight reaches half. x are nodes or their long form."""
+    found = wide_median(edges, x)
+    if scaled:
+        found = found.join(row_sums(edges), "src").withColumn("med", F.transform("med", lambda v: v * F.col("s")))
+    return _long(found.withColumnRenamed("src", "id"), "med")
 
 
 def pair_distances(edges: DataFrame, nodes: DataFrame, p: float = 2.0) -> DataFrame:
@@ -89,35 +168,71 @@ def soft_medoid(edges: DataFrame, nodes: DataFrame, temperature: float = 1.0) ->
     return _picked(weights, row_sums(edges), nodes)
 
 
+def gathered(edges: DataFrame, x: DataFrame, k: int) -> DataFrame:
+    """(src, s, near array<struct<dst, weight, attr>>): the k heaviest neighbours of each row with their vectors, by id, and the sum s of the whole row; edges of weight 0 are none."""
+    near = top_k(edges, k).filter("weight <> 0").join(_rows(x).withColumnRenamed("id", "dst"), "dst")
+    rows = near.groupBy("src").agg(F.sort_array(F.collect_list(F.struct("dst", "weight", F.col("attr").cast("array<double>").alias("attr")))).alias("near"))  # k of them at most
+    return rows.join(row_sums(edges), "src").select("src", "s", "near")
+
+
+def near_arrays(near: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Of each row of a column of gathered(): the ids, weights and vectors."""
+    flat = near.flatten()
+    ids, w = flat.field(0).to_numpy(zero_copy_only=False), flat.field(1).to_numpy(zero_copy_only=False)
+    x = flat.field(2).flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1) if len(ids) else np.zeros((0, 0))
+    ends = np.cumsum(near.value_lengths().to_numpy(zero_copy_only=False))
+    for i, j in zip([0, *ends.tolist()[:-1]], ends.tolist(), strict=True):
+        yield ids[i:j], w[i:j], x[i:j]
+
+
+def soft_weights(x: np.ndarray, a: np.ndarray, temperature: float, corrected: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distances, softmax of the negative weighted distances, and the weights of the vectors x with edge weights a."""
+    far = np.sqrt(((x[:, None, :] - x[None, :, :]) ** 2).sum(2))
+    cost = far @ a
+    r = np.exp((cost.min() - cost) / temperature)
+    r /= r.sum()
+    q = r * a if corrected else r
+    return far, r, q / q.sum()
+
+
 def soft_k_medoid(edges: DataFrame, nodes: DataFrame, k: int = 32, temperature: float = 1.0, with_weight_correction: bool = True) -> DataFrame:
-    """Soft medoid of the k heaviest neighbours; corrected weights are softmax times edge weight, renormalised."""
-    near = top_k(edges, k).drop("rnk")
-    weights = weighted_distances(near, nodes).select("src", "j", softmax(-F.col("cost") / temperature, "src").alias("w"))
-    if with_weight_correction:
-        weights = weights.join(near.select("src", F.col("dst").alias("j"), "weight"), ["src", "j"])
-        rows = Window.partitionBy("src")
-        weights = weights.select("src", "j", (F.col("w") * F.col("weight") / F.sum(F.col("w") * F.col("weight")).over(rows)).alias("w"))
-    return _picked(weights, row_sums(edges), nodes)
+    """Soft medoid of the k heaviest neighbours; corrected weights are softmax times edge weight, renormalised.
+
+    A row's neighbours are gathered, k vectors at most, and their distances are one product.
+    """
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if len(batch):
+                sums = batch.column(1).to_numpy()
+                out = [s * (soft_weights(x, a, temperature, with_weight_correction)[2] @ x) for s, (_, a, x) in zip(sums, near_arrays(batch.column(2)), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.float64()))], names=["id", "attr"])
 
-def soft_median(edges: DataFrame, nodes: DataFrame, x: DataFrame, temperature: float = 1.0, p: float = 2.0) -> DataFrame:
-    """Neighbours weighted by softmax of their negative distance to the dimension-wise median; x is the long form of nodes."""
-    median = dimwise_median(edges, x, scaled=False).withColumnsRenamed({"id": "src", "v": "m"})
-    dims = x.select("k").distinct().agg(F.count("*").alias("d"))
-    gaps = edges.select("src", F.col("dst").alias("id"), "weight").join(x, "id").join(median, ["src", "k"])
-    power = F.sum(F.pow(F.abs(F.col("v") - F.col("m")), F.lit(p)))
-    far = gaps.groupBy("src", "id").agg(power.alias("gap"), F.max("weight").alias("weight")).join(F.broadcast(dims))
-    delta = F.pow("gap", F.lit(1 / p)) / F.pow(F.col("d"), F.lit(1 / p))
-    soft = far.withColumn("w", softmax(-delta / temperature, "src") * F.col("weight"))
-    rows = Window.partitionBy("src")
-    weights = soft.select("src", F.col("id").alias("j"), (F.col("w") / F.sum("w").over(rows)).alias("w"))
-    joined = weights.join(row_sums(edges), "src").join(x.withColumnRenamed("id", "j"), "j")
-    return joined.groupBy(F.col("src").alias("id"), "k").agg(F.sum(F.col("s") * F.col("w") * F.col("v")).alias("v"))
+    return _long(gathered(edges, nodes, k).mapInArrow(run, "id long, attr array<double>"), "attr")
+
+
+def soft_median_rows(edges: DataFrame, nodes: DataFrame, temperature: float = 1.0, p: float = 2.0) -> DataFrame:
+    """(src, med, arg, low, mean, soft, s): wide_median, the mean by soft weights, the sum of the soft weights before they are normalised, and the row's sum of edge weights."""
+    x = _rows(nodes)
+    middle = wide_median(edges, x, p)
+    size = len(x.first().attr)
+    joined = edges.select("src", F.col("dst").alias("id"), "weight").join(x, "id").join(middle.select("src", "med", "low"), "src")
+    e = F.exp((F.col("low") - _gap(F.col("attr"), F.col("med"), p)) / temperature) * F.col("weight")
+    joined = joined.select("src", "weight", "attr", e.alias("e"))
+    sums = joined.groupBy("src").agg(*[F.sum(F.col("e") * F.col("attr")[c]).alias(f"c{c}") for c in range(size)], F.sum("e").alias("soft"), F.sum("weight").alias("s"))
+    mean = F.array(*[F.col(f"c{c}") / F.col("soft") for c in range(size)])
+    return middle.join(sums.select("src", mean.alias("mean"), "soft", "s"), "src")
+
+
+def soft_median(edges: DataFrame, nodes: DataFrame, x: DataFrame | None = None, temperature: float = 1.0, p: float = 2.0) -> DataFrame:
+    """Neighbours weighted by softmax of their negative distance to the dimension-wise median. x, the long form of nodes, is not needed."""
+    found = soft_median_rows(edges, nodes, temperature, p)
+    return _long(found.select(F.col("src").alias("id"), F.transform("mean", lambda v: v * F.col("s")).alias("attr")), "attr")
 
 
 #: Robust aggregations by name; each takes (edges, nodes, long form, parameters).
 ROBUST_MEANS = {
-    "dimmedian": lambda edges, nodes, x, **_: dimwise_median(edges, x),
+    "dimmedian": lambda edges, nodes, x, **_: dimwise_median(edges, nodes),
     "medoid": lambda edges, nodes, x, **_: medoid(edges, nodes),
     "k_medoid": lambda edges, nodes, x, k=32, **_: k_medoid(edges, nodes, k),
     "soft_medoid": lambda edges, nodes, x, temperature=1.0, **_: soft_medoid(edges, nodes, temperature),

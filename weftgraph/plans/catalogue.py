@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import softmax, uniform
 from ..graph import directed_view, edges_view, graph_view, long_form, nodes_view, table
-from ..operators import attacks, components, losses, models, normalize, ppr, propagate, reshape, robust
+from ..operators import attacks, components, losses, models, normalize, ppr, ppr_attacks, propagate, reshape, robust
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -447,7 +447,7 @@ def softmax_rowwise(s, d):
 
 @query("SELECT m.src AS id, m.k, round(s * m, 6) AS v FROM median m JOIN rowsum r ON r.src = m.src")
 def dimwise_median(s, d):
-    return x_rows(robust.dimwise_median(weighted_view(s, d), x_view(s, d)))
+    return x_rows(robust.dimwise_median(weighted_view(s, d), nodes_view(s, d)))
 
 
 MEDOID = "SELECT c.src AS id, x.k, round(s * x.v, 6) AS v FROM (SELECT src, first(j ORDER BY round(cost, 9), j) AS j FROM {} GROUP BY 1) c JOIN rowsum r ON r.src = c.src JOIN x ON x.id = c.j"
@@ -484,7 +484,7 @@ def soft_k_medoid(s, d):
     SELECT sn.src AS id, x.k, round(sum(s * w * x.v), 6) AS v FROM sn JOIN rowsum r ON r.src = sn.src JOIN x ON x.id = sn.id GROUP BY 1, 2"""
 )
 def soft_median(s, d):
-    return x_rows(robust.soft_median(weighted_view(s, d), nodes_view(s, d), x_view(s, d), 0.5))
+    return x_rows(robust.soft_median(weighted_view(s, d), nodes_view(s, d), temperature=0.5))
 
 
 @query("SELECT p.src, p.j, p.m, round(dist, 6) AS dist FROM pairs p JOIN dist ON dist.j = p.j AND dist.m = p.m")
@@ -524,6 +524,32 @@ def ppr_missing_rows(s, d):
     return ppr.missing_rows(nodes_view(s, d), ppr_top(s, d))
 
 
+#: Residual push in rounds: all pairs over their threshold pass at once, and the rows of a seed without any leave the recursion.
+PUSH = """WITH RECURSIVE g AS MATERIALIZED (SELECT e.src, e.dst, 0.85 / a.d AS share, 0.15 * 0.001 * b.d AS bar FROM edges e JOIN deg a ON a.id = e.src JOIN deg b ON b.id = e.dst),
+    st(src, dst, mass, r, bar, goes, t) AS (
+        SELECT id, id, 0.0::DOUBLE, 0.15::DOUBLE, 0.0::DOUBLE, true, 0 FROM nodes
+        UNION ALL
+        SELECT src, dst, mass, r, bar, r > 0 AND r >= bar * (1 - 1e-9), t FROM (SELECT src, dst, sum(mass) AS mass, sum(r) AS r, max(bar) AS bar, t + 1 AS t FROM (
+            SELECT src, dst, CASE WHEN goes THEN mass + r ELSE mass END AS mass, CASE WHEN goes THEN 0 ELSE r END AS r, bar, t FROM st
+            UNION ALL SELECT live.src, g.dst, 0, live.r * g.share, g.bar, live.t FROM st live JOIN g ON g.src = live.dst WHERE live.goes) GROUP BY src, dst, t)),
+    pushed AS (SELECT src, dst, mass AS weight FROM st WHERE t = (SELECT max(t) FROM st) AND mass > 0),
+    pushk AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY round(weight, 9) DESC, dst) AS rnk FROM pushed) WHERE rnk <= 16) """
+
+
+def pushed_rows(s: SparkSession, d: str) -> DataFrame:
+    return ppr.push(edges_view(s, d), nodes_view(s, d), 0.15, 1e-3)
+
+
+@query(PUSH + "SELECT src, dst, round(weight, 6) AS weight FROM pushk")
+def ppr_push_topk(s, d):
+    return edge_rows(ppr.top_k_rows(pushed_rows(s, d), 16, 9))
+
+
+@query(PUSH + "SELECT src, dst, round(w / sum(w) OVER (PARTITION BY src), 6) AS weight FROM (SELECT p.src, p.dst, p.weight * sqrt(a.d) / sqrt(b.d) AS w, row_number() OVER (PARTITION BY p.src ORDER BY round(p.weight * sqrt(a.d) / sqrt(b.d), 9) DESC, p.dst) AS r FROM pushed p JOIN deg a ON a.id = p.src JOIN deg b ON b.id = p.dst) WHERE r <= 16")
+def gdc_push(s, d):
+    return edge_rows(ppr.gdc_approximate(edges_view(s, d), nodes_view(s, d), 0.15, 1e-3, 16, "sym", digits=9))
+
+
 PARTS = [(i, i * 40, i * 40 + 70 + 10 * (i % 2)) for i in range(5)]
 
 
@@ -725,6 +751,92 @@ def edge_gradient_step(s, d):
     return found.select("src", "dst", (F.round(F.col("grad") * 1e4, 4) + 0.0).alias("grad"))
 
 
+#: The relaxed graph of a block with weights 1/16, which sums hold exactly, and the logits of one layer before they are aggregated.
+RELAXED = """WITH sw(k, c, w) AS (SELECT k, c, round(cos(k * 3 + c * 7), 6) FROM range(64) a(k), range(10) b(c)),
+    pe AS (SELECT src, dst, CASE WHEN w > 1 THEN 2 - w ELSE w END AS weight FROM (SELECT src, dst, sum(weight) AS w FROM (
+        SELECT * FROM edges UNION ALL SELECT src, dst, 0.0625::DOUBLE FROM blk UNION ALL SELECT dst, src, 0.0625::DOUBLE FROM blk) GROUP BY 1, 2)),
+    pl AS (SELECT * FROM pe UNION ALL SELECT id, id, 1.0::DOUBLE FROM nodes),
+    pd AS (SELECT dst AS id, sum(weight) AS d FROM pl GROUP BY 1),
+    pn AS MATERIALIZED (SELECT l.src, l.dst, l.weight / sqrt(a.d) / sqrt(b.d) AS weight FROM pl l JOIN pd a ON a.id = l.src JOIN pd b ON b.id = l.dst),
+    h AS MATERIALIZED (SELECT x.id, c, sum(v * w) AS h FROM x JOIN sw ON sw.k = x.k GROUP BY 1, 2),
+    hv AS MATERIALIZED (SELECT id, list(h ORDER BY c) AS h FROM h GROUP BY 1),
+    rs AS (SELECT src, sum(weight) AS s FROM pn GROUP BY 1),
+    {exponent},
+    sr AS (SELECT src, sum(e * weight) AS soft FROM ex GROUP BY 1),
+    mean AS MATERIALIZED (SELECT ex.src, h.c, sum(e * weight * h) / any_value(soft) AS m FROM ex JOIN sr ON sr.src = ex.src JOIN h ON h.id = ex.dst GROUP BY 1, 2),
+    z AS (SELECT mean.src AS id, c, s * m AS z FROM mean JOIN rs ON rs.src = mean.src),
+    lg AS (SELECT z.id, z.c, (exp(z - max(z) OVER w) / sum(exp(z)) OVER w * exp(max(z) OVER w) - (z.c = n.label)::INT) / (SELECT n FROM cnt) AS g FROM z JOIN nodes n ON n.id = z.id WINDOW w AS (PARTITION BY z.id)),
+    gm AS MATERIALIZED (SELECT lg.id AS src, list(g ORDER BY lg.c) AS g, sum(g * m) AS base FROM lg JOIN mean ON mean.src = lg.id AND mean.c = lg.c GROUP BY 1),
+    ld AS MATERIALIZED (SELECT ex.src, ex.dst, ex.e, ex.weight, soft, s, list_dot_product(g, hv.h) - base AS lead FROM ex JOIN sr ON sr.src = ex.src JOIN rs ON rs.src = ex.src JOIN gm ON gm.src = ex.src JOIN hv ON hv.id = ex.dst),
+    {own},
+    tm AS MATERIALIZED (SELECT pn.src, pn.dst, pn.weight, base + coalesce(own.v, 0) AS term FROM pn JOIN gm ON gm.src = pn.src LEFT JOIN own ON own.src = pn.src AND own.dst = pn.dst),
+    br AS (SELECT id, sum(t) AS b FROM (SELECT src AS id, term * weight AS t FROM tm UNION ALL SELECT dst, term * weight FROM tm) GROUP BY 1),
+    two AS (SELECT src, dst, src AS p, dst AS q FROM blk UNION ALL SELECT dst, src, src, dst FROM blk)
+    SELECT p AS src, q AS dst, round(sum(tm.term / sqrt(a.d) / sqrt(b.d) - br.b / (2 * b.d)) * 1e4, 4) + 0.0 AS grad FROM two JOIN tm ON tm.src = two.src AND tm.dst = two.dst
+    JOIN pd a ON a.id = two.src JOIN pd b ON b.id = two.dst JOIN br ON br.id = two.dst GROUP BY 1, 2"""
+
+MEDOID_STEP = RELAXED.format(
+    exponent="""nk AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY weight DESC, dst) AS r FROM pn) WHERE r <= 8),
+    dd AS MATERIALIZED (SELECT a.src, a.dst AS j, b.dst AS o, b.weight AS w, list_distance(p.h, q.h) AS dist FROM nk a JOIN nk b ON b.src = a.src JOIN hv p ON p.id = a.dst JOIN hv q ON q.id = b.dst),
+    co AS (SELECT src, j, sum(w * dist) AS cost FROM dd GROUP BY 1, 2),
+    ex AS MATERIALIZED (SELECT nk.src, nk.dst, nk.weight, exp((min(cost) OVER (PARTITION BY nk.src) - cost) / 2.0) AS e FROM nk JOIN co ON co.src = nk.src AND co.j = nk.dst)""",
+    own="""own AS (SELECT i.src, i.dst, any_value(i.s * i.e / i.soft * i.lead) + sum(-o.s * o.e * o.weight / o.soft * o.lead / 2.0 * dist) AS v
+        FROM ld i JOIN dd ON dd.src = i.src AND dd.j = i.dst JOIN ld o ON o.src = i.src AND o.dst = dd.o GROUP BY 1, 2)""",
+)
+MEDIAN_STEP = RELAXED.format(
+    exponent="""me AS (SELECT src, list(m ORDER BY c) AS med FROM (SELECT src, c, min(h) AS m FROM (
+        SELECT pn.src, h.c, h.h, sum(weight) OVER (PARTITION BY src, c ORDER BY h, id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum, sum(weight) OVER (PARTITION BY src, c) AS total FROM pn JOIN h ON h.id = pn.dst) WHERE 2 * cum >= total - 1e-12 GROUP BY 1, 2) GROUP BY 1),
+    ex AS MATERIALIZED (SELECT src, dst, weight, exp((min(far) OVER (PARTITION BY src) - far) / 0.5) AS e FROM (SELECT pn.*, list_distance(hv.h, me.med) / sqrt(10) AS far FROM pn JOIN me ON me.src = pn.src JOIN hv ON hv.id = pn.dst))""",
+    own="own AS (SELECT src, dst, s * e / soft * lead AS v FROM ld)",
+)
+
+
+def robust_step(s: SparkSession, d: str, mean: str, **parameters) -> DataFrame:
+    nodes = nodes_view(s, d)
+    block = attacks.random_block(nodes, 2000, 3)
+    relaxed = reshape.perturb(edges_view(s, d), block.withColumn("p", F.lit(0.0625)))
+    model = attacks.Rgnn([surrogate().weight], [None], mean=mean, parameters=parameters)
+    found = attacks.edge_gradient(relaxed, nodes, model, nodes, block)
+    return found.select("src", "dst", (F.round(F.col("grad") * 1e4, 4) + 0.0).alias("grad"))
+
+
+@query(MEDOID_STEP)
+def medoid_gradient_step(s, d):
+    return robust_step(s, d, "soft_k_medoid", k=8, temperature=2.0)
+
+
+@query(MEDIAN_STEP)
+def median_gradient_step(s, d):
+    return robust_step(s, d, "soft_median", temperature=0.5)
+
+
+@query(
+    f"""WITH pr AS (SELECT p.src, p.dst, p.weight * sqrt(b.d) / sqrt(a.d) AS w FROM ppr p JOIN colsum a ON a.id = p.src JOIN colsum b ON b.id = p.dst),
+    t AS MATERIALIZED (SELECT pr.src AS id, m.k AS c, sum(pr.w * m.v) AS t FROM pr JOIN mlp m ON m.id = pr.dst GROUP BY 1, 2 UNION ALL SELECT src, 10, w FROM pr WHERE dst = 3),
+    own AS (SELECT c, t FROM t WHERE id = 3), nb AS (SELECT dst AS id FROM loops WHERE src = 3), kk AS (SELECT count(*)::DOUBLE AS k FROM nb),
+    bef AS (SELECT c, sum(t) / any_value(k) AS n0 FROM nb JOIN t USING (id), kk GROUP BY 1),
+    bl AS MATERIALIZED (SELECT id, round({DRAW.format("'row:' || id")} / 10, 6) AS p, CASE WHEN id IN (SELECT id FROM nb) THEN -1.0 ELSE 1.0 END::DOUBLE AS sg FROM nodes WHERE id <> 3),
+    mass AS (SELECT any_value(k) + sum(sg * p) AS b FROM bl, kk),
+    su AS (SELECT t.c, any_value(k) * any_value(n0) + sum(sg * p * t) AS n FROM bl JOIN t USING (id) JOIN bef ON bef.c = t.c, kk GROUP BY 1),
+    ch AS (SELECT su.c, n, n / b - n0 AS ch FROM su JOIN bef USING (c), mass),
+    sc AS (SELECT 0.85 / 0.15 * (SELECT t FROM own WHERE c = 10) / bot AS scale, bot, 0.85 / 0.15 AS ratio FROM (SELECT 1 - 0.85 / 0.15 * ch AS bot FROM ch WHERE c = 10)),
+    z AS (SELECT own.c, t + scale * ch AS z FROM own JOIN ch USING (c), sc WHERE own.c < 10),
+    lb AS (SELECT label FROM nodes WHERE id = 3),
+    g AS (SELECT c, CASE WHEN c = label THEN -1.0 WHEN c = (SELECT first(c ORDER BY z DESC, c) FROM z, lb WHERE c <> label) THEN 1.0 ELSE 0.0 END AS g FROM z, lb),
+    pull AS (SELECT c, scale * g AS q FROM g, sc UNION ALL SELECT 10, (SELECT sum(g * ch) FROM g JOIN ch USING (c)) * ratio * scale / bot FROM sc),
+    lv AS (SELECT sum(q * n) / any_value(b * b) AS lv FROM pull JOIN ch USING (c), mass)
+    SELECT bl.id AS dst, round(any_value(sg) * (sum(q * t) / any_value(b) - any_value(lv)) * 100, 4) + 0.0 AS grad FROM bl JOIN t USING (id) JOIN pull ON pull.c = t.c, mass, lv GROUP BY 1"""
+)
+def ppr_row_gradient_step(s, d):
+    nodes = nodes_view(s, d)
+    edges = normalize.add_remaining_self_loops(edges_view(s, d), nodes)
+    logits = models.mlp(x_view(s, d), *demo_weights(s)).groupBy("id").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "v"))), lambda e: e["v"]).alias("z"))
+    state = ppr_attacks.SumRow(edges, ppr_attacks.PprVictim(logits, 0.15), 3, 1e-7)
+    block = ppr_attacks.with_presence(nodes, edges, 3, 0.0).withColumn("p", F.round(uniform("row", "dst") / 10, 6))
+    label = nodes.filter("id = 3").first().label
+    return state.step(state.prepare(block), label).block.select("dst", (F.round(F.col("grad") * 100, 4) + 0.0).alias("grad"))
+
+
 @query()
 def greedy_flip(s, d):
     return attacks.greedy_rbcd(edges_view(s, d), nodes_view(s, d), surrogate(), nodes_view(s, d), 10, 2, 2000, seed=3).pairs

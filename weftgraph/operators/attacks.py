@@ -523,20 +523,33 @@ def sga(edges: DataFrame, nodes: DataFrame, model: Model, node: int, budget: int
     return Result(spark.createDataFrame(picked, "src long, dst long"), now)
 
 
-def ppr_propagate(walk: DataFrame, h: DataFrame, columns: int, alpha: float, rounds: int) -> DataFrame:
+def ppr_propagate(walk: DataFrame, h: DataFrame, columns: int, alpha: float, rounds: int, factors: list[float] | None = None, every: int = 6) -> DataFrame:
     """(id, h): alpha * sum over t <= rounds of ((1 - alpha) W)^t H for wide rows, without forming the PPR matrix.
 
     S' = (1 - alpha) W S + alpha H needs S once, so a round is one join and one grouped sum.
+    factors: relaxation factors instead of a number of rounds, as of ppr.second_order_factors for
+    the walk on an undirected graph: S' = f ((1 - alpha) W S + alpha H) + (1 - f) S'', where a
+    row carries S and S''.
     """
+    factors = factors or [1.0] * rounds
+    names = [f"c{c}" for c in range(columns)]
+    before = [f"b{c}" for c in range(columns)]
     start = h.select("id", *[(alpha * F.col("h")[c]).alias(f"c{c}") for c in range(columns)])
     walk = cut(walk.select(F.col("src").alias("to"), F.col("dst").alias("id"), ((1 - alpha) * F.col("weight")).alias("w")), "walk")
     total = start
-    for t in range(1, rounds + 1):
-        moved = walk.join(total, "id").select(F.col("to").alias("id"), *[(F.col("w") * F.col(f"c{c}")).alias(f"c{c}") for c in range(columns)])
-        total = moved.unionByName(start).groupBy("id").agg(*[F.sum(f"c{c}").alias(f"c{c}") for c in range(columns)])
-        if t % 6 == 0 and t < rounds:
+    relaxed = any(f != 1.0 for f in factors)
+    for t, factor in enumerate(factors, 1):
+        f = F.lit(factor)
+        moved = walk.join(total.select("id", *names), "id").select(F.col("to").alias("id"), *[(F.col("w") * F.col(n) * f).alias(n) for n in names])
+        parts = moved.unionByName(start.select("id", *[(F.col(n) * f).alias(n) for n in names]))
+        if relaxed:
+            parts = parts.select("id", *names, *[F.lit(0.0).alias(b) for b in before])
+            own = [(F.lit(0.0) if t == 1 else F.col(b) * (1 - f)).alias(n) for n, b in zip(names, before, strict=True)]
+            parts = parts.unionByName(total.select("id", *own, *[F.col(n).alias(b) for n, b in zip(names, before, strict=True)]))
+        total = parts.groupBy("id").agg(*[F.sum(n).alias(n) for n in (names + before if relaxed else names)])
+        if t % every == 0 and t < len(factors):
             total = cut(total, "total")
-    return total.select("id", F.array(*[F.col(f"c{c}") for c in range(columns)]).alias("h"))
+    return total.select("id", F.array(*names).alias("h"))
 
 
 def rank_one_margins(edges: DataFrame, nodes: DataFrame, logits: DataFrame, node: int, alpha: float = 0.1, rounds: int = 30) -> DataFrame:

@@ -22,7 +22,7 @@ from ..functions import uniform
 from ..plans.lineage import cut
 from . import normalize, robust_gradients
 from .attacks import Result, loss_gradient, ppr_propagate, project
-from .ppr import power_series, rounds_for
+from .ppr import power_series, rounds_for, second_order_factors
 from .reshape import replace_row
 
 
@@ -57,13 +57,16 @@ def _loss_slope(victim: PprVictim, node: int, z: list[float], label: int, loss_n
 
 
 class SumRow:
-    """The node's row of a weighted sum: its state is P Z and P_.i for all nodes, wide rows from one propagation of the logits."""
+    """The node's row of a weighted sum: its state is P Z and P_.i for all nodes, wide rows from one propagation of the logits.
 
-    def __init__(self, edges: DataFrame, victim: PprVictim, node: int, tolerance: float = 1e-9) -> None:
+    undirected: the graph is, so that the propagation can be accelerated.
+    """
+
+    def __init__(self, edges: DataFrame, victim: PprVictim, node: int, tolerance: float = 1e-9, undirected: bool = True) -> None:
         self.victim, self.node = victim, node
         self.classes = len(victim.logits.first().z)
         h = victim.logits.select("id", F.concat("z", F.array(F.when(F.col("id") == node, 1.0).otherwise(0.0))).alias("h"))
-        self.table = cut(ppr_propagate(normalize.row(edges), h, self.classes + 1, victim.alpha, rounds_for(victim.alpha, tolerance)), "scores")
+        self.table = cut(ppr_propagate(normalize.row(edges), h, self.classes + 1, victim.alpha, rounds_for(victim.alpha, tolerance), second_order_factors(victim.alpha, tolerance) if undirected else None), "scores")
         self.own = np.array(self.table.filter(F.col("id") == node).first().h)
         start = np.array(h.filter(F.col("id") == node).first().h)
         self.before = (self.own - victim.alpha * start) / (1 - victim.alpha)  # the normalised row times the table
@@ -165,10 +168,10 @@ def candidates(nodes: DataFrame, node: int, size: int, seed: int | str) -> DataF
     return nodes.filter(F.col("id") != node).select("id").orderBy(uniform(seed, "id"), "id").limit(size)
 
 
-def exact_logits(edges: DataFrame, victim: PprVictim, node: int, tolerance: float = 1e-9) -> list[float]:
+def exact_logits(edges: DataFrame, victim: PprVictim, node: int, tolerance: float = 1e-7) -> list[float]:
     """The victim's output for the node on a graph, from its PageRank row computed anew; a node without edges has its own logits."""
     spark = edges.sparkSession
-    row = power_series(normalize.row(edges), spark.createDataFrame([(node,)], "id long"), victim.alpha, tolerance=tolerance)
+    row = power_series(cut(normalize.row(edges), "walk"), spark.createDataFrame([(node,)], "id long"), victim.alpha, tolerance=tolerance)
     if victim.mean == "sum":
         classes = len(victim.logits.first().z)
         found = row.join(victim.logits.withColumnRenamed("id", "dst"), "dst").agg(*[F.sum(F.col("weight") * F.col("z")[c]) for c in range(classes)]).first()

@@ -525,19 +525,19 @@ def ppr_missing_rows(s, d):
 
 
 #: Residual push in rounds: all pairs over their threshold pass at once, and the rows of a seed without any leave the recursion.
-PUSH = """WITH RECURSIVE g AS MATERIALIZED (SELECT e.src, e.dst, 0.85 / a.d AS share, 0.15 * 0.001 * b.d AS bar FROM edges e JOIN deg a ON a.id = e.src JOIN deg b ON b.id = e.dst),
+PUSH = """WITH RECURSIVE g AS MATERIALIZED (SELECT e.src, e.dst, 0.85 / a.d AS share, 0.15 * 0.0001 * b.d AS bar FROM edges e JOIN deg a ON a.id = e.src JOIN deg b ON b.id = e.dst),
     st(src, dst, mass, r, bar, goes, t) AS (
         SELECT id, id, 0.0::DOUBLE, 0.15::DOUBLE, 0.0::DOUBLE, true, 0 FROM nodes
         UNION ALL
         SELECT src, dst, mass, r, bar, r > 0 AND r >= bar * (1 - 1e-9), t FROM (SELECT src, dst, sum(mass) AS mass, sum(r) AS r, max(bar) AS bar, t + 1 AS t FROM (
             SELECT src, dst, CASE WHEN goes THEN mass + r ELSE mass END AS mass, CASE WHEN goes THEN 0 ELSE r END AS r, bar, t FROM st
-            UNION ALL SELECT live.src, g.dst, 0, live.r * g.share, g.bar, live.t FROM st live JOIN g ON g.src = live.dst WHERE live.goes) GROUP BY src, dst, t)),
+            UNION ALL SELECT live.src, g.dst, 0, live.r * g.share, g.bar, live.t FROM st live JOIN g ON g.src = live.dst WHERE live.goes) WHERE (SELECT bool_or(goes) FROM st) GROUP BY src, dst, t)),
     pushed AS (SELECT src, dst, mass AS weight FROM st WHERE t = (SELECT max(t) FROM st) AND mass > 0),
     pushk AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY round(weight, 9) DESC, dst) AS rnk FROM pushed) WHERE rnk <= 16) """
 
 
 def pushed_rows(s: SparkSession, d: str) -> DataFrame:
-    return ppr.push(edges_view(s, d), nodes_view(s, d), 0.15, 1e-3)
+    return ppr.push(edges_view(s, d), nodes_view(s, d), 0.15, 1e-4)
 
 
 @query(PUSH + "SELECT src, dst, round(weight, 6) AS weight FROM pushk")
@@ -547,7 +547,7 @@ def ppr_push_topk(s, d):
 
 @query(PUSH + "SELECT src, dst, round(w / sum(w) OVER (PARTITION BY src), 6) AS weight FROM (SELECT p.src, p.dst, p.weight * sqrt(a.d) / sqrt(b.d) AS w, row_number() OVER (PARTITION BY p.src ORDER BY round(p.weight * sqrt(a.d) / sqrt(b.d), 9) DESC, p.dst) AS r FROM pushed p JOIN deg a ON a.id = p.src JOIN deg b ON b.id = p.dst) WHERE r <= 16")
 def gdc_push(s, d):
-    return edge_rows(ppr.gdc_approximate(edges_view(s, d), nodes_view(s, d), 0.15, 1e-3, 16, "sym", digits=9))
+    return edge_rows(ppr.gdc_approximate(edges_view(s, d), nodes_view(s, d), 0.15, 1e-4, 16, "sym", digits=9))
 
 
 PARTS = [(i, i * 40, i * 40 + 70 + 10 * (i % 2)) for i in range(5)]

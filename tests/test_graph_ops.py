@@ -151,7 +151,7 @@ def test_ppr_series_push_and_updates(spark):
     exact = alpha * np.linalg.inv(np.eye(12) - (1 - alpha) * walk)
     series = ppr.power_series(normalize.row(edges), nodes, alpha, 40).cache()
     assert np.allclose(matrix(series, 12), exact, atol=1e-5)
-    pushed = ppr.push(edges, nodes, alpha, 1e-9)
+    pushed = ppr.push(edges, nodes, alpha, 1e-6)
     assert np.allclose(matrix(pushed, 12), exact, atol=1e-5)
     assert ppr.push(edges, nodes, alpha, 1e-4, 3).groupBy("src").count().filter("count > 3").isEmpty()
     p = np.zeros(12)
@@ -167,6 +167,22 @@ def test_ppr_series_push_and_updates(spark):
         got[r.dst] = r.weight
     assert np.allclose(got, again[i], atol=1e-5)
     assert np.allclose(matrix(ppr.update_all(series, row, change, i, alpha), 12), again, atol=1e-5)
+    # Several rows at once, some rows only, and the largest entries without the whole product.
+    more = spark.createDataFrame([(2, 1, 0.3), (2, 4, 1.0), (5, 0, 1.0), (5, 2, 0.5), (9, 11, 1.0)], "src long, dst long, p double")
+    many = a.copy()
+    for r in more.collect():
+        w = a[r.src, r.dst] + r.p
+        many[r.src, r.dst] = 2 - w if w > 1 else w
+    sums = many.sum(1, keepdims=True)
+    again = alpha * np.linalg.inv(np.eye(12) - (1 - alpha) * many / np.where(sums > 0, sums, 1))
+    assert np.allclose(matrix(ppr.update_block(series, edges, more, alpha), 12), again, atol=1e-5)
+    some = matrix(ppr.update_block(series, edges, more, alpha, rows=spark.createDataFrame([(3,), (5,)], "id long"), k=4), 12)
+    for i in (3, 5):
+        best = np.argsort(-again[i])[:4]
+        assert np.allclose(some[i][best], again[i][best], atol=1e-5) and (some[i] > 0).sum() == 4
+    sparse = ppr.update_block(series, edges, change.select(F.lit(2).cast("long").alias("src"), "dst", "p"), alpha, k=3)
+    one = alpha * np.linalg.inv(np.eye(12) - (1 - alpha) * new / new.sum(1, keepdims=True))
+    assert np.allclose(np.sort(matrix(sparse, 12), 1)[:, -3:], np.sort(one, 1)[:, -3:], atol=1e-5)
     sym = matrix(ppr.normalized(series, normalize.degree(edges), "sym"), 12)
     d = a.sum(1)
     assert np.allclose(sym, exact * np.sqrt(d)[:, None] / np.sqrt(d)[None, :], atol=1e-5)
@@ -236,6 +252,35 @@ def test_nettack_scores_equal_brute_force(spark):
     run = attacks.nettack(edges, nodes, attacks.Linear2(w), 3, 1, cutoff=10.0)
     assert run.pairs.count() == 1 and (matrix(run.edges, 14).sum(1) > 0).all()
     assert attacks.sga(edges, nodes, attacks.Linear2(w), 3, 1).pairs.count() == 1
+
+    def margin(m, x):
+        z = (dense_norm(m) @ dense_norm(m) @ x @ w)[3]
+        return z[labels[3]] - max(z[c] for c in range(3) if c != labels[3])
+
+    def flipped(i, v):
+        m = a.copy()
+        m[i, v] = m[v, i] = 1 - m[i, v]
+        return m
+
+    # Indirect flips, in and out of the node's reach, and the neighbours without which the margin is least.
+    every = attacks.indirect_candidates(nodes, 3, [i for i in range(14) if i != 3])
+    scores = {(r.src, r.dst): r.score for r in attacks.struct_scores(edges, nodes, attacks.Linear2(w), 3, every).collect()}
+    assert len(scores) == 13 * 12 and all(s == pytest.approx(margin(flipped(i, v), x)) for (i, v), s in scores.items())
+    near = sorted((margin(flipped(3, v), x), v) for v in np.flatnonzero(a[3]))
+    assert [r.id for r in attacks.influencers(edges, nodes, attacks.Linear2(w), 3, 2).collect()] == [v for _, v in near[:2]]
+    turned = x * (np.arange(5) % 2)
+    zeros = nodes_of(spark, {i: v.tolist() for i, v in enumerate(turned)}, {i: int(labels[i]) for i in range(14)})
+    found = attacks.feature_scores(edges, zeros, attacks.Linear2(w), 3, nodes.filter("id % 2 = 1")).collect()
+    assert len(found) == 7 * 5
+    for r in found:
+        other = turned.copy()
+        other[r.id, r.k] = 0.0 if other[r.id, r.k] else 1.0
+        assert r.score == pytest.approx(margin(a, other))
+    run = attacks.nettack(edges, nodes, attacks.Linear2(w), 3, 1, cutoff=100.0, direct=False, n_influencers=2)
+    step = run.trace[0]
+    assert step["src"] in {v for _, v in near[:2]} and step["margin"] == pytest.approx(min(s for (i, _), s in scores.items() if i in {v for _, v in near[:2]}))
+    run = attacks.nettack(edges, zeros, attacks.Linear2(w), 3, 2, structure=False, features=True)
+    assert [set(t) for t in run.trace] == [{"id", "k", "margin"}] * 2 and run.pairs.isEmpty() and run.trace[0]["margin"] <= min(r.score for r in found if r.id == 3) + 1e-9
     assert attacks.create_attack("PRBCD") is attacks.prbcd
     with pytest.raises(ValueError):
         attacks.create_attack("none")
@@ -360,7 +405,7 @@ def test_gcn_training_finds_labels(spark):
     hop = dense_norm(a) @ x
     nodes = nodes_of(spark, {i: v.tolist() for i, v in enumerate(x)}, {i: int(hop[i, 0] > 0) for i in range(24)})
     split = spark.createDataFrame([(i, ["train", "train", "val"][i % 3]) for i in range(24)], "id long, part string")
-    weights, trace = models.train_gcn(edges, nodes, split, 4, 5, 0.1)
+    weights, trace = models.train_gcn(edges, nodes, split, 4, epochs=5, lr=0.1)
     assert trace[-1]["train"] < trace[0]["train"] and weights["w1"].shape == (5, 4)
     assert models.batch_ids(split, 4).groupBy("part").agg(F.max("batch").alias("m")).filter("m > 3").isEmpty()
 

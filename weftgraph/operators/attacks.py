@@ -638,70 +638,121 @@ def filter_chisquare(ratios: DataFrame, cutoff: float = 0.004) -> DataFrame:
 
 
 def struct_scores(edges: DataFrame, nodes: DataFrame, model: Model, node: int, candidates: DataFrame) -> DataFrame:
-    """candidates(src = node, dst) with the margin of the node after each flip, exactly.
+    """candidates(src, dst) with the margin of the node after each flip, exactly; direct ones (src is the node) and indirect ones alike. dst is not the node.
 
-    With A-hat after a flip of (u, v), row u of its square depends on u's neighbours only:
-    z_u = sum over m in N'(u) of A'_um (A' X W)_m. Degrees of u and v change by the flip, so
-    each candidate joins u's neighbours and their neighbours' sums once.
+    With u the node, d degrees with loops, S_m = sum over t of a_mt h_t / sqrt(d_t), T_t = sum
+    over m of a_um a_mt / d_m and Z = sum over m of a_um S_m / d_m, the output is Z / sqrt(d_u).
+    A flip of (i, v) changes the degrees of i and v and two entries, so that the new output
+    follows from Z and from d, h, S, T and the three entries a_ui, a_uv, a_iv of the pair: a few
+    lookups a candidate, for any number of candidates at once.
     """
     classes = model.weight.shape[1]
+    width = range(classes)
     h = _projected(nodes, model)
-    loops = normalize.add_remaining_self_loops(edges, nodes)
-    d = cut(normalize.degree(loops, "src"), "degrees")
-    there = block_matches(candidates, edges).select(F.col("dst").alias("v"), "present")
-    both = there.withColumn("delta", F.when(F.col("present"), -1.0).otherwise(1.0))
-    # Per candidate the edges of u after the flip, and for each of those the row of m after it.
-    own = loops.filter(F.col("src") == node).select(F.col("dst").alias("m"))
-    mids = both.join(own, F.lit(True)).filter("not (present and m = v)").select("v", "delta", "m")
-    mids = mids.unionByName(both.filter("not present").select("v", "delta", F.col("v").alias("m")))
-    u = F.lit(node)
-    rows = mids.join(loops.select(F.col("src").alias("m"), F.col("dst").alias("t")), "m").filter(
-        ~((F.col("delta") < 0) & (((F.col("m") == u) & (F.col("t") == F.col("v"))) | ((F.col("m") == F.col("v")) & (F.col("t") == u))))
-    )
-    extra = both.filter("not present")
-    rows = rows.select("v", "delta", "m", "t").unionByName(extra.select("v", "delta", u.cast("long").alias("m"), F.col("v").alias("t"))).unionByName(
-        extra.select("v", "delta", F.col("v").alias("m"), u.cast("long").alias("t"))
-    )
-    for end in ("m", "t"):
-        rows = rows.join(d.select(F.col("id").alias(end), F.col("d").alias(f"d_{end}")), end)
-        touched = (F.col(end) == u) | (F.col(end) == F.col("v"))
-        rows = rows.withColumn(f"d_{end}", F.col(f"d_{end}") + F.when(touched, F.col("delta")).otherwise(0.0))
-    d_u = d.filter(F.col("id") == node).first().d
-    rows = rows.join(h.withColumnRenamed("id", "t"), "t")
-    weight = 1 / (F.sqrt(d_u + F.col("delta")) * F.col("d_m") * F.sqrt(F.col("d_t")))
-    sums = rows.groupBy("v").agg(*[F.sum(weight * F.col("h")[c]).alias(f"z{c}") for c in range(classes)])
+    loops = cut(normalize.add_remaining_self_loops(edges, nodes).select("src", "dst", F.lit(1.0).alias("weight")), "loops")
+    d = normalize.degree(loops, "src")
+    own = h.join(d, "id")
+    sums = _hop(loops, own.select("id", F.transform("h", lambda v: v / F.sqrt("d")).alias("h")), classes, "s")
+    near = loops.filter(F.col("src") == node).select(F.col("dst").alias("id"), F.lit(1.0).alias("a"))
+    mids = near.join(d, "id").select(F.col("id").alias("src"), (1 / F.col("d")).alias("w"))
+    two = loops.join(mids, "src").groupBy(F.col("dst").alias("id")).agg(F.sum("w").alias("t"))
+    table = own.join(sums, "id").join(near, "id", "left").join(two, "id", "left").select("id", "d", "h", "s", F.coalesce("a", F.lit(0.0)).alias("a"), F.coalesce("t", F.lit(0.0)).alias("t"))
+    table = cut(table, "nodes")
+    whole = table.filter("a > 0").agg(*[F.sum(F.col("s")[c] / F.col("d")).alias(f"z{c}") for c in width]).first()
+    d_u = table.filter(F.col("id") == node).first().d
     label = nodes.filter(F.col("id") == node).first().label
-    others = [F.col(f"z{c}") for c in range(classes) if c != label]
-    return sums.select(u.cast("long").alias("src"), F.col("v").alias("dst"), (F.col(f"z{label}") - F.array_max(F.array(*others))).alias("score"))
-
-
-def nettack(edges: DataFrame, nodes: DataFrame, model: Model, node: int, budget: int, cutoff: float = 0.004) -> Result:
-    """Structure attack on one node: candidates that leave no singleton and pass the power-law test, smallest margin first."""
+    found = block_matches(candidates.select("src", "dst").distinct(), edges)
+    for end, at in (("src", "i"), ("dst", "v")):
+        found = found.join(table.select(F.col("id").alias(end), *[F.col(c).alias(f"{c}_{at}") for c in ("d", "h", "s", "a", "t")]), end)
+    direct = (F.col("src") == node).cast("double")
+    found = found.withColumn("a_iv", F.col("present").cast("double")).withColumn("delta", 1 - 2 * F.col("a_iv"))
+    found = found.withColumn("e_i", F.col("d_i") + F.col("delta")).withColumn("e_v", F.col("d_v") + F.col("delta"))  # degrees after the flip
+    gap_i, gap_v = (1 / F.sqrt(f"e_{x}") - 1 / F.sqrt(f"d_{x}") for x in ("i", "v"))
+    a_i, a_v, a_iv, d_i, d_v, delta = (F.col(c) for c in ("a_i", "a_v", "a_iv", "d_i", "d_v", "delta"))
+    rest_i, rest_v = F.col("t_i") - a_i / d_i - a_v * a_iv / d_v, F.col("t_v") - a_i * a_iv / d_i - a_v / d_v  # by way of others than i and v
+    found = found.withColumns({"gap_i": gap_i, "gap_v": gap_v, "rest_i": rest_i, "rest_v": rest_v, "new_v": a_v + delta * direct, "e_u": F.lit(d_u) + delta * direct})
+
+    def logit(c: int) -> Column:
+        h_i, h_v, s_i, s_v = (F.col(x)[c] for x in ("h_i", "h_v", "s_i", "s_v"))
+        other = F.lit(whole[c]) - a_i * s_i / d_i - a_v * s_v / d_v + h_i * F.col("gap_i") * F.col("rest_i") + h_v * F.col("gap_v") * F.col("rest_v")
+        at_i = s_i + h_i * F.col("gap_i") + a_iv * h_v * F.col("gap_v") + delta * h_v / F.sqrt("e_v")
+        at_v = s_v + h_v * F.col("gap_v") + a_iv * h_i * F.col("gap_i") + delta * h_i / F.sqrt("e_i")
+        return (other + a_i * at_i / F.col("e_i") + F.col("new_v") * at_v / F.col("e_v")) / F.sqrt("e_u")
+
+    z = [logit(c) for c in width]
+    return found.select("src", "dst", (z[label] - F.array_max(F.array(*[x for c, x in enumerate(z) if c != label]))).alias("score"))
+
+
+def feature_scores(edges: DataFrame, nodes: DataFrame, model: Model, node: int, changed: DataFrame) -> DataFrame:
+    """(id, k, score): the margin of the node after turning attribute k (0 or not) of each of the nodes in changed(id) on or off, exactly; a node out of two hops' reach leaves it as it is."""
+    a = cut(normalize.gcn(edges, nodes), "adjacency")
+    z = _forward(a, nodes, model)[-1][1].filter(F.col("id") == node).first().z
+    label = nodes.filter(F.col("id") == node).first().label
+    mids = a.filter(F.col("src") == node).select(F.col("dst").alias("src"), F.col("weight").alias("w"))
+    reach = a.join(mids, "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("w") * F.col("weight")).alias("r"))
+    rows = nodes.join(changed.select("id"), "id", "left_semi").join(reach, "id", "left").select("id", F.coalesce("r", F.lit(0.0)).alias("r"), F.posexplode("attr").alias("k", "x"))
+    step = F.col("r") * F.when(F.col("x") != 0, -F.col("x")).otherwise(1.0)
+    weights = model.layers[0][0]
+    table = nodes.sparkSession.createDataFrame([(k, w.tolist()) for k, w in enumerate(weights)], "k int, w array<double>")  # a row an attribute
+    moved = [F.lit(float(z[c])) + step * F.col("w")[c] for c in range(weights.shape[1])]
+    score = moved[label] - F.array_max(F.array(*[x for c, x in enumerate(moved) if c != label]))
+    return rows.join(table, "k").select("id", "k", score.alias("score"))
+
+
+def influencers(edges: DataFrame, nodes: DataFrame, model: Model, node: int, n: int) -> DataFrame:
+    """(id, score): the n neighbours without whose edge the node's margin is least, ties by id."""
+    near = edges.filter((F.col("src") == node) & (F.col("dst") != node)).select("src", "dst")
+    return struct_scores(edges, nodes, model, node, near).orderBy("score", "dst").limit(n).select(F.col("dst").alias("id"), "score")
+
+
+def indirect_candidates(nodes: DataFrame, node: int, by: list[int]) -> DataFrame:
+    """(src, dst): pairs of an influencer and any other node, but the attacked one."""
+    source = F.explode(F.array(*[F.lit(i).cast("long") for i in by])).alias("src")
+    return nodes.filter(F.col("id") != node).select(source, F.col("id").alias("dst")).filter("src <> dst")
+
+
+def nettack(
+    edges: DataFrame, nodes: DataFrame, model: Model, node: int, budget: int, cutoff: float = 0.004, direct: bool = True, n_influencers: int = 5, structure: bool = True, features: bool = False
+) -> Result:
+    """Attack on one node of a two-hop linear model, smallest margin first.
+
+    Edge candidates leave no singleton and pass the power-law test; direct ones are the node's
+    own, indirect ones those of its n_influencers, chosen at the start. features: attributes of
+    the node, or of the influencers, may be turned on or off too; a step takes the better of
+    both. The trace has one row a step: an edge (src, dst), or an attribute (id, k).
+    """
     from .reshape import filter_singletons
 
     spark = nodes.sparkSession
-    now, picked = edges, []
-    for _ in range(budget):
-        space = nodes.filter(F.col("id") != node).select(F.lit(node).cast("long").alias("src"), F.col("id").alias("dst"))
-        if picked:
-            space = space.join(spark.createDataFrame([(b,) for b in picked], "dst long"), "dst", "left_anti").select("src", "dst")
-        good = filter_chisquare(likelihood_ratio(now, filter_singletons(space, now)), cutoff).select("src", "dst")
-        best = struct_scores(now, nodes, model, node, good).orderBy("score", "dst").first()
+    now, picked, trace, turned = edges, [], [], []
+    at = [node] if direct else [r.id for r in influencers(edges, nodes, model, node, n_influencers).collect()]  # n_influencers at most
+    changed = spark.createDataFrame([(i,) for i in at], "id long")
+    for _ in range(budget if at else 0):
+        best = None
+        if structure:
+            space = indirect_candidates(nodes, node, at) if not direct else nodes.filter(F.col("id") != node).select(F.lit(node).cast("long").alias("src"), F.col("id").alias("dst"))
+            if picked:
+                both = spark.createDataFrame(picked + [(b, a) for a, b in picked], "src long, dst long")
+                space = space.join(both, ["src", "dst"], "left_anti")
+            good = filter_chisquare(likelihood_ratio(now, filter_singletons(space, now)), cutoff).select("src", "dst")
+            best = struct_scores(now, nodes, model, node, good).orderBy("score", "src", "dst").first()
+        if features:
+            space = feature_scores(now, nodes, model, node, changed)
+            if turned:
+                space = space.join(spark.createDataFrame(turned, "id long, k int"), ["id", "k"], "left_anti")
+            found = space.orderBy("score", "id", "k").first()
+            if found is not None and (best is None or found.score < best.score):
+                turned.append((found.id, found.k))
+                on = F.transform("attr", lambda x, k: F.when(k == found.k, F.when(x != 0, 0.0).otherwise(1.0)).otherwise(x))
+                nodes = cut(nodes.withColumn("attr", F.when(F.col("id") == found.id, on).otherwise(F.col("attr"))), "nodes")
+                trace.append({"id": found.id, "k": found.k, "margin": found.score})
+                continue
         if best is None:
             break
-        picked.append(best.dst)
-        now = cut(_flip(now, spark.createDataFrame([(min(node, best.dst), max(node, best.dst))], "src long, dst long")), "edges")
-    return Result(spark.createDataFrame([(node, v) for v in picked], "src long, dst long"), now)
-
-
-def feature_scores(nodes: DataFrame, weights: DataFrame, label: int, wrong: int) -> DataFrame:
-    """(k, gradient): effect of turning on each attribute on the wrong class's lead; weights(k, h, w)."""
-    return weights.groupBy("k").agg(F.sum(F.when(F.col("h") == wrong, F.col("w")).when(F.col("h") == label, -F.col("w")).otherwise(0.0)).alias("gradient"))
-
-
-def influencers(scores: DataFrame, n: int) -> DataFrame:
-    """The n candidates with the smallest margin."""
-    return scores.orderBy("score", "dst").limit(n)
+        picked.append((best.src, best.dst))
+        trace.append({"src": best.src, "dst": best.dst, "margin": best.score})
+        now = cut(_flip(now, spark.createDataFrame([(min(best.src, best.dst), max(best.src, best.dst))], "src long, dst long")), "edges")
+    return Result(spark.createDataFrame(picked, "src long, dst long"), now, trace)
 
 
 #: Attacks by lower-case name; that on PageRank models, localbatchedprbcd, is added by create_attack.

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import softmax, uniform
 from ..graph import directed_view, edges_view, graph_view, long_form, nodes_view, table
 from ..operators import attacks, components, losses, models, normalize, ppr, ppr_attacks, propagate, reshape, robust
+from .lineage import cut
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -56,7 +57,8 @@ VIEWS = {
     "median": """SELECT src, k, min(v) AS m FROM (
         SELECT w.src, x.k, x.v, sum(weight) OVER (PARTITION BY src, k ORDER BY v, id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum,
                sum(weight) OVER (PARTITION BY src, k) AS total FROM wedges w JOIN x ON x.id = w.dst) WHERE 2 * cum >= total - 1e-12 GROUP BY 1, 2""",
-    "logits": "SELECT id, (k)::INT AS class, v * 3 AS z FROM xall WHERE k < 10",
+    "logitw": "SELECT k, c, round(cos(k * 3 + c * 7), 6) AS w FROM range(64) a(k), range(10) b(c)",
+    "logits": "SELECT xall.id, c::INT AS class, sum(v * w) AS z FROM xall JOIN logitw ON logitw.k = xall.k GROUP BY 1, 2",
     "mg": """SELECT l.id, any_value(n.label) AS label, max(CASE WHEN class = label THEN z END) AS z_y, max(CASE WHEN class <> label THEN z END) AS z_o,
         first(class ORDER BY z DESC, class) AS pred, ln(sum(exp(z))) AS lse FROM logits l JOIN nodes n ON n.id = l.id GROUP BY l.id""",
     "m": "SELECT *, z_y - z_o AS margin, lse - z_y AS ce FROM mg",
@@ -150,7 +152,8 @@ def norm_view(s: SparkSession, d: str) -> DataFrame:
 
 
 def logits_view(s: SparkSession, d: str) -> DataFrame:
-    return long_form(nodes_view(s, d), 10).select("id", F.col("k").alias("class"), (F.col("v") * 3).alias("z"))
+    """Logits of ten classes from all attribute columns."""
+    return attacks.long_logits(nodes_view(s, d).select("id", attacks._times(F.col("attr"), surrogate().weight).alias("z")))
 
 
 def ppr_view(s: SparkSession, d: str) -> DataFrame:
@@ -506,12 +509,12 @@ def _ppr_norm(up: str, down: str) -> str:
 
 @query(_ppr_norm("sqrt(a.d)", "sqrt(b.d)"))
 def ppr_norm_sym(s, d):
-    return edge_rows(ppr.normalized(ppr_view(s, d), F.broadcast(normalize.degree(edges_view(s, d))), "sym").filter("weight > 0"))
+    return edge_rows(ppr.normalized(ppr_view(s, d), normalize.degree(edges_view(s, d)), "sym").filter("weight > 0"))
 
 
 @query(_ppr_norm("a.d", "b.d"))
 def ppr_norm_col(s, d):
-    return edge_rows(ppr.normalized(ppr_view(s, d), F.broadcast(normalize.degree(edges_view(s, d))), "col").filter("weight > 0"))
+    return edge_rows(ppr.normalized(ppr_view(s, d), normalize.degree(edges_view(s, d)), "col").filter("weight > 0"))
 
 
 @query("SELECT src, dst, round(weight / sum(weight) OVER (PARTITION BY src), 6) AS weight FROM pprk")
@@ -550,17 +553,18 @@ def gdc_push(s, d):
     return edge_rows(ppr.gdc_approximate(edges_view(s, d), nodes_view(s, d), 0.15, 1e-4, 16, "sym", digits=9))
 
 
-PARTS = [(i, i * 40, i * 40 + 70 + 10 * (i % 2)) for i in range(5)]
-
-
 @query(
-    "WITH parts AS (SELECT i AS id, range(i * 40, i * 40 + 70 + 10 * (i % 2)) AS ids FROM range(5) r(i)), "
-    "t AS (SELECT a.id AS id0, b.id AS id1, c.id AS id2, len(list_distinct(a.ids || b.ids || c.ids)) AS covered, len(a.ids) + len(b.ids) + len(c.ids) AS every "
-    "FROM parts a, parts b, parts c WHERE a.id <= b.id AND b.id <= c.id) "
-    "SELECT id0, id1, id2, covered::INT AS covered, (every - covered)::INT AS overlap FROM t ORDER BY covered DESC, overlap, id0, id1, id2 LIMIT 1"
+    """WITH parts AS (SELECT p AS id, list(n.id) AS ids FROM nodes n, range(5) r(p) WHERE n.label IN (2 * p, (2 * p + 1 + n.id % 2) % 10, (2 * p + 5) % 10) GROUP BY 1),
+    t AS (SELECT a.id AS id0, b.id AS id1, c.id AS id2, len(list_distinct(a.ids || b.ids || c.ids)) AS covered, len(a.ids) + len(b.ids) + len(c.ids) AS every
+    FROM parts a, parts b, parts c WHERE a.id <= b.id AND b.id <= c.id)
+    SELECT id0, id1, id2, covered::INT AS covered, (every - covered)::INT AS overlap FROM t ORDER BY covered DESC, overlap, id0, id1, id2 LIMIT 1"""
 )
 def ppr_part_cover(s, d):
-    return ppr.best_cover(s.createDataFrame([(i, list(range(a, b))) for i, a, b in PARTS], "id long, ids array<long>"))
+    """Stored parts overlap, as those of runs with different splits do: each holds the nodes of some labels."""
+    p = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(4).cast("long"))).alias("id")
+    rows = nodes_view(s, d).select("label", F.col("id").alias("node"), p)
+    mine = (F.col("label") == 2 * F.col("id")) | (F.col("label") == (2 * F.col("id") + 1 + F.col("node") % 2) % 10) | (F.col("label") == (2 * F.col("id") + 5) % 10)
+    return ppr.best_cover(rows.filter(mine).groupBy("id").agg(F.collect_list("node").alias("ids")))
 
 
 @query("SELECT label AS shard, rows, (sum(rows) OVER (ORDER BY label) - rows)::BIGINT AS front FROM (SELECT label, count(*) AS rows FROM nodes GROUP BY 1)")
@@ -740,11 +744,20 @@ GRADIENT = """WITH sw(k, c, w) AS (SELECT k, c, round(cos(k * 3 + c * 7), 6) FRO
     used AS (SELECT n.src, n.dst, any_value(n.weight) * sum(i.ga * j.ha + i.gb * j.hb) AS t FROM norm n JOIN part i ON i.id = n.src JOIN part j ON j.id = n.dst AND j.c = i.c GROUP BY 1, 2),
     br AS (SELECT id, sum(t) AS b FROM (SELECT src AS id, t FROM used UNION ALL SELECT dst, t FROM used) GROUP BY 1),
     two AS (SELECT src, dst, src AS p, dst AS q FROM pick UNION ALL SELECT dst, src, src, dst FROM pick),
-    each AS (SELECT two.p, two.q, two.src, two.dst, sum(i.ga * j.ha + i.gb * j.hb) AS t FROM two JOIN part i ON i.id = two.src JOIN part j ON j.id = two.dst AND j.c = i.c GROUP BY 1, 2, 3, 4)
-    SELECT p AS src, q AS dst, round(sum(t / sqrt(a.d) / sqrt(b.d) - br.b / (2 * b.d)) * 1e4, 4) + 0.0 AS grad FROM each JOIN colsum a ON a.id = each.src JOIN colsum b ON b.id = each.dst JOIN br ON br.id = each.dst GROUP BY 1, 2"""
+    each AS (SELECT two.p, two.q, two.src, two.dst, sum(i.ga * j.ha + i.gb * j.hb) AS t FROM two JOIN part i ON i.id = two.src JOIN part j ON j.id = two.dst AND j.c = i.c GROUP BY 1, 2, 3, 4),
+    gr AS (SELECT p AS src, q AS dst, sum(t / sqrt(a.d) / sqrt(b.d) - br.b / (2 * b.d)) AS grad FROM each JOIN colsum a ON a.id = each.src JOIN colsum b ON b.id = each.dst JOIN br ON br.id = each.dst GROUP BY 1, 2)
+    """
+
+
+def relaxed_gradient(seed: str) -> str:
+    """The gradient's common table expressions on the graph with a drawn block of weights 1e-7; that of an existing edge has its sign turned."""
+    return f"""WITH blk AS ({VIEWS["blk"].replace("'3:'", f"'{seed}:'")}), pick AS (SELECT src, dst FROM blk),
+    pe AS (SELECT src, dst, CASE WHEN w > 1 THEN 2 - w ELSE w END AS weight FROM (SELECT src, dst, sum(weight) AS w FROM (SELECT * FROM edges UNION ALL SELECT src, dst, p FROM blk UNION ALL SELECT dst, src, p FROM blk) GROUP BY 1, 2)),
+    loops AS (SELECT * FROM pe UNION ALL SELECT id, id, 1.0::DOUBLE FROM nodes), colsum AS ({VIEWS["colsum"]}), norm AS ({VIEWS["norm"]}), {GRADIENT.strip().removeprefix("WITH ")},
+    flip AS (SELECT blk.lin, blk.src, blk.dst, blk.p, gr.grad * CASE WHEN e.src IS NULL THEN 1 ELSE -1 END AS grad FROM gr JOIN blk ON blk.src = gr.src AND blk.dst = gr.dst LEFT JOIN edges e ON e.src = gr.src AND e.dst = gr.dst)"""
 
 
-@query(GRADIENT)
+@query(GRADIENT + "SELECT src, dst, round(grad * 1e4, 4) + 0.0 AS grad FROM gr")
 def edge_gradient_step(s, d):
     block = attacks.random_block(nodes_view(s, d), 2000, 3)
     found = attacks.edge_gradient(edges_view(s, d), nodes_view(s, d), surrogate(), nodes_view(s, d), block)
@@ -837,6 +850,27 @@ def ppr_row_gradient_step(s, d):
     return state.step(state.prepare(block), label).block.select("dst", (F.round(F.col("grad") * 100, 4) + 0.0).alias("grad"))
 
 
+@query(relaxed_gradient("3-0") + " SELECT src, dst FROM flip ORDER BY grad DESC, src, dst LIMIT 10")
+def greedy_flip_step(s, d):
+    """All of the budget in one step of the greedy attack."""
+    return attacks.greedy_rbcd(edges_view(s, d), nodes_view(s, d), surrogate(), nodes_view(s, d), 10, 1, 2000, seed=3).pairs
+
+
+@query(
+    relaxed_gradient("3")
+    + """, v AS (SELECT lin, p + 2e4 * grad AS p FROM flip), pts AS (SELECT p AS b FROM v UNION SELECT p - 1 FROM v),
+    f AS (SELECT b, (SELECT sum(least(greatest(p - b, 0), 1)) FROM v) AS s FROM pts), g AS (SELECT b, s, lead(b) OVER (ORDER BY b) AS b2, lead(s) OVER (ORDER BY b) AS s2 FROM f),
+    mu AS (SELECT CASE WHEN (SELECT sum(least(greatest(p, 0), 1)) FROM v) <= 10 THEN 0 ELSE (SELECT b + (s - 10) / (s - s2) * (b2 - b) FROM g WHERE s > 10 AND s2 <= 10) END AS mu)
+    SELECT lin, round(least(greatest(p - mu, 1e-7), 1 - 1e-7), 4) AS p FROM v, mu"""
+)
+def prbcd_step(s, d):
+    """One epoch of the relaxed attack: gradient, step and projection of the whole block."""
+    nodes = nodes_view(s, d)
+    block = attacks.random_block(nodes, 2000, 3)
+    found = attacks.block_gradient(edges_view(s, d), nodes, surrogate(), nodes, block).select("lin", (F.col("p") + 2e4 * F.col("grad")).alias("p"))
+    return attacks.project(cut(found, "moved"), 10, 1e-7).select("lin", F.round("p", 4).alias("p"))
+
+
 @query()
 def greedy_flip(s, d):
     return attacks.greedy_rbcd(edges_view(s, d), nodes_view(s, d), surrogate(), nodes_view(s, d), 10, 2, 2000, seed=3).pairs
@@ -864,23 +898,61 @@ def powerlaw_stats(s, d):
     return found.select("n", r6("s").alias("s"), r6("alpha").alias("alpha"))
 
 
-@query(
-    """WITH sw(k, c, w) AS (SELECT k, c, round(cos(k * 3 + c * 7), 6) FROM range(64) a(k), range(10) b(c)),
+STRUCT = """WITH sw(k, c, w) AS (SELECT k, c, round(cos(k * 3 + c * 7), 6) FROM range(64) a(k), range(10) b(c)),
     h0 AS (SELECT x.id, c, sum(v * w) AS h FROM x JOIN sw ON sw.k = x.k GROUP BY 1, 2),
     cand AS (SELECT id AS v, EXISTS (SELECT 1 FROM edges WHERE src = 3 AND dst = id) AS present FROM nodes WHERE id <> 3),
     a AS (SELECT v, l.src, l.dst FROM cand, loops l WHERE NOT (present AND ((l.src = 3 AND l.dst = v) OR (l.src = v AND l.dst = 3)))
           UNION ALL SELECT v, 3, v FROM cand WHERE NOT present UNION ALL SELECT v, v, 3 FROM cand WHERE NOT present),
     dd AS (SELECT v, src AS id, count(*) AS d FROM a GROUP BY 1, 2),
     z AS (SELECT a.v, h0.c, sum(h / sqrt(du.d) / dm.d / sqrt(dt.d)) AS z FROM a JOIN a b ON b.v = a.v AND b.src = a.dst JOIN dd du ON du.v = a.v AND du.id = 3 JOIN dd dm ON dm.v = a.v AND dm.id = a.dst
-          JOIN dd dt ON dt.v = a.v AND dt.id = b.dst JOIN h0 ON h0.id = b.dst WHERE a.src = 3 GROUP BY 1, 2)
-    SELECT v AS dst, round(max(CASE WHEN c = label THEN z END) - max(CASE WHEN c <> label THEN z END), 6) AS score FROM z, (SELECT label FROM nodes WHERE id = 3) GROUP BY 1"""
-)
+          JOIN dd dt ON dt.v = a.v AND dt.id = b.dst JOIN h0 ON h0.id = b.dst WHERE a.src = 3 GROUP BY 1, 2),
+    sc AS (SELECT v AS dst, max(CASE WHEN c = label THEN z END) - max(CASE WHEN c <> label THEN z END) AS score FROM z, (SELECT label FROM nodes WHERE id = 3) GROUP BY 1)
+    """
+
+
+@query(STRUCT + "SELECT dst, round(score, 6) AS score FROM sc")
 def nettack_struct_score(s, d):
     nodes = nodes_view(s, d)
     cand = nodes.filter("id <> 3").select(F.lit(3).cast("long").alias("src"), F.col("id").alias("dst"))
     return attacks.struct_scores(edges_view(s, d), nodes, surrogate(), 3, cand).select("dst", r6("score").alias("score"))
 
 
+@query(
+    STRUCT
+    + """, inf AS (SELECT sc.dst AS i FROM sc JOIN edges e ON e.src = 3 AND e.dst = sc.dst ORDER BY round(score, 9), i LIMIT 2),
+    dl AS (SELECT src AS id, count(*) AS d FROM loops GROUP BY 1), nb AS (SELECT dst AS m FROM loops WHERE src = 3),
+    c2 AS (SELECT i, id AS v, CASE WHEN EXISTS (SELECT 1 FROM edges WHERE src = i AND dst = id) THEN -1 ELSE 1 END AS ch FROM inf, nodes WHERE id <> 3 AND id <> i),
+    b2 AS (SELECT i, v, ch, l.src AS m, l.dst AS t FROM c2, loops l WHERE l.src IN (SELECT m FROM nb) AND NOT (ch < 0 AND ((l.src = i AND l.dst = v) OR (l.src = v AND l.dst = i)))
+        UNION ALL SELECT i, v, ch, i, v FROM c2 WHERE ch > 0 UNION ALL SELECT i, v, ch, v, i FROM c2 WHERE ch > 0 AND v IN (SELECT m FROM nb)),
+    z2 AS (SELECT i, v, h0.c, sum(h / (dm.d + CASE WHEN m IN (i, v) THEN ch ELSE 0 END) / sqrt(dt.d + CASE WHEN t IN (i, v) THEN ch ELSE 0 END)) / sqrt(any_value(du.d)) AS z
+        FROM b2 JOIN dl dm ON dm.id = m JOIN dl dt ON dt.id = t JOIN dl du ON du.id = 3 JOIN h0 ON h0.id = t GROUP BY 1, 2, 3)
+    SELECT i AS src, v AS dst, round(max(CASE WHEN c = label THEN z END) - max(CASE WHEN c <> label THEN z END), 6) AS score FROM z2, (SELECT label FROM nodes WHERE id = 3) GROUP BY 1, 2"""
+)
+def nettack_indirect_score(s, d):
+    """Every flip of an edge of the two neighbours that matter most to the attacked node."""
+    edges, nodes = edges_view(s, d), nodes_view(s, d)
+    near = edges.filter("src = 3").select("src", "dst")
+    by = attacks.struct_scores(edges, nodes, surrogate(), 3, near).orderBy(F.round("score", 9), "dst").limit(2).collect()
+    space = attacks.indirect_candidates(nodes, 3, [r.dst for r in by])
+    return attacks.struct_scores(edges, nodes, surrogate(), 3, space).select("src", "dst", r6("score").alias("score"))
+
+
+@query(
+    STRUCT
+    + """, base AS (SELECT count(*)::DOUBLE AS n, sum(ln(d)) AS s FROM deg WHERE d >= 2),
+    ends AS (SELECT cand.v, CASE WHEN present THEN -1 ELSE 1 END AS ch, coalesce(a.d, 0) AS da, coalesce(b.d, 0) AS db FROM cand LEFT JOIN deg a ON a.id = 3 LEFT JOIN deg b ON b.id = cand.v),
+    chg AS (SELECT v, n, s, n - (da >= 2)::INT + (da + ch >= 2)::INT - (db >= 2)::INT + (db + ch >= 2)::INT AS n1,
+        s - CASE WHEN da >= 2 THEN ln(da) ELSE 0 END + CASE WHEN da + ch >= 2 THEN ln(da + ch) ELSE 0 END - CASE WHEN db >= 2 THEN ln(db) ELSE 0 END + CASE WHEN db + ch >= 2 THEN ln(db + ch) ELSE 0 END AS s1
+        FROM ends, base WHERE da + ch <> 0 AND db + ch <> 0),
+    three AS (SELECT v, unnest([{'n': n, 's': s, 'w': 2.0}, {'n': n1, 's': s1, 'w': 2.0}, {'n': n + n1, 's': s + s1, 'w': -2.0}], recursive := true) FROM chg),
+    likely AS (SELECT v, sum(w * (n * ln(n / (s - n * ln(1.5)) + 1) + n * (n / (s - n * ln(1.5)) + 1) * ln(2) + (n / (s - n * ln(1.5)) + 2) * s)) AS ratio FROM three GROUP BY 1)
+    SELECT 3::BIGINT AS src, dst FROM sc JOIN likely ON likely.v = sc.dst WHERE ratio < 0.004 ORDER BY score, dst LIMIT 1"""
+)
+def nettack_step(s, d):
+    """One edge of the structure attack, with its singleton and power-law filters."""
+    return attacks.nettack(edges_view(s, d), nodes_view(s, d), surrogate(), 3, 1).pairs
+
+
 @query()
 def nettack_edges(s, d):
     return attacks.nettack(edges_view(s, d), nodes_view(s, d), surrogate(), 3, 2).pairs

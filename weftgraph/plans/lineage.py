@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 
 
-def cut(df: DataFrame, name: str = "step") -> DataFrame:
-    """Checkpoints df to the shared folder in spark.checkpoint.dir.
+def checkpoint_folder(df: DataFrame) -> str:
+    """The context's checkpoint folder, set from spark.checkpoint.dir if need be.
 
     Where that is unset, a local session uses a temporary folder, as in tests; on a cluster,
     whose machines share no such folder, it is an error.
@@ -19,4 +20,18 @@ def cut(df: DataFrame, name: str = "step") -> DataFrame:
         if not shared and not context.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="weftgraph-"))
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame, name: str = "step") -> DataFrame:
+    """Checkpoints df to the shared folder."""
+    checkpoint_folder(df)
     return df.checkpoint()
+
+
+def written(df: DataFrame, name: str, by: list[str]) -> DataFrame:
+    """df written in folders by columns, under the same shared folder, and read again: a filter on them reads its folders only."""
+    spark = df.sparkSession
+    path = f"{checkpoint_folder(df)}/{name}-{uuid.uuid4().hex[:12]}"
+    df.write.partitionBy(*by).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

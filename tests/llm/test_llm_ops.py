@@ -461,6 +461,15 @@ def test_license_labels_match_brute_force(spark):
     def own(grams, label, g):
         return not any(name != label and 3 * len(set(grams) & set(others)) >= len(set(grams)) and g in others for _, _, name, others in everything)
 
+    def told(template, k, qs):
+        """The first entry of phrases that the template has: every two neighbours of each stand in one matched gram."""
+        for entry in license_scan.NEEDED:
+            found = [[(i, p.split()) for i in range(len(template)) if template[i : i + len(p.split())] == p.split()] for p in entry]
+            if all(found):
+                at = [places[0] for places in found]
+                return all(any(q <= lo and hi <= q + k for q in qs) for i, p in at for lo, hi in ([(i, i + 1)] if len(p) == 1 else [(i + j, i + j + 2) for j in range(len(p) - 1)]))
+        return True
+
     want = []
     for i, t in enumerate(texts):
         w = words(t)
@@ -479,7 +488,7 @@ def test_license_labels_match_brute_force(spark):
                 last = d
             for qs in groups:
                 covered = {x for q in qs for x in range(q, q + k)}
-                if len(covered) >= 0.6 * len(template) and any(own(grams, label, grams[q]) for q in qs):
+                if len(covered) >= 0.6 * len(template) and any(own(grams, label, grams[q]) for q in qs) and told(template, k, qs):
                     labels.add(label)
         want.append((i, ",".join(sorted(labels))))
     found = license_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))[0]
@@ -489,6 +498,27 @@ def test_license_labels_match_brute_force(spark):
     assert got[7] == got[10] == "mit" and got[8] == got[9] == "" and "apache-2.0" in got[13]
 
 
+NOT_LABELLED = [
+    ("Released under the BSD license", "mit-notice"), ("Released under the Apache license", "mit-notice"), ("released under the zlib license", "mit-notice"), ("Released under the Mitt License", "mit-notice"),
+    ("Licensed under the Apache License, Version 1.1", "apache-2.0"), ("Licensed under the Apache License, Version 3.0", "apache-2.0"), ("Licensed under the Foo License, Version 2.0", "apache-2.0"),
+    ("Licensed under the Mozilla License, Version 2.0", "apache-2.0"), ("Licensed under the Eclipse Public License, Version 2.0", "apache-2.0"), ("licensed under the Apache License", "apache-2.0"),
+    ("Licensed under CC BY-NC-SA 4.0", "cc-by-nc-4.0"), ("Licensed under CC BY-NC-SA 4.0", "cc-by-sa-4.0"), ("Licensed under CC BY-NC-ND 4.0", "cc-by-nc-4.0"), ("Licensed under CC BY-NC 3.0", "cc-by-nc-4.0"),
+    ("Licensed under CC BY-SA 3.0", "cc-by-sa-4.0"), ("Licensed under CC BY-SA 4.0", "cc-by-nc-sa-4.0"), ("Licensed under CC BY-ND 4.0", "cc-by-nc-4.0"), ("Licensed under CC 0 4.0", "cc-by-sa-4.0"),
+    ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License", "cc-by-4.0"), ("This work is licensed under a Creative Commons Attribution 3.0 International License", "cc-by-4.0"),
+    ("licensed under the GNU Lesser General Public License, version 3", "gpl-3"), ("licensed under the GNU Affero General Public License, version 3", "gpl-3"), ("licensed under the GNU General Public License, version 1", "gpl-2"),
+    ("licensed under the GNU Free Documentation License, version 3", "gpl-3"), ("licensed under the Affero General Public License, version 2", "gpl-2"), ("licensed under the GNU Library General Public License", "lgpl"),
+]
+
+
+def test_licenses_are_told_from_their_relatives(spark):
+    rows = [(i, f"before {t} behind") for i, (t, _) in enumerate(NOT_LABELLED)] + [(100 + i, f"before {t} behind") for i, (t, _) in enumerate(license_scan.TEMPLATES)]
+    found = {r.doc_id: set(r.labels.split(",")) for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string"))[0].collect()}
+    for i, (t, label) in enumerate(NOT_LABELLED):
+        assert label not in found[i], t
+    for i, (t, label) in enumerate(license_scan.TEMPLATES):
+        assert label in found[100 + i] and found[100 + i] - {label} <= {"gpl", "apache", "cc-by", "mit"}, (t, found[100 + i])
+
+
 def brute_pii(text):
     out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
     out += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if max(map(int, m[0].split("."))) <= 255]

@@ -4,10 +4,10 @@ All rolling word k-gram hashes of all texts are joined by Spark to the positions
 templates' k-grams. A hit of document position p on template position q votes for the
 diagonal p - q; votes are aggregated by diagonal, and neighbouring diagonals (words added to
 or missing from a copy shift it) are merged into a span, across gaps of up to half of the
-template. A span is verified word by word: the template's words that its hits cover must be
-a given share of all, and among its hits must be a k-gram that no rival has, so that the
-words which tell one license or version from another stand in the text. A rival is a template
-of another label that has a third of the template's k-grams or more.
+template. A span is verified by the template's words that its hits cover: they must be a given
+share of all, they must hold the phrase that tells the license from its relatives (its name,
+version or clauses) without a gap, and among its hits must be a k-gram that no rival has. A
+rival is a template of another label that has a third of the template's k-grams or more.
 Base phrases use k = 2 and must be covered whole on one diagonal; notices of up to 14 words
 use k = 3, longer templates k = 5.
 """
@@ -32,6 +32,7 @@ BASE = (
 )
 
 # Notices and opening paragraphs of public licenses, and their labels.
+# NEEDED below has the words that tell a license from its relatives.
 TEMPLATES = (
     ("licensed under the GNU General Public License, version 3", "gpl-3"),
     ("licensed under the GNU General Public License, version 2", "gpl-2"),
@@ -87,6 +88,22 @@ TEMPLATES = (
         "distribute this software, either in source code form or as a compiled binary, for any purpose",
         "unlicense",
     ),
+    ("Licensed under CC BY-NC-SA 4.0", "cc-by-nc-sa-4.0"),
+)
+
+# Phrases that must stand in a span as they do in the template, whatever share of the rest is there; the first entry whose phrases a template has counts.
+NEEDED = (
+    ("gnu general public license", "version 3"),
+    ("gnu general public license", "version 2"),
+    ("gnu lesser general public license",),
+    ("apache", "version 2 0"),
+    ("cc by nc sa 4 0",),
+    ("cc by nc 4 0",),
+    ("cc by sa 4 0",),
+    ("creative commons attribution 4 0 international",),
+    ("mit license",),
+    ("licenses license 2 0",),
+    ("mozilla public license v 2 0",),
 )
 
 #: Words of the grams of base phrases, of notices of up to NOTICE words, and of longer templates.
@@ -126,6 +143,22 @@ def template_positions(templates=TEMPLATES, base=BASE) -> list[tuple]:
     return rows
 
 
+def needed_pairs(templates=TEMPLATES, base=BASE, needed=NEEDED) -> list[tuple]:
+    """(template, pairs): the words [lo, hi), one or two neighbours, of the template's needed phrases that a matched gram must cover together."""
+    texts = [w.tolist() for w in _word_hashes([t for t, _ in (*base, *templates)])]
+    entries = [[w.tolist() for w in _word_hashes(list(phrases))] for phrases in needed]
+    out = [(number, []) for number in range(len(base))]
+    for number, words in enumerate(texts[len(base) :], len(base)):
+        pairs: list[tuple] = []
+        for phrases in entries:
+            places = [next((i for i in range(len(words) - len(p) + 1) if words[i : i + len(p)] == p), None) for p in phrases]
+            if None not in places:
+                pairs = [(at + i, at + min(i + 2, len(p))) for at, p in zip(places, phrases, strict=True) for i in range(max(1, len(p) - 1))]
+                break
+        out.append((number, pairs))
+    return out
+
+
 def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(row, doc_id, n_words, hashes): of each text the mark _ALWAYS, then its k-grams in order, for each k of SIZES."""
     from pyspark import TaskContext
@@ -163,6 +196,10 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
     is_base, start and end (words from 0, end exclusive), coverage (the share of the
     template's words that hits cover).
 
+    A span counts if its hits cover enough of the template's words, one of them is a k-gram
+    that no rival has, and all of the template's needed phrases (NEEDED) are covered by hits
+    without a gap. Hits are k-grams of equal 64-bit hashes; the texts are not read again.
+
     Null and empty texts have no words. Texts of any length are read whole, one at a time.
     Repeated rows are rows of their own; a null id stays null. Ties: every place of a base
     phrase counts, overlapping ones too, and spans of several templates stand side by side.
@@ -208,6 +245,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
             F.max(F.col("diagonal") + F.array_max("qs") + F.col("k")).alias("end"),
         )
         .withColumn("coverage", F.size(words) / F.col("total"))
+        .join(F.broadcast(spark.createDataFrame(needed_pairs(templates, base), "template int, pairs array<struct<lo:int,hi:int>>")), "template")
+        .filter("forall(pairs, p -> exists(qs, q -> q <= p.lo and q + k >= p.hi))")
         .filter("if(is_base, size(qs) = total - k + 1, own and coverage >= %r)" % coverage)
         .select("row", "doc_id", "label", "is_base", "start", "end", "coverage")
     )

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from weftgraph import streaming
 from weftgraph.graph import Graph
-from weftgraph.operators import attacks
+from weftgraph.operators import attacks, reshape
 from weftgraph.plans import catalogue, experiments
 from weftgraph.sources import artifacts, npz, shards
 
@@ -97,6 +97,20 @@ def test_configuration_grids():
         experiments.check_epsilons([0.2, 0.1])
 
 
+def test_rows_are_numbered_in_order(spark):
+    """Numbers follow the order over any number of partitions; empty tables stay empty."""
+    rows = [(i * 7 % 1000, i % 3) for i in range(1000)]
+    df = spark.createDataFrame(rows, "a long, b long").repartition(5)
+    got = sorted(tuple(r) for r in reshape.numbered(df, ["b", "a"], "n").collect())
+    assert got == sorted((a, b, i) for i, (b, a) in enumerate(sorted((b, a) for a, b in rows)))
+    assert reshape.numbered(df.limit(0), ["a"], "n").isEmpty()
+    pointers = spark.createDataFrame([(0, 0), (1, 2), (2, 2), (3, 3)], "pos long, ptr long")
+    values = spark.createDataFrame([(0, 5, 1.0), (1, 6, 2.0), (2, 7, 3.0)], "pos long, idx long, v double")
+    assert sorted(map(tuple, reshape.csr_to_coo(pointers, values).collect())) == [(0, 5, 1.0), (0, 6, 2.0), (2, 7, 3.0)]
+    with pytest.raises(ValueError):
+        attacks.random_block(spark.createDataFrame([(1,), (2,)], "id long"), 5, 0)
+
+
 def test_runs(spark, tmp_path):
     rng = np.random.default_rng(0)
     a = np.triu(rng.random((16, 16)) < 0.4, 1)
@@ -124,6 +138,9 @@ def test_cached_scores_results_and_config_files(spark, tmp_path):
     assert spark.read.json(path).count() == 2
     (tmp_path / "c.yaml").write_text("fixed: {a: 1}\ngrid: {b: {type: choice, options: [1, 2, 1]}}\n")
     assert experiments.run_configs([f"{tmp_path}/c.yaml"], lambda a, b: a + b) == [2, 3]
+    (tmp_path / "twice.yaml").write_text("fixed: {a: 1}\ngrid:\n  b: 1\n  b: 2\n")
+    with pytest.raises(ValueError, match="twice"):
+        experiments.read_config(f"{tmp_path}/twice.yaml")
 
 
 def test_delta_stream(spark, tmp_path):

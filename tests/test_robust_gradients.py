@@ -271,6 +271,39 @@ def test_local_attack_lowers_the_margin(spark, name):
             run(table(spark, a), nodes, victim, 5, 1)
 
 
+def test_local_transfer_and_poisoning(spark):
+    """Edges found on a linear surrogate, judged on a PageRank model and on one that is trained anew; epochs chosen by accuracy."""
+    from weftgraph.graph import Graph
+    from weftgraph.plans import experiments
+
+    n = 14
+    a, x, _, _ = graph(spark, 21, n, 0.3, weighted=False)
+    labels = np.arange(n) % CLASSES
+    nodes = spark.createDataFrame([(j, v.tolist(), int(y)) for j, (v, y) in enumerate(zip(x, labels, strict=True))], "id long, attr array<double>, label int")
+    logits = spark.createDataFrame([(j, (np.eye(CLASSES)[y] * 2).tolist()) for j, y in enumerate(labels)], "id long, z array<double>")
+    surrogate, victim = attacks.Linear2(np.random.default_rng(0).normal(size=(4, CLASSES))), ppr_attacks.PprVictim(logits, 0.5)
+    whole = Graph(table(spark, a), nodes)
+    degree = int(a[5].sum())
+
+    def attack(*args):
+        return attacks.nettack(*args, cutoff=1e9)
+
+    rows = experiments.run_local_transfer(whole, surrogate, {"linear": surrogate, "ppr": victim}, [5], attack, [0.0, 1.01 / degree]).collect()
+    assert [(r.label, r.n_perturbations, r.degree) for r in rows] == [("linear", 1, degree), ("ppr", 1, degree)] and rows[0].margin <= rows[0].initial_margin
+    m = a.copy()
+    for s, t in rows[1].perturbed_edges:
+        m[s, t] = m[t, s] = 1 - m[s, t]
+    z = np.eye(CLASSES)[labels] * 2
+    assert rows[1].margin == pytest.approx(ppr_attacks.margin_of(dense_output(m, z, 5, 0.5, None, {}).tolist(), int(labels[5])), abs=1e-5)
+    split = spark.createDataFrame([(j, ["train", "train", "val", "test"][j % 4]) for j in range(n)], "id long, part string")
+    poisoned = experiments.run_local_poisoning(whole, surrogate, split, [5], attack, [1.01 / degree], hidden=3, epochs=1).collect()
+    assert len(poisoned) == 1 and poisoned[0].perturbed_edges == rows[0].perturbed_edges and -1 <= poisoned[0].margin <= 1
+    run = attacks.prbcd(whole.edges, nodes, surrogate, nodes, 2, 2, 1, 30, 50.0, samples=1, seed=1, best_by="accuracy")
+    assert [set(t) for t in run.trace] == [{"epoch", "loss", "accuracy", "mass", "nonzero_weights"}] * 2 and run.pairs.count() <= 2
+    with pytest.raises(ValueError):
+        attacks.prbcd(whole.edges, nodes, surrogate, nodes, 2, best_by="margin")
+
+
 def dense_push(a, alpha, eps):
     """All seeds' rounds in one array."""
     d = (a > 0).sum(1)

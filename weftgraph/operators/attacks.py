@@ -37,8 +37,10 @@ def project(block: DataFrame, budget: float, eps: float = 0.0, value: str = "p")
 
 
 def random_block(nodes: DataFrame, size: int, seed: int | str, eps: float = 1e-7) -> DataFrame:
-    """(lin, src, dst, p): up to size distinct pairs src < dst drawn from all pairs; ids are 0 to n - 1."""
-    n = nodes.count()
+    """(lin, src, dst, p): up to size distinct pairs src < dst drawn from all pairs; ids must be 0 to n - 1."""
+    n, low, high = nodes.agg(F.count("*"), F.min("id"), F.max("id")).first()
+    if n and (low, high) != (0, n - 1):
+        raise ValueError("a block needs node ids from 0 to n - 1; see components.standardize")
     pairs = n * (n - 1) // 2
     drawn = nodes.sparkSession.range(size).select(below(pairs, seed, "id").alias("lin")).distinct()
     i, j = triu_pair(n, F.col("lin"))
@@ -389,27 +391,48 @@ def _loss(edges, nodes, model, targets, loss_name) -> float:
     return float(loss(long_logits(surrogate_logits(edges, nodes, model)), targets, loss_name).first()[0] or 0.0)
 
 
+def _judge(edges, nodes, model, targets, loss_name) -> tuple[float, float]:
+    """Loss and accuracy on the targets, from one pass."""
+    from .losses import loss_column, margins
+
+    found = margins(long_logits(surrogate_logits(edges, nodes, model)), targets)
+    row = found.agg(loss_column(loss_name).alias("loss"), F.avg((F.col("pred") == F.col("label")).cast("double")).alias("accuracy")).first()
+    return float(row.loss or 0.0), float(row.accuracy or 0.0)
+
+
 def prbcd(
     edges: DataFrame, nodes: DataFrame, model: Model, targets: DataFrame, budget: int, epochs: int = 400, fine_tune: int = 100, block_size: int = 1_000_000,
-    lr_factor: float = 100.0, loss_name: str = "CE", samples: int = 20, seed: int = 0, eps: float = 1e-7, block: DataFrame | None = None,
+    lr_factor: float = 100.0, loss_name: str = "CE", samples: int = 20, seed: int = 0, eps: float = 1e-7, block: DataFrame | None = None, best_by: str = "loss",
 ) -> Result:
     """Projected randomised block coordinate descent over a random block of pairs.
 
     A block that is given stays for all epochs. Final pairs: the best of `samples` Bernoulli
-    draws within the budget, and of the `budget` largest weights.
+    draws within the budget, and of the `budget` largest weights. best_by: the epoch and the
+    draw of the largest loss, or of the least accuracy on the targets (ties by the loss).
     """
+    if best_by not in ("loss", "accuracy"):
+        raise ValueError(f"best_by is loss or accuracy, not {best_by}")
+
+    def value_of(graph: DataFrame) -> tuple[tuple, dict]:
+        """What is to be largest, and the trace's entries."""
+        if best_by == "loss":
+            value = _loss(graph, nodes, model, targets, loss_name)
+            return (value,), {"loss": value}
+        value, accuracy = _judge(graph, nodes, model, targets, loss_name)
+        return (-accuracy, value), {"loss": value, "accuracy": accuracy}
+
     fixed = block is not None
     block = cut(block if fixed else random_block(nodes, block_size, f"{seed}-0", eps), "block")
     if block.count() < budget:
         raise ValueError(f"the block has fewer pairs than the budget of {budget}")
-    n, trace, best = nodes.count(), [], (-math.inf, block)
+    n, trace, best = nodes.count(), [], ((-math.inf,), block)
     for epoch in range(epochs):
         grads = block_gradient(edges, nodes, model, targets, block, loss_name)
         lr = budget / n / 2 * lr_factor / math.sqrt(max(0, epoch - (epochs - fine_tune)) + 1)
         block = cut(project(grads.withColumn("p", F.col("p") + lr * F.col("grad")).drop("grad"), budget, eps), "block")
-        value = _loss(perturb(edges, block), nodes, model, targets, loss_name)
+        value, entries = value_of(perturb(edges, block))
         mass, positive = block.agg(F.sum("p"), F.count(F.when(F.col("p") > eps, 1))).first()
-        trace.append({"epoch": epoch, "loss": value, "mass": mass, "nonzero_weights": positive})
+        trace.append({"epoch": epoch, **entries, "mass": mass, "nonzero_weights": positive})
         if value > best[0]:
             best = (value, block)
         if not fixed and epoch < epochs - fine_tune - 1:
@@ -417,7 +440,7 @@ def prbcd(
         elif not fixed and epoch == epochs - fine_tune - 1:
             block = best[1]
     block = best[1]
-    found = (-math.inf, None)
+    found = ((-math.inf,), None)
     for s in range(samples):
         if s == 0:
             pairs = block.filter(F.col("p") > eps).orderBy(F.col("p").desc(), "lin").limit(budget)
@@ -425,7 +448,7 @@ def prbcd(
             pairs = block.filter(uniform(f"{seed}-final-{s}", "lin") < F.col("p"))
         pairs = cut(pairs.select("src", "dst"), "pairs")
         if pairs.count() <= budget:
-            value = _loss(_flip(edges, pairs), nodes, model, targets, loss_name)
+            value = value_of(_flip(edges, pairs))[0]
             if value > found[0]:
                 found = (value, pairs)
     return Result(found[1], _flip(edges, found[1]), trace)

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..graph import Graph, nonzero_form
+from ..plans.lineage import cut
 
 
 def reversed_edges(edges: DataFrame) -> DataFrame:
@@ -65,19 +66,27 @@ def neighbors(edges: DataFrame, node: int) -> DataFrame:
     return edges.filter(F.col("src") == node).select("dst")
 
 
+def numbered(df: DataFrame, by: list[str], name: str) -> DataFrame:
+    """df with a number from 0 in the order of the columns `by`: a range sort, and an offset for each of its partitions."""
+    rows = cut(df.orderBy(*by).withColumn("place_", F.monotonically_increasing_id()), "sorted")
+    rows = rows.withColumn("part_", F.shiftright("place_", 33)).withColumn("place_", F.col("place_").bitwiseAND(F.lit((1 << 33) - 1)))
+    fronts, front = [], 0
+    for part, count in sorted(rows.groupBy("part_").agg(F.count("*")).collect()):  # a row a partition
+        fronts.append((part, front))
+        front += count
+    offsets = df.sparkSession.createDataFrame(fronts, "part_ long, front_ long")
+    return rows.join(F.broadcast(offsets), "part_").withColumn(name, F.col("front_") + F.col("place_")).drop("part_", "place_", "front_")
+
+
 def edge_ids(edges: DataFrame) -> DataFrame:
-    """Edges numbered in (src, dst) order, from 0: offsets per src first, so no task orders all edges."""
-    sizes = edges.groupBy("src").agg(F.count("*").alias("c"))
-    before = Window.orderBy("src").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.withColumn("front", F.coalesce(F.sum("c").over(before), F.lit(0))).select("src", "front")
-    inner = Window.partitionBy("src").orderBy("dst")
-    numbered = edges.withColumn("r", F.row_number().over(inner) - 1).join(offsets, "src")
-    return numbered.select("src", "dst", "weight", (F.col("front") + F.col("r")).alias("edge_id"))
+    """Edges numbered in (src, dst) order, from 0."""
+    return numbered(edges.select("src", "dst", "weight"), ["src", "dst"], "edge_id")
 
 
 def csr_to_coo(indptr: DataFrame, values: DataFrame) -> DataFrame:
-    """indptr(pos, ptr) and values(pos, idx, v) of a compressed matrix to (src, dst, weight)."""
-    rows = indptr.withColumn("end", F.lead("ptr").over(Window.orderBy("pos"))).filter("end > ptr")
+    """indptr(pos, ptr), positions from 0 on, and values(pos, idx, v) of a compressed matrix to (src, dst, weight)."""
+    ends = indptr.select((F.col("pos") - 1).alias("pos"), F.col("ptr").alias("end"))
+    rows = indptr.join(ends, "pos").filter("end > ptr")
     places = rows.select(F.col("pos").alias("src"), F.explode(F.expr("sequence(ptr, end - 1)")).alias("pos"))
     return places.join(values, "pos").select("src", F.col("idx").alias("dst"), F.col("v").alias("weight"))
 
@@ -92,7 +101,7 @@ def induced_subgraph(graph: Graph, keep: DataFrame | None = None, remove: DataFr
     if (keep is None) == (remove is None):
         raise ValueError("give exactly one of keep and remove")
     nodes = graph.nodes.join(keep.select("id").distinct(), "id", "left_semi") if keep is not None else graph.nodes.join(remove.select("id"), "id", "left_anti")
-    number = nodes.select("id", (F.row_number().over(Window.orderBy("id")) - 1).cast("long").alias("new"))
+    number = numbered(nodes.select("id"), ["id"], "new")
     edges = (
         graph.edges.join(number.withColumnRenamed("id", "src").withColumnRenamed("new", "s"), "src")
         .join(number.withColumnRenamed("id", "dst").withColumnRenamed("new", "d"), "dst")
@@ -219,5 +228,5 @@ def khop(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
     for h in range(1, hops + 1):
         front = reached.filter(F.col("hop") == h - 1).select(F.col("id").alias("src"))
         new = edges.join(front, "src").select(F.col("dst").alias("id")).distinct().join(reached.select("id"), "id", "left_anti")
-        reached = reached.unionByName(new.withColumn("hop", F.lit(h)))
+        reached = cut(reached.unionByName(new.withColumn("hop", F.lit(h))), "reached")  # a hop reads it twice
     return reached

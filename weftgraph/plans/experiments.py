@@ -141,10 +141,23 @@ def generate_configs(experiment: dict) -> list[dict]:
 
 
 def read_config(path: str) -> dict:
+    """A YAML file as a dictionary; a key that stands twice in one mapping is an error."""
     import yaml
 
+    class Strict(yaml.SafeLoader):
+        pass
+
+    def mapping(loader: yaml.SafeLoader, node: yaml.MappingNode) -> dict:
+        loader.flatten_mapping(node)
+        seen = [loader.construct_object(key, deep=True) for key, _ in node.value]
+        twice = {k for k in seen if seen.count(k) > 1}
+        if twice:
+            raise ValueError(f"keys that stand twice: {sorted(map(str, twice))}")
+        return loader.construct_mapping(node, deep=True)
+
+    Strict.add_constructor(yaml.resolver.BaseResolver.DEFAULT_MAPPING_TAG, mapping)
     with open(path) as f:
-        return yaml.safe_load(f)
+        return yaml.load(f, Strict)
 
 
 def check_epsilons(epsilons: list[float]) -> list[float]:
@@ -234,7 +247,7 @@ def run_transfer(graph, surrogate, victims: dict, split: DataFrame, attack, epsi
 
 
 def train_model(graph, split: DataFrame, store=None, key: dict | None = None, **parameters):
-    """(model, row): a two-layer GCN fitted on the train part, and its accuracy on all three parts; the weights are saved under key and parameters."""
+    """(model, row): a GCN fitted on the train part (two layers, or more by the widths in `hidden`), and its accuracy on all three parts; the weights are saved under key and parameters."""
     from ..operators import attacks, losses, models
 
     params = {**(key or {}), **parameters}
@@ -243,7 +256,7 @@ def train_model(graph, split: DataFrame, store=None, key: dict | None = None, **
         weights, _ = models.train_gcn(graph.edges, graph.nodes, split, **parameters)
         if store:
             store.save_model(params, weights)
-    model = attacks.Gcn([np.asarray(weights["w1"]), np.asarray(weights["w2"])])
+    model = attacks.Gcn([np.asarray(weights[k]) for k in sorted(weights, key=lambda k: int(k[1:]))])
     found = losses.accuracy(model_logits(model, graph.edges, graph.nodes), graph.nodes, split)
     return model, {r.part: r.accuracy for r in found.collect()}
 
@@ -263,30 +276,67 @@ def run_poisoning(graph, surrogate, split: DataFrame, attack, epsilons: list[flo
     return graph.nodes.sparkSession.createDataFrame(rows, "epsilon double, part string, accuracy double")
 
 
-def run_local(graph, model, nodes: list[int], attack, epsilons: list[float], label: str = "model", **parameters) -> DataFrame:
-    """One row a node and budget with degree, perturbed edges, logits and margins before and after."""
-    from ..operators import attacks, losses
+def node_logits(model, edges: DataFrame, nodes: DataFrame, node: int) -> DataFrame:
+    """Long logits(id, class, z) of one node: of an attackable model, a PageRank model (its row computed anew), or a callable of (edges, nodes)."""
+    from ..operators.ppr_attacks import PprVictim, exact_logits
 
-    spark = graph.nodes.sparkSession
-    before = attacks.surrogate_logits(graph.edges, graph.nodes, model)
-    rows = []
+    if isinstance(model, PprVictim):
+        z = exact_logits(edges, model, node)
+        return edges.sparkSession.createDataFrame([(node, c, float(v)) for c, v in enumerate(z)], "id long, class int, z double")
+    return model_logits(model, edges, nodes).filter(F.col("id") == node)
+
+
+LOCAL = "label string, epsilon double, n_perturbations int, degree long, node_id long, target int, perturbed_edges array<array<long>>, logit_target double, logit_best_non_target double, margin double, initial_margin double"
+
+
+def _local_attacks(graph, model, nodes: list[int], attack, epsilons: list[float], **parameters):
+    """Yields (node, its row, degree, epsilon, budget, result) of an attack on each node with each budget of one edge or more."""
     for node in nodes:
         target = graph.nodes.filter(F.col("id") == node)
         degree = graph.edges.filter(F.col("src") == node).count()
-        clean = losses.classification_statistics(attacks.long_logits(before), target).first()
         for eps in check_epsilons(epsilons):
             n = int(eps * degree)
-            if n == 0:
-                continue
-            result = attack(graph.edges, graph.nodes, model, node, n, **parameters)
-            after = attacks.surrogate_logits(result.edges, graph.nodes, model)
-            found = losses.classification_statistics(attacks.long_logits(after), target).first()
-            pairs = [[r.src, r.dst] for r in result.pairs.collect()]
-            rows.append((label, float(eps), n, degree, node, clean.label, pairs, found.logit_target, found.logit_best_non_target, found.margin, clean.margin))
-    schema = "label string, epsilon double, n_perturbations int, degree long, node_id long, target int, perturbed_edges array<array<long>>, logit_target double, logit_best_non_target double, margin double, initial_margin double"
-    return spark.createDataFrame(rows, schema)
+            if n:
+                yield node, target, degree, eps, n, attack(graph.edges, graph.nodes, model, node, n, **parameters)
+
+
+def _local_row(label: str, eps: float, n: int, degree: int, node: int, result, found, clean) -> tuple:
+    pairs = [[r.src, r.dst] for r in result.pairs.collect()]
+    return (label, float(eps), n, degree, node, clean.label, pairs, found.logit_target, found.logit_best_non_target, found.margin, clean.margin)
 
 
+def run_local(graph, model, nodes: list[int], attack, epsilons: list[float], label: str = "model", **parameters) -> DataFrame:
+    """One row a node and budget with degree, perturbed edges, logits and margins before and after."""
+    return run_local_transfer(graph, model, {label: model}, nodes, attack, epsilons, **parameters)
+
+
+def run_local_transfer(graph, surrogate, victims: dict, nodes: list[int], attack, epsilons: list[float], **parameters) -> DataFrame:
+    """Rows as of run_local for every victim (label: model, PageRank model or callable): the edges are found on the surrogate, the margins are the victim's."""
+    from ..operators import losses
+
+    rows, clean = [], {}
+    for node, target, degree, eps, n, result in _local_attacks(graph, surrogate, nodes, attack, epsilons, **parameters):
+        for label, victim in victims.items():
+            if (label, node) not in clean:
+                clean[label, node] = losses.classification_statistics(node_logits(victim, graph.edges, graph.nodes, node), target).first()
+            found = losses.classification_statistics(node_logits(victim, result.edges, graph.nodes, node), target).first()
+            rows.append(_local_row(label, eps, n, degree, node, result, found, clean[label, node]))
+    return graph.nodes.sparkSession.createDataFrame(rows, LOCAL)
+
+
+def run_local_poisoning(graph, surrogate, split: DataFrame, nodes: list[int], attack, epsilons: list[float], attack_parameters: dict | None = None, label: str = "poisoned", **parameters) -> DataFrame:
+    """Rows as of run_local, of a GCN that is trained anew on the graph with each node's perturbed edges; the first margin is that of the one trained on the clean graph."""
+    from ..operators import losses
+
+    rows, clean = [], {}
+    before, _ = train_model(graph, split, **parameters)
+    for node, target, degree, eps, n, result in _local_attacks(graph, surrogate, nodes, attack, epsilons, **(attack_parameters or {})):
+        if node not in clean:
+            clean[node] = losses.classification_statistics(node_logits(before, graph.edges, graph.nodes, node), target).first()
+        model, _ = train_model(graph.with_edges(result.edges), split, **parameters)
+        found = losses.classification_statistics(node_logits(model, result.edges, graph.nodes, node), target).first()
+        rows.append(_local_row(label, eps, n, degree, node, result, found, clean[node]))
+    return graph.nodes.sparkSession.createDataFrame(rows, LOCAL)
 
 
 def cache_ppr(edges: DataFrame, split: DataFrame, path: str, alpha: float = 0.1, topk: int = 64, rounds: int | None = None, norm: str = "row", dataset: str = "graph") -> None:

@@ -35,3 +35,20 @@ def written(df: DataFrame, name: str, by: list[str]) -> DataFrame:
     path = f"{checkpoint_folder(df)}/{name}-{uuid.uuid4().hex[:12]}"
     df.write.partitionBy(*by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+class Steps:
+    """The tables of an iteration, written under the shared folder; when a step is written, the one before it, from which it was made, goes."""
+
+    def __init__(self, df: DataFrame, name: str) -> None:
+        self.base, self.number = f"{checkpoint_folder(df)}/{name}-{uuid.uuid4().hex[:12]}", 0
+
+    def write(self, df: DataFrame) -> DataFrame:
+        spark = df.sparkSession
+        path = f"{self.base}/{self.number}"
+        df.write.parquet(path)
+        if self.number:
+            old = spark._jvm.org.apache.hadoop.fs.Path(f"{self.base}/{self.number - 1}")
+            old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
+        self.number += 1
+        return spark.read.schema(df.schema).parquet(path)
